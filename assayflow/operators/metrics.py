@@ -20,6 +20,11 @@ def safe_div(num: Column, den: Column, zero: float | None = 0.0) -> Column:
     return F.when(den == 0, F.lit(zero)).otherwise(num.cast("double") / den)
 
 
+def checked(value: Column, ok: Column, msg: str) -> Column:
+    """``value`` if ``ok`` else fail the job; the result depends on the check, so pruning keeps it."""
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(msg)))
+
+
 # ---------------------------------------------------------------- regression
 
 def regression_metrics(df: DataFrame, by: Sequence[str], label: str, pred: str) -> DataFrame:
@@ -50,14 +55,17 @@ def label_scale(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 def confusion(df: DataFrame, by: Sequence[str], label: str, pred: str) -> DataFrame:
     """tp, tn, fp, fn; labels and predictions must be 0/1 (checked inside the plan)."""
     l, p = F.col(label), F.col(pred)
-    bad = F.count_if(~(l.isin(0.0, 1.0) & p.isin(0.0, 1.0)) | l.isNull() | p.isNull())
-    return df.groupBy(*by).agg(
+    bad = F.count_if(l.isNull() | p.isNull() | ~(l.isin(0.0, 1.0) & p.isin(0.0, 1.0)))
+    g = df.groupBy(*by).agg(
         F.count_if((l == 1) & (p == 1)).alias("tp"),
         F.count_if((l == 0) & (p == 0)).alias("tn"),
         F.count_if((l == 0) & (p == 1)).alias("fp"),
         F.count_if((l == 1) & (p == 0)).alias("fn"),
-        F.assert_true(bad == 0, "labels and predictions must be 0 or 1").alias("__chk"),
-    ).drop("__chk")
+        bad.alias("__bad"),
+    )
+    ok = F.col("__bad") == 0
+    msg = "labels and predictions must be 0 or 1"
+    return g.select(*by, *[checked(F.col(c), ok, msg).alias(c) for c in ("tp", "tn", "fp", "fn")])
 
 
 def accuracy(df: DataFrame, by: Sequence[str], label: str, pred: str) -> DataFrame:

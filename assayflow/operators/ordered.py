@@ -10,6 +10,10 @@ whole group to one task -- fatal when one group holds a third of the rows.
 1. range-partition the rows on ``(group, order)`` -- a hot group is split
    over many partitions of bounded size;
 2. running sums inside each ``(group, partition)`` chunk (bounded window);
+   The range-partitioned frame is materialized once with a reliable
+   ``checkpoint()`` (shared ``spark.checkpoint.dir``): both consumers below
+   then see the same partition ids even if an executor is lost and the
+   range bounds would be re-sampled differently.
 3. chunk totals per ``(group, partition)``; the offset of a chunk is the sum
    of the totals of the same group in earlier partitions.  Only the first
    group of a partition can continue from an earlier partition, so the
@@ -28,6 +32,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayflow.session import ensure_checkpoint_dir
+
 OrderSpec = Column | str
 
 
@@ -55,8 +61,11 @@ def running_sums(
     vals = _cols(values)
     n = _partitions(df, num_partitions)
     keyed = df.select("*", *[v.alias(f"__v{i}") for i, v in enumerate(vals)])
-    s = keyed.repartitionByRange(n, *[F.col(c) for c in by], *order_cols).withColumn(
-        "__pid", F.spark_partition_id()
+    ensure_checkpoint_dir(df.sparkSession)
+    s = (
+        keyed.repartitionByRange(n, *[F.col(c) for c in by], *order_cols)
+        .withColumn("__pid", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
     chunk = Window.partitionBy(*by, "__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = s.select("*", *[F.sum(f"__v{i}").over(chunk).alias(f"__loc{i}") for i in range(len(vals))])
@@ -105,8 +114,12 @@ def average_rank(
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     cum = running_sums(counts, by, [F.col(value).asc_nulls_first()], ["__n"], ["__cum"], num_partitions)
-    ranks = cum.select(*by, value, ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name))
-    cond = [df[c].eqNullSafe(ranks[c]) for c in [*by, value]]
+    keys = [*by, value]
+    ranks = cum.select(
+        *[F.col(c).alias(f"__r{j}") for j, c in enumerate(keys)],
+        ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name),
+    )
+    cond = [df[c].eqNullSafe(ranks[f"__r{j}"]) for j, c in enumerate(keys)]
     return df.join(ranks, cond, "left").select(*[df[c] for c in df.columns], ranks[name])
 
 
