@@ -143,3 +143,20 @@ def neighbours(
     )
     cond = [df[c].eqNullSafe(other[f"__b{j}"]) for j, c in enumerate(by)] + [df[pos] == other["__bpos"]]
     return df.join(other, cond, "left").select(*[df[c] for c in df.columns], *[f"{prefix}{c}" for c in cols])
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on ``keys`` that is safe for frames sharing lineage (self-joins).
+
+    The right side's key columns are renamed before the join and dropped
+    after it, so the result has ``left``'s keys once.  With no keys it joins
+    a right side that the caller guarantees to be one row.
+    """
+    keys = list(keys)
+    rcols = [c for c in right.columns if c not in keys]
+    r = right.select(*[F.col(c).alias(f"__j{j}") for j, c in enumerate(keys)], *[F.col(c).alias(c) for c in rcols])
+    if not keys:
+        return left.join(F.broadcast(r), how="cross" if how == "inner" else how)
+    cond = [left[c].eqNullSafe(r[f"__j{j}"]) for j, c in enumerate(keys)]
+    out = left.join(r, cond, how)
+    return out.select(*[left[c] for c in left.columns], *[r[c] for c in rcols])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import add_position
+from assayflow.operators.ordered import add_position, keyed_join
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], value: str, n_rows: Column | None = None) -> DataFrame:
@@ -78,10 +78,12 @@ def percentiles(
         F.when(F.col("t") < 1, F.lit(0)).when(F.col("t") >= F.col("__n"), F.col("__n") - 1).otherwise(F.floor("t") - 1).cast("long").alias("__lo"),
         F.when((F.col("t") < 1) | (F.col("t") >= F.col("__n")), F.lit(0.0)).otherwise(F.col("t") - F.floor("t")).alias("__d"),
     )
-    cond = [numbered[c].eqNullSafe(tg[c]) for c in by]
-    j = numbered.join(tg, cond, "inner") if by else numbered.crossJoin(F.broadcast(tg))
+    if by:
+        j = keyed_join(numbered, tg, by)
+    else:  # one target row per percentile: a bounded broadcast
+        j = numbered.join(F.broadcast(tg), how="cross")
     near = j.filter((F.col("__pos") == F.col("__lo")) | ((F.col("__pos") == F.col("__lo") + 1) & (F.col("__d") > 0)))
-    vals = near.groupBy(*[tg[c] for c in by], "i").agg(
+    vals = near.groupBy(*by, "i").agg(
         F.max_by("__x", -F.col("__pos")).alias("__a"),
         F.max_by("__x", F.col("__pos")).alias("__b"),
         F.first("__d").alias("__d"),
@@ -100,7 +102,11 @@ def descriptive(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
         F.var_samp(v).alias("variance"),
-        F.exp(F.avg(F.ln(v))).alias("geometric_mean"),
+        # commons-math form: a zero gives 0, a negative value gives NaN
+        F.when(F.count_if(v < 0) > 0, F.lit(float("nan")))
+        .when(F.count_if(v == 0) > 0, F.lit(0.0))
+        .otherwise(F.exp(F.avg(F.ln(v))))
+        .alias("geometric_mean"),
         F.skewness(v).alias("__g1"),
         F.kurtosis(v).alias("__g2"),
     )
