@@ -1,0 +1 @@
+"""Scalar Column functions (built-in expressions only; no Python UDFs)."""

@@ -46,7 +46,8 @@ def summary_stats(df: DataFrame, by: Sequence[str], value: str, n_rows: Column |
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float], method: str = "n+1", names: Sequence[str] | None = None
+    df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float], method: str = "n+1", names: Sequence[str] | None = None,
+    long: bool = False,
 ) -> DataFrame:
     """Exact percentiles per group without collecting a group into one task.
 
@@ -89,6 +90,8 @@ def percentiles(
         F.first("__d").alias("__d"),
     )
     vals = vals.select(*by, "i", (F.col("__a") + F.col("__d") * (F.col("__b") - F.col("__a"))).alias("__v"))
+    if long:  # (by..., i, value) with i the index into ps
+        return vals.withColumnRenamed("__v", "value")
     wide = vals.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("__v"))).alias(n) for i, n in enumerate(names)])
     return wide
 
