@@ -60,3 +60,29 @@ class Tables:
             (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"),
             "l_discount",
         )
+
+    def measurement_rows(self) -> DataFrame:
+        """events as assay measurement rows: molecule = user_id, protocol = event_type, one row per event with
+        an 'activity' reading (censored at 1 and 300), and 'target' / 'units' text readouts from props.k."""
+        e = self.events.select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+        k, v = F.col("k"), F.col("value")
+        return e.select(
+            F.col("event_id").alias("row"),
+            F.col("user_id").alias("molecule"),
+            F.col("event_type").alias("protocol"),
+            v.alias("activity"),
+            F.when(v >= 300, ">").when(v < 1, "<").otherwise("=").alias("modifier"),
+            F.when(k < 50, "kinase").otherwise("protease").alias("target"),
+            F.when(k < 25, "uM").when(k < 50, "nM").when(k < 75, "pM").otherwise("mM").alias("units"),
+        )
+
+    def measurements_long(self) -> DataFrame:
+        """Long form (row, molecule, protocol, readout, value_str, value_num, modifier)."""
+        r = self.measurement_rows()
+        arr = F.array(
+            F.struct(F.lit("activity").alias("readout"), F.col("activity").cast("string").alias("value_str"),
+                     F.col("activity").alias("value_num"), F.col("modifier").alias("modifier")),
+            F.struct(F.lit("target").alias("readout"), F.col("target").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("=").alias("modifier")),
+            F.struct(F.lit("units").alias("readout"), F.col("units").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("=").alias("modifier")),
+        )
+        return r.select("row", "molecule", "protocol", F.explode(arr).alias("r")).select("row", "molecule", "protocol", "r.*")

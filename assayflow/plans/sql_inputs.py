@@ -37,3 +37,13 @@ def f1(p=None, r=None):
 
 def ba():
     return f"(({spec()} + {rec()}) / 2)"
+
+
+MEAS = """
+meas AS (
+  SELECT event_id AS row, user_id AS molecule, event_type AS protocol, value AS activity,
+         CASE WHEN value >= 300 THEN '>' WHEN value < 1 THEN '<' ELSE '=' END AS modifier,
+         CASE WHEN k < 50 THEN 'kinase' ELSE 'protease' END AS target,
+         CASE WHEN k < 25 THEN 'uM' WHEN k < 50 THEN 'nM' WHEN k < 75 THEN 'pM' ELSE 'mM' END AS units
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+)"""
