@@ -193,3 +193,35 @@ def idf_weights(doc_terms: DataFrame, doc_col: str, term_col: str) -> DataFrame:
     df_ = doc_terms.select(doc_col, term_col).distinct().groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
     vocab = df_.agg(F.count(F.lit(1)).alias("v")).scalar()
     return df_.withColumn("idf", F.log10(vocab / F.col("df")))
+
+
+def assemble(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
+    """Feature array from named numeric columns; a null fails the job."""
+    arr = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.withColumn(out, checked(arr, ~F.exists(arr, lambda x: x.isNull()), "null value in feature columns"))
+
+
+def word_document_frequency(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Vocabulary with document frequency (word, df)."""
+    return docs.select(id_col, F.explode(F.array_distinct(words(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf_score(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Per document: sum over word occurrences of log10(vocabulary size / document frequency)."""
+    occ = docs.select(id_col, F.explode(words(F.col(text))).alias("word"))
+    w = idf_weights(occ, id_col, "word")
+    return occ.join(w, "word").groupBy(id_col).agg(F.sum("idf").alias("weight"))
+
+
+def base_table(long: DataFrame, key: str, title: str, responses: Sequence[str]) -> DataFrame:
+    """Ingest builder: key, title and, per recipe response, its text column and numeric column.
+    A response with no values at all fails the job."""
+    g = long.groupBy(key, title).agg(
+        *[F.max(F.when(F.col("response") == r, F.col("raw"))).alias(r) for r in responses],
+        *[F.max(F.when(F.col("response") == r, F.col("value"))).alias(f"{r}_value") for r in responses],
+    )
+    counts = long.groupBy("response").agg(F.count("raw").alias("n"))
+    for r in responses:
+        n = counts.filter(F.col("response") == r).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+        g = g.withColumn(r, checked(F.col(r), n > 0, f"recipe field {r} has no values"))
+    return g
