@@ -151,3 +151,21 @@ def svd_project(df: DataFrame, id_col: str, col: str, k: int = 10) -> DataFrame:
     a = F.col(col).cast("array<double>")
     comps = [S.dot(a, F.array(*[F.lit(float(v[i, j])) for i in range(v.shape[0])])) for j in range(v.shape[1])]
     return df.select(id_col, F.array(*comps).alias("svd"))
+
+
+class LinearRowModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Row transformer ``features -> w.x + b`` written as a Column expression (no per-row Python)."""
+
+    weights = Param(Params._dummy(), "weights", "coefficients", typeConverter=TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "intercept", typeConverter=TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, inputCol="a", outputCol="value", weights=None, intercept=0.0):
+        super().__init__()
+        self._setDefault(weights=[], intercept=0.0)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        w = F.array(*[F.lit(float(x)) for x in self.getOrDefault(self.weights)])
+        x = F.col(self.getInputCol()).cast("array<double>")
+        return df.withColumn(self.getOutputCol(), S.dot(x, w) + F.lit(self.getOrDefault(self.intercept)))
