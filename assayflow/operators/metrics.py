@@ -27,13 +27,21 @@ def checked(value: Column, ok: Column, msg: str) -> Column:
 
 # ---------------------------------------------------------------- regression
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation aggregate; null (not a division error) when either side is constant."""
+    xc = F.col(x) if isinstance(x, str) else x
+    yc = F.col(y) if isinstance(y, str) else y
+    den = F.stddev_pop(xc) * F.stddev_pop(yc)
+    return F.when(den == 0, F.lit(None).cast("double")).otherwise(F.covar_pop(xc, yc) / den)
+
+
 def regression_metrics(df: DataFrame, by: Sequence[str], label: str, pred: str) -> DataFrame:
     """rmse = sqrt(mean((l-p)^2)), mae = mean(|l-p|), Pearson correlation, count."""
     d = F.col(label) - F.col(pred)
     return df.groupBy(*by).agg(
         F.sqrt(F.avg(d * d)).alias("rmse"),
         F.avg(F.abs(d)).alias("mae"),
-        F.corr(label, pred).alias("pearson"),
+        pearson(label, pred).alias("pearson"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -42,7 +50,7 @@ def spearman(df: DataFrame, by: Sequence[str], label: str, pred: str, key: str |
     """Spearman correlation = Pearson correlation of average ranks (ties share the mean rank)."""
     r = average_rank(df, by, label, "__rl")
     r = average_rank(r, by, pred, "__rp")
-    return r.groupBy(*by).agg(F.corr("__rl", "__rp").alias("spearman"))
+    return r.groupBy(*by).agg(pearson("__rl", "__rp").alias("spearman"))
 
 
 def label_scale(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
@@ -179,15 +187,17 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
         "__neg",
         "__P",
         "__N",
-        (F.col("cum_fp") / F.col("__N")).alias("fpr"),
-        (F.col("cum_tp") / F.col("__P")).alias("tpr"),
+        safe_div(F.col("cum_fp"), F.col("__N"), None).alias("fpr"),
+        safe_div(F.col("cum_tp"), F.col("__P"), None).alias("tpr"),
     )
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
     """Trapezoid area under the ROC points starting from (0,0)."""
     pts = roc_curve(df, by, label, prob)
-    trap = (F.col("__neg") / F.col("__N")) * (F.lit(2.0) * F.col("cum_tp") - F.col("__pos")) / (F.lit(2.0) * F.col("__P"))
+    # groups with only one class have no ROC curve: null AUC instead of a division error
+    trap = F.when((F.col("__N") == 0) | (F.col("__P") == 0), F.lit(None).cast("double")).otherwise(
+        (F.col("__neg") / F.col("__N")) * (F.lit(2.0) * F.col("cum_tp") - F.col("__pos")) / (F.lit(2.0) * F.col("__P")))
     return pts.groupBy(*by).agg(F.sum(trap).alias("roc_auc"))
 
 
