@@ -195,8 +195,8 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
 def roc_auc(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
     """Trapezoid area under the ROC points starting from (0,0)."""
     pts = roc_curve(df, by, label, prob)
-    # groups with only one class have no ROC curve: null AUC instead of a division error
-    trap = F.when((F.col("__N") == 0) | (F.col("__P") == 0), F.lit(None).cast("double")).otherwise(
+    # groups with only one class have no ROC curve: NaN AUC (0/0, as in the workbench) instead of a division error
+    trap = F.when((F.col("__N") == 0) | (F.col("__P") == 0), F.lit(float("nan"))).otherwise(
         (F.col("__neg") / F.col("__N")) * (F.lit(2.0) * F.col("cum_tp") - F.col("__pos")) / (F.lit(2.0) * F.col("__P")))
     return pts.groupBy(*by).agg(F.sum(trap).alias("roc_auc"))
 
