@@ -204,7 +204,9 @@ def cutoff_sweep(df: DataFrame, by: Sequence[str], label: str, pred: str, percen
     keys = [*by, "percent"]
     j = keyed_join(rows, thr.select(*keys, "threshold", "direction"), keys)
     up = F.col("direction") == "UP"
-    c = regression_to_class(j, keys, label, pred, F.col("threshold"), up)
+    from assayflow.session import materialize
+
+    c = materialize(regression_to_class(j, keys, label, pred, F.col("threshold"), up).select(*keys, label, pred, "probability"))
     opt = M.optimize_linspace(c, keys, label, "probability", "f1", 100)
     best_cut = M.best_linspace(opt, keys)
     scored = keyed_join(c, best_cut.select(*keys, F.col("cutoff").alias("__cut")), keys)

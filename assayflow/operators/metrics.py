@@ -192,9 +192,9 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
     )
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
-    """Trapezoid area under the ROC points starting from (0,0)."""
-    pts = roc_curve(df, by, label, prob)
+def roc_auc(df: DataFrame, by: Sequence[str], label: str, prob: str, points: DataFrame | None = None) -> DataFrame:
+    """Trapezoid area under the ROC points starting from (0,0) (``points``: a precomputed ``roc_curve``)."""
+    pts = points if points is not None else roc_curve(df, by, label, prob)
     # groups with only one class have no ROC curve: NaN AUC (0/0, as in the workbench) instead of a division error
     trap = F.when((F.col("__N") == 0) | (F.col("__P") == 0), F.lit(float("nan"))).otherwise(
         (F.col("__neg") / F.col("__N")) * (F.lit(2.0) * F.col("cum_tp") - F.col("__pos")) / (F.lit(2.0) * F.col("__P")))
@@ -204,7 +204,7 @@ def roc_auc(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFram
 # ------------------------------------------------------- cutoff optimizers
 
 def optimize_midpoint(
-    df: DataFrame, by: Sequence[str], label: str, prob: str, metric: str | Column = "f1"
+    df: DataFrame, by: Sequence[str], label: str, prob: str, metric: str | Column = "f1", points: DataFrame | None = None
 ) -> DataFrame:
     """Cutoff maximizing ``metric`` among midpoints of neighbouring distinct probabilities.
 
@@ -213,7 +213,7 @@ def optimize_midpoint(
     probability (tp/fp at cutoff between p_prev and p = counts at or above p).
     Output: by..., cutoff, score (null when a group has a single distinct probability).
     """
-    pts = roc_curve(df, by, label, prob)
+    pts = points if points is not None else roc_curve(df, by, label, prob)
     ranked = running_sums(pts, by, [F.col(prob).asc()], [F.lit(1).cast("long")], ["__rn"])
     prev = neighbours(ranked, by, "__rn", [prob], offset=-1, prefix="prev_")
     cand = prev.filter(F.col(f"prev_{prob}").isNotNull()).select(

@@ -97,7 +97,7 @@ def sample_landmarks(df: DataFrame, col: str, m: int = 50, seed: int = 1234) ->
 
 
 def kernel_svm(kind: str, landmarks: list[list[float]], input_col: str, label: str = "label", regression: bool = False,
-               gamma: float = 1.0, epsilon: float | None = None):
+               gamma: float = 1.0, epsilon: float | None = None, max_iter: int = 50):
     """Kernel SVM (classification) / SVR (regression) as KernelMap + distributed linear solver."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC
@@ -105,9 +105,10 @@ def kernel_svm(kind: str, landmarks: list[list[float]], input_col: str, label: s
 
     km = KernelMap(inputCol=input_col, outputCol="kernel_features", landmarks=landmarks, kernel=kind, gamma=gamma)
     if regression:
-        lr = LinearRegression(featuresCol="kernel_features", labelCol=label, loss="huber", epsilon=1.35 if epsilon is None else max(1.0 + epsilon, 1.000001))
+        lr = LinearRegression(featuresCol="kernel_features", labelCol=label, loss="huber", maxIter=max_iter,
+                              epsilon=1.35 if epsilon is None else max(1.0 + epsilon, 1.000001))
     else:
-        lr = LinearSVC(featuresCol="kernel_features", labelCol=label)
+        lr = LinearSVC(featuresCol="kernel_features", labelCol=label, maxIter=max_iter)
     return Pipeline(stages=[km, lr])
 
 

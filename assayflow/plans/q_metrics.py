@@ -20,12 +20,15 @@ def r6(c):
 
 def eval_report(t: Tables, metric: str = "f1"):
     """One row per dataset (lang): cutoff tuned on the data, counts, AUC, BA, F1, precision, recall, specificity."""
+    from assayflow.session import materialize
+
     s = t.scored_documents()
     by = ["lang"]
-    best = M.optimize_midpoint(s, by, "label", "probability", metric).select("lang", "cutoff")
+    pts = materialize(M.roc_curve(s, by, "label", "probability"))  # one ROC pass feeds cutoff and AUC
+    best = M.optimize_midpoint(s, by, "label", "probability", metric, points=pts).select("lang", "cutoff")
     pred = s.join(best, "lang").withColumn("prediction", (F.col("probability") > F.col("cutoff")).cast("double"))
     counts = M.class_stats(M.confusion(pred, by, "label", "prediction"))
-    auc = M.roc_auc(s, by, "label", "probability")
+    auc = M.roc_auc(s, by, "label", "probability", points=pts)
     out = counts.join(auc, "lang").join(best, "lang")
     return out.select(
         F.col("lang").alias("dataset"),

@@ -13,6 +13,7 @@ from assayflow.operators import metrics as M
 from assayflow.operators import models as MD
 from assayflow.operators import udfs as U
 from assayflow.operators.ordered import add_position, neighbours
+from assayflow.operators.summaries import percentiles
 from assayflow.functions import scalar as S
 from assayflow.plans.inputs import Tables
 from assayflow.plans.q_metrics import CONF_SQL, SCORED_PRED, r6
@@ -135,8 +136,16 @@ def _doc_group_features(t):
     auc = M.roc_auc(s, by, "label", "probability")
     acc = M.accuracy(c, by, "label", "__p")
     reg = s.groupBy(*by).agg(M.pearson("label", "probability").alias("pearson"), F.skewness("nc").alias("skew"), F.kurtosis("nc").alias("kurtosis"), F.count(F.lit(1)).alias("n"))
+    from assayflow.session import materialize
+
     f = conf.join(auc, by).join(acc, by).join(reg, by).withColumn("cost", M.plain_cost())
-    return f.na.fill(0.0, ["pearson", "skew", "kurtosis", "roc_auc"])
+    return materialize(f.na.fill(0.0, ["pearson", "skew", "kurtosis", "roc_auc"]))
+
+
+def _median_label(f):
+    """Stand-in category for the chooser: 1 (Regression) when the table's accuracy is at or above the median table."""
+    med = percentiles(f, [], "accuracy", [50.0], "n+1", ["m"]).select("m").scalar()
+    return f.withColumn("label", (F.col("accuracy") >= med).cast("double"))
 
 
 FEATURES9 = ["roc_auc", "accuracy", "precision", "recall", "pearson", "cost", "kurtosis", "skew", "n"]
@@ -150,10 +159,13 @@ def q_task_model(spark, sf):
     t = Tables(spark, sf)
     f = _doc_group_features(t)
     f = assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a"))
-    f = f.withColumn("label", (F.col("recall") >= F.col("precision")).cast("double")).filter(F.col("roc_auc") > 0.6)
+    f = _median_label(f.filter(F.col("roc_auc") > 0.6))
     rf = MD.estimator("rf_class", numTrees=10).fit(f).transform(f).select("lang", "source", F.col("prediction").alias("p_rf"))
-    lms = MD.sample_landmarks(f, "a", m=10)
-    sv = MD.kernel_svm("rbf", lms, "a", "label", gamma=0.001).fit(f).transform(f).select("lang", "source", F.col("prediction").alias("p_svm"))
+    from assayflow.operators.features import minmax_scale
+
+    f = minmax_scale(f, "a", "s")  # kernel on [0,1]-scaled features
+    lms = MD.sample_landmarks(f, "s", m=10)
+    sv = MD.kernel_svm("rbf", lms, "s", "label", gamma=1.0).fit(f).transform(f).select("lang", "source", F.col("prediction").alias("p_svm"))
     j = rf.join(sv, ["lang", "source"])
     long = j.select("lang", "source", F.explode(F.array("p_rf", "p_svm")).alias("prediction")).withColumn("id", F.concat_ws("/", "lang", "source"))
     vote = MD.majority_vote(long, "id")
@@ -167,7 +179,7 @@ def q_bad_category(spark, sf):
 
     t = Tables(spark, sf)
     f = _doc_group_features(t)
-    f = assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a")).withColumn("label", (F.col("recall") >= F.col("precision")).cast("double"))
+    f = _median_label(assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a")))
     m = MD.estimator("rf_class", numTrees=10).fit(f)
     p = m.transform(f)
     cat = F.when(F.col("roc_auc") < 0.6, "Bad").when(F.col("prediction") == 1.0, "Regression").otherwise("Classification")

@@ -205,8 +205,11 @@ def q_prob_to_pred(spark, sf):
 
 
 def _doc_features(t):
+    """Descriptor features of every document, computed once over the whole texts (materialized for the fits)."""
+    from assayflow.session import materialize
+
     d = t.documents.select("doc_id", "lang", "text")
-    return d.select("doc_id", "lang", descriptors(F.col("text")).alias("a")).withColumn("features", to_ml_vector("a"))
+    return materialize(d.select("doc_id", "lang", descriptors(F.col("text")).alias("a")).withColumn("features", to_ml_vector("a")))
 
 
 @query("ml_score_features")

@@ -53,3 +53,13 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Compute a frame once and cut its lineage (reliable checkpoint in the shared checkpoint folder).
+
+    Used where one intermediate feeds several branches or an iterative fit,
+    so it is neither recomputed per consumer nor lost with an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
