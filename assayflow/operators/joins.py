@@ -92,46 +92,111 @@ def value_product(lists: dict[str, DataFrame], max_len: int = 1000) -> DataFrame
 
 # ------------------------------------------------------ similarity search
 
-def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature", partitions: int | None = None) -> DataFrame:
-    """Exploded sparse count vectors (id, feature, count).  The input is hash-partitioned by id first,
+def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature", partitions: int | None = None,
+             keep: Sequence[str] = ()) -> DataFrame:
+    """Exploded sparse count vectors (id, keep..., feature, count).  The input is hash-partitioned by id first,
     so the per-(id, feature) counts and everything keyed by id downstream need no further shuffle."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return feature_counts(df.repartition(n, id_col), id_col, tokens, name)
+    d = df.repartition(n, id_col)
+    return d.select(id_col, *keep, F.explode(tokens).alias(name)).groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 
 def nearest_similarity(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, feature: str = "feature",
-                       ds_groups: Sequence[str] = (), name: str = "similarity") -> DataFrame:
+                       ds_groups: Sequence[str] = (), name: str = "similarity", all_ids: DataFrame | None = None) -> DataFrame:
     """For every background item the highest Tanimoto similarity to any dataset item (per ``ds_groups``).
 
-    ``bg`` and ``ds`` are postings ``(id, feature, count)``.  Inverted-index
-    plan: join postings on the feature, sum count products per pair (partial
-    aggregation keeps it per task), divide by |a|^2 + |b|^2 - a.b, take the
-    max.  Items sharing no feature score 0.  The dataset postings are
-    broadcast only when their row count is within ``BROADCAST_MAX_ROWS``;
-    otherwise a shuffle join on the feature is used and AQE splits hot
-    features (skew join).
+    ``bg`` and ``ds`` are postings ``(id, feature, count)``; ``bg`` should be
+    hash-partitioned by its id (``postings`` does this).  Items sharing no
+    feature (or no feature at all, when ``all_ids`` lists every background id) score 0.
+
+    Broadcast path (dataset postings within ``BROADCAST_MAX_ROWS``, checked
+    by a count): the dataset postings are grouped per feature into arrays
+    (with each item's squared norm) and broadcast; every background posting
+    looks up its feature, emits one ``count * count_b`` term per dataset item
+    plus its own ``count^2`` norm term, and everything aggregates per
+    background id without another shuffle -- one pass over the background.
+
+    Otherwise: shuffle join on the feature (AQE splits hot features), pair
+    sums, norms joined back.
     """
     gcols = list(ds_groups)
+    dsn = ds.groupBy(ds_id, *gcols).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
+    n_ds = ds.count()
+    if n_ds <= BROADCAST_MAX_ROWS:
+        post = ds.join(dsn, [ds_id, *gcols]).groupBy(F.col(feature).alias("__f")).agg(
+            F.collect_list(F.struct(F.col(ds_id).alias("d"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(gcols)],
+                                    F.col("count").alias("cb"), F.col("__nb").alias("nb"))).alias("__post"))
+        j = bg.join(F.broadcast(post), bg[feature] == post["__f"], "left")
+        terms = F.concat(
+            F.array(F.struct(F.lit(None).cast("long").alias("d"), *[F.lit(None).cast("string").alias(f"g{i}") for i in range(len(gcols))],
+                             (F.col("count") * F.col("count")).alias("v"), F.lit(None).cast("double").alias("nb"))),
+            F.transform(F.coalesce(F.col("__post"), F.array()), lambda e: F.struct(
+                e["d"].cast("long").alias("d"), *[e[f"g{i}"].cast("string").alias(f"g{i}") for i in range(len(gcols))],
+                (F.col("count") * e["cb"]).alias("v"), e["nb"].alias("nb"))),
+        )
+        t = j.select(bg_id, F.explode(terms).alias("t")).select(bg_id, "t.*")
+        sums = t.groupBy(bg_id, "d", *[f"g{i}" for i in range(len(gcols))]).agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
+        from pyspark.sql import Window
+
+        na = F.max(F.when(F.col("d").isNull(), F.col("__v"))).over(Window.partitionBy(bg_id))  # same partitioning: no shuffle
+        pairs = sums.withColumn("__na", na).filter(F.col("d").isNotNull())
+        tan = F.col("__v") / (F.col("__na") + F.col("__nb") - F.col("__v"))
+        if gcols:
+            best = pairs.groupBy(bg_id, *[F.col(f"g{i}").alias(g) for i, g in enumerate(gcols)]).agg(F.max(tan).alias(name))
+            return best
+        best = pairs.groupBy(bg_id).agg(F.max(tan).alias(name))
+        ids = all_ids.select(bg_id) if all_ids is not None else bg.select(bg_id).distinct()
+        return ids.join(best, bg_id, "left").select(bg_id, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
     nb = bg.groupBy(bg_id).agg(F.sum(F.col("count") * F.col("count")).alias("__na"))
-    nd = ds.groupBy(ds_id, *gcols).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
     dsp = ds.select(F.col(ds_id).alias("__d"), *gcols, F.col(feature).alias("__f"), F.col("count").alias("__cb"))
-    n_ds = dsp.count()
-    side = F.broadcast(dsp) if n_ds <= BROADCAST_MAX_ROWS else dsp
-    pairs = bg.join(side, bg[feature] == side["__f"]).groupBy(bg_id, "__d", *gcols).agg(F.sum(F.col("count") * F.col("__cb")).alias("__dot"))
-    ndr = nd.select(F.col(ds_id).alias("__d"), *gcols, "__nb")
-    ndr = F.broadcast(ndr) if n_ds <= BROADCAST_MAX_ROWS else ndr
+    pairs = bg.join(dsp, bg[feature] == dsp["__f"]).groupBy(bg_id, "__d", *gcols).agg(F.sum(F.col("count") * F.col("__cb")).alias("__dot"))
+    ndr = dsn.select(F.col(ds_id).alias("__d"), *gcols, "__nb")
     pairs = pairs.join(ndr, ["__d", *gcols]).join(nb, bg_id)
     t = F.col("__dot") / (F.col("__na") + F.col("__nb") - F.col("__dot"))
     best = pairs.groupBy(bg_id, *gcols).agg(F.max(t).alias(name))
     if gcols:
         return best
-    return nb.select(bg_id).join(best, bg_id, "left").select(bg_id, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
+    ids = all_ids.select(bg_id) if all_ids is not None else nb.select(bg_id)
+    return ids.join(best, bg_id, "left").select(bg_id, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
+
 
+def similarity_profile(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, dataset_col: str, names: Sequence[str],
+                       all_ids: DataFrame | None = None) -> DataFrame:
+    """``nearest_similarity`` against several datasets at once: one output column per dataset name (0 when no overlap).
 
-def similarity_profile(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, dataset_col: str, names: Sequence[str]) -> DataFrame:
-    """``nearest_similarity`` against several datasets at once: one output column per dataset name (0 when no overlap)."""
-    best = nearest_similarity(bg, bg_id, ds, ds_id, ds_groups=[dataset_col])
+    The roles are swapped for the search itself when the background is the
+    small side: the (large) datasets stream past the broadcast background
+    postings, and the per-(background, dataset) maxima are pivoted.
+    """
+    n_bg = bg.count()
+    if n_bg <= BROADCAST_MAX_ROWS:
+        # similarity is symmetric: search each dataset item against the background, keep per-background maxima
+        per_item = _pair_similarities(ds, ds_id, bg, bg_id, [dataset_col])
+        best = per_item.groupBy(bg_id, dataset_col).agg(F.max("similarity").alias("similarity"))
+    else:
+        best = nearest_similarity(bg, bg_id, ds, ds_id, ds_groups=[dataset_col])
     wide = best.groupBy(bg_id).pivot(dataset_col, list(names)).agg(F.max("similarity"))
-    ids = bg.select(bg_id).distinct()
+    ids = all_ids.select(bg_id) if all_ids is not None else bg.select(bg_id).distinct()
     out = ids.join(wide, bg_id, "left")
     return out.select(bg_id, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
+
+
+def _pair_similarities(big: DataFrame, big_id: str, small: DataFrame, small_id: str, keep: Sequence[str]) -> DataFrame:
+    """Tanimoto of every (big item, small item) pair sharing a feature, in one pass over ``big``
+    (partitioned by ``big_id``) against broadcast ``small`` postings (size checked by the caller)."""
+    keep = list(keep)
+    sn = small.groupBy(small_id).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
+    post = small.join(sn, small_id).groupBy(F.col("feature").alias("__f")).agg(
+        F.collect_list(F.struct(F.col(small_id).alias("s"), F.col("count").alias("cb"), F.col("__nb").alias("nb"))).alias("__post"))
+    j = big.join(F.broadcast(post), big["feature"] == post["__f"], "left")
+    terms = F.concat(
+        F.array(F.struct(F.lit(None).cast("long").alias("s"), (F.col("count") * F.col("count")).alias("v"), F.lit(None).cast("double").alias("nb"))),
+        F.transform(F.coalesce(F.col("__post"), F.array()), lambda e: F.struct(e["s"].cast("long").alias("s"), (F.col("count") * e["cb"]).alias("v"), e["nb"].alias("nb"))),
+    )
+    t = j.select(big_id, *keep, F.explode(terms).alias("t")).select(big_id, *keep, "t.*")
+    sums = t.groupBy(big_id, *keep, "s").agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
+    from pyspark.sql import Window
+
+    na = F.max(F.when(F.col("s").isNull(), F.col("__v"))).over(Window.partitionBy(big_id))
+    pairs = sums.withColumn("__na", na).filter(F.col("s").isNotNull())
+    return pairs.select(big_id, *keep, F.col("s").alias(small_id), (F.col("__v") / (F.col("__na") + F.col("__nb") - F.col("__v"))).alias("similarity"))

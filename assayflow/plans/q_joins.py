@@ -116,7 +116,7 @@ def _bench_postings(t):
 SELECT d.doc_id, round(coalesce(max(t), 0.0), 6) AS similarity FROM documents d LEFT JOIN tn ON d.doc_id = tn.did GROUP BY d.doc_id""")
 def q_nearest_sim(spark, sf):
     t = Tables(spark, sf)
-    s = J.nearest_similarity(_doc_postings(t), "doc_id", _bench_postings(t), "item_id")
+    s = J.nearest_similarity(_doc_postings(t), "doc_id", _bench_postings(t), "item_id", all_ids=t.documents.select("doc_id"))
     return s.select("doc_id", r6(F.col("similarity")).alias("similarity"))
 
 
@@ -126,7 +126,7 @@ SELECT b.item_id, round(coalesce(max(t) FILTER (WHERE lang = 'de'), 0.0), 6) AS
 FROM benchmark b LEFT JOIN lt ON b.item_id = lt.bid GROUP BY b.item_id""")
 def q_profile(spark, sf):
     t = Tables(spark, sf)
-    docs = _doc_postings(t).join(t.documents.select("doc_id", "lang"), "doc_id")
+    docs = J.postings(t.documents.select("doc_id", "lang", "text"), "doc_id", words(F.col("text")), keep=["lang"])
     names = ["de", "en", "es", "fr"]
-    p = J.similarity_profile(_bench_postings(t), "item_id", docs, "doc_id", "lang", names)
+    p = J.similarity_profile(_bench_postings(t), "item_id", docs, "doc_id", "lang", names, all_ids=t.benchmark.select("item_id"))
     return p.select("item_id", *[r6(F.col(n)).alias(n) for n in names])
