@@ -157,3 +157,28 @@ SELECT event_type, round(sum(v * step), 6) AS mean, round((sum(v * v * step) - s
 def q_km_summary(spark, sf):
     _, summ = ST.kaplan_meier(_censored(spark, sf), ["event_type"], "v", "m")
     return summ.select("event_type", r6(F.col("mean")).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+TAU_SQL = """WITH c AS (SELECT event_id, event_type, CASE WHEN value < 2 THEN 2.0 ELSE round(value, 0) END AS x, value >= 2 AS ex,
+  CAST(CASE WHEN k < 5 THEN 5 ELSE k END AS DOUBLE) AS y, k >= 5 AS ey FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+p AS (SELECT a.event_type,
+  CASE WHEN a.ex AND (b.x < a.x OR (b.x = a.x AND NOT b.ex)) THEN 1 WHEN b.ex AND (a.x < b.x OR (a.x = b.x AND NOT a.ex)) THEN -1 ELSE 0 END AS dx,
+  CASE WHEN a.ey AND (b.y < a.y OR (b.y = a.y AND NOT b.ey)) THEN 1 WHEN b.ey AND (a.y < b.y OR (a.y = b.y AND NOT a.ey)) THEN -1 ELSE 0 END AS dy
+  FROM c a JOIN c b ON a.event_type = b.event_type AND a.event_id < b.event_id)
+SELECT p.event_type, any_value(n.n) AS n, CAST(count(*) FILTER (WHERE dx * dy = 1) AS BIGINT) AS concordant, CAST(count(*) FILTER (WHERE dx * dy = -1) AS BIGINT) AS discordant,
+  round(sum(dx * dy) / sqrt(CAST(count(*) FILTER (WHERE dx <> 0) AS DOUBLE) * count(*) FILTER (WHERE dy <> 0)), 6) AS tau_b
+FROM p JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) n ON p.event_type = n.event_type GROUP BY p.event_type"""
+
+
+@query("kendall_tau_b", TAU_SQL)
+def q_kendall(spark, sf):
+    """Censored tau-b between the (censored) measurement value and the (censored) props term, per event type."""
+    from assayflow.operators.kendall import kendall_tau_b
+
+    e = Tables(spark, sf).events.select("event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    c = e.select("event_type", F.when(F.col("value") < 2, F.lit(2.0)).otherwise(F.round("value", 0)).alias("x"),
+                 F.when(F.col("value") < 2, "<").otherwise("=").alias("mx"),
+                 F.when(F.col("k") < 5, F.lit(5.0)).otherwise(F.col("k").cast("double")).alias("y"),
+                 F.when(F.col("k") < 5, "<").otherwise("=").alias("my"))
+    t = kendall_tau_b(c, ["event_type"], "x", "mx", "y", "my")
+    return t.select("event_type", "n", "concordant", "discordant", r6(F.col("tau_b")).alias("tau_b"))
