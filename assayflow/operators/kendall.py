@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import keyed_join, running_sums
+from assayflow.operators.ordered import keyed_join, running_sums, with_row
 
 TARGET_BLOCK = 50_000   # points per block row / column
 MAX_BLOCKS = 1_000      # blocks per axis (grid <= 1e6 cells per group)
@@ -47,7 +47,7 @@ def _ranks(df: DataFrame, by: Sequence[str], v: str, e: str, name: str) -> DataF
     k = df.groupBy(*by, v, e).agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(k, by, [F.col(v).asc(), F.col(e).asc()], ["__c"], ["__cum"])
     tot = k.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    cum = keyed_join(cum, tot, by) if by else cum.crossJoin(F.broadcast(tot))
+    cum = keyed_join(cum, tot, by) if by else with_row(cum, tot)
     r = cum.select(*by, v, e, (F.col("__cum") - F.col("__c")).alias(name), (F.col("__n") - F.col("__cum")).alias(f"{name}_rev"))
     return keyed_join(df, r, [*by, v, e])
 
@@ -97,7 +97,7 @@ def dominance_pairs(pts: DataFrame, by: Sequence[str], a: str, b: str, is_p: str
     n = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     kb = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target_block)))).cast("long")
     n = n.withColumn("__k", kb).withColumn("__B", F.ceil(F.col("__n") / F.col("__k")).cast("long"))
-    p = keyed_join(pts.select(*by, a, b, is_p, is_q), n, by) if by else pts.select(a, b, is_p, is_q).crossJoin(F.broadcast(n))
+    p = keyed_join(pts.select(*by, a, b, is_p, is_q), n, by) if by else with_row(pts.select(a, b, is_p, is_q), n)
     p = p.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(is_p).cast("int").alias("__isp"), F.col(is_q).cast("int").alias("__isq"),
                  F.floor(F.col(a) / F.col("__B")).cast("long").alias("__ba"), F.floor(F.col(b) / F.col("__B")).cast("long").alias("__bb"), "__k")
     gkey = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("all")
@@ -135,7 +135,7 @@ def kendall_tau_b(df: DataFrame, by: Sequence[str], x: str, mx: str, y: str, my:
     ok = (F.col("__l0") == 0) | (F.col("__r0") == 0)
     ok = ok & ((F.col("__l1") == 0) | (F.col("__r1") == 0))
     dirs = dirs.select(*by, checked(flip[0], ok, "left and right censored values in one variable").alias("__fx"), flip[1].alias("__fy"))
-    d = keyed_join(df.select(*by, x, mx, y, my), dirs, by) if by else df.select(x, mx, y, my).crossJoin(F.broadcast(dirs))
+    d = keyed_join(df.select(*by, x, mx, y, my), dirs, by) if by else with_row(df.select(x, mx, y, my), dirs)
     d = d.select(*by, (F.col(x) * F.col("__fx")).alias("__x"), (F.col(mx) == "=").cast("int").alias("__ex"),
                  (F.col(y) * F.col("__fy")).alias("__y"), (F.col(my) == "=").cast("int").alias("__ey"), (F.col("__fx") * F.col("__fy")).alias("__sign"))
     d = _ranks(d, by, "__x", "__ex", "__rx")
@@ -152,6 +152,6 @@ def kendall_tau_b(df: DataFrame, by: Sequence[str], x: str, mx: str, y: str, my:
         F.sum(F.when(F.col("__ey") == 1, F.col("__ry")).otherwise(0)).alias("__ny"),
         F.first("__sign").alias("__sign"),
     )
-    j = keyed_join(keyed_join(comp, conc, by), disc, by) if by else comp.crossJoin(conc).crossJoin(disc)
+    j = keyed_join(keyed_join(comp, conc, by), disc, by) if by else with_row(with_row(comp, conc), disc)
     tau = F.col("__sign") * (F.col("concordant") - F.col("discordant")) / F.sqrt(F.col("__nx").cast("double") * F.col("__ny").cast("double"))
     return j.select(*by, "n", "concordant", "discordant", F.when((F.col("__nx") > 0) & (F.col("__ny") > 0), tau).alias("tau_b"))

@@ -58,7 +58,7 @@ def percent_active_many(df: DataFrame, by: Sequence[str], value: str, percents:
         F.max(F.when(F.col("i") < k, F.col("value"))).alias("__hi"), F.max(F.when(F.col("i") >= k, F.col("value"))).alias("__lo")
     )
     pmap = F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("__pi") + 1)
-    j = keyed_join(pc, sk, by) if by else pc.crossJoin(sk)
+    j = keyed_join(pc, sk, by)
     d = F.lit(direction) if direction else F.when(F.col("skewness") > 0, F.lit("UP")).otherwise(F.lit("DOWN"))
     return j.select(
         *by, pmap.alias("percent"), "skewness", d.alias("direction"), F.when(d == "UP", F.col("__hi")).otherwise(F.col("__lo")).alias("threshold")
@@ -76,7 +76,7 @@ def _top2(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
     rest = keyed_join(vc, first.select(*by, F.col("t1.v").alias("__v1")), by).filter(F.col(value) != F.col("__v1"))
     second = rest.groupBy(*by).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("__c").alias("c")), order).alias("t2"))
-    return keyed_join(first, second, by, "left") if by else first.crossJoin(second)
+    return keyed_join(first, second, by, "left")
 
 
 def is_binary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -95,7 +95,7 @@ def is_binary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def binarize_common(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """The rarer side of the midpoint between the two commonest values becomes 1 (only where is_binary)."""
     b = is_binary(df, by, value).filter("is_binary").select(*by, "v1", "v2")
-    j = keyed_join(df, b, by) if by else df.crossJoin(b)
+    j = keyed_join(df, b, by)
     mid = (F.col("v1") + F.col("v2")) / 2.0
     high = F.col(value) > mid
     common_higher = F.col("v1") > F.col("v2")
@@ -108,7 +108,7 @@ def binarize_common(df: DataFrame, by: Sequence[str], value: str, out: str) -> D
 def inactive_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """A repeated maximum (more than 10 rows and over 5 %) marks 'inactive'; null otherwise."""
     mx = df.groupBy(*by).agg(F.max(value).alias("__mx"), F.count(value).alias("__n"))
-    j = keyed_join(df.select(*by, value), mx, by) if by else df.select(value).crossJoin(mx)
+    j = keyed_join(df.select(*by, value), mx, by)
     g = j.groupBy(*by).agg(F.first("__mx").alias("__mx"), F.first("__n").alias("__n"), F.count_if(F.col(value) == F.col("__mx")).alias("__mc"))
     return g.select(*by, F.when((F.col("__mc") > 10) & (F.col("__mc") * 20 > F.col("__n")), F.col("__mx")).alias("inactive_value"))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.operators.ordered import average_rank, neighbours, running_sums
+from assayflow.operators.ordered import average_rank, neighbours, running_sums, with_row
 
 
 def safe_div(num: Column, den: Column, zero: float | None = 0.0) -> Column:
@@ -177,7 +177,7 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
     totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
     cum = running_sums(counts, by, [F.col(prob).desc()], ["__pos", "__neg"], ["cum_tp", "cum_fp"])
     cond = [cum[c].eqNullSafe(totals[c]) for c in by]
-    j = cum.join(totals, cond, "inner") if by else cum.crossJoin(totals)
+    j = cum.join(totals, cond, "inner") if by else with_row(cum, totals)
     return j.select(
         *[cum[c] for c in by],
         cum[prob],
@@ -253,7 +253,7 @@ def optimize_linspace(
     # then suffix-sum over steps (grid is small per group: n_steps rows).
     counts = _prob_counts(df, by, label, prob)
     cond = [counts[c].eqNullSafe(rng[c]) for c in by]
-    b = (counts.join(rng, cond, "inner") if by else counts.crossJoin(rng)).select(
+    b = (counts.join(rng, cond, "inner") if by else with_row(counts, rng)).select(
         *[counts[c] for c in by],
         prob,
         "__pos",

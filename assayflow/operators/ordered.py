@@ -145,6 +145,18 @@ def neighbours(
     return df.join(other, cond, "left").select(*[df[c] for c in df.columns], *[f"{prefix}{c}" for c in cols])
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row.
+
+    Done with a scalar subquery -- computed once, shipped as a value -- so
+    no join is planned; Spark fails the query if the frame has more than
+    one row, which makes the size bound explicit.
+    """
+    cols = one_row.columns
+    s = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("__r")).scalar()
+    return df.withColumn("__row", s).select(*[F.col(c) for c in df.columns], *[F.col(f"__row.{c}").alias(c) for c in cols])
+
+
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys`` that is safe for frames sharing lineage (self-joins).
 
@@ -153,10 +165,10 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     a right side that the caller guarantees to be one row.
     """
     keys = list(keys)
+    if not keys:
+        return with_row(left, right)
     rcols = [c for c in right.columns if c not in keys]
     r = right.select(*[F.col(c).alias(f"__j{j}") for j, c in enumerate(keys)], *[F.col(c).alias(c) for c in rcols])
-    if not keys:
-        return left.join(F.broadcast(r), how="cross" if how == "inner" else how)
     cond = [left[c].eqNullSafe(r[f"__j{j}"]) for j, c in enumerate(keys)]
     out = left.join(r, cond, how)
     return out.select(*[left[c] for c in left.columns], *[r[c] for c in rcols])

@@ -22,7 +22,7 @@ def classification_table(df: DataFrame, by: Sequence[str], value: str, percent:
                          out: str = "active") -> DataFrame:
     """0/1 table at a fixed percent active: threshold and direction from ``percent_active``."""
     th = L.percent_active(df, by, value, percent, direction).select(*by, "direction", "threshold")
-    j = keyed_join(df, th, by) if by else df.crossJoin(th)
+    j = keyed_join(df, th, by)
     hit = F.when(F.col("direction") == "UP", F.col(value) >= F.col("threshold")).otherwise(F.col(value) <= F.col("threshold"))
     return j.withColumn(out, F.when(F.col(value).isNull(), F.lit(None).cast("double")).when(hit, 1.0).otherwise(0.0))
 

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions import scalar as S
-from assayflow.operators.ordered import add_position, keyed_join, running_sums
+from assayflow.operators.ordered import add_position, keyed_join, running_sums, with_row
 
 N_GRID = 100
 
 
 def _join(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    return keyed_join(df, small, by) if by else df.join(F.broadcast(small), how="cross")
+    return keyed_join(df, small, by) if by else with_row(df, small)
 
 
 # ------------------------------------------------------------- histograms

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import add_position, keyed_join
+from assayflow.operators.ordered import add_position, keyed_join, with_row
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], value: str, n_rows: Column | None = None) -> DataFrame:
@@ -79,11 +79,12 @@ def percentiles(
         F.when(F.col("t") < 1, F.lit(0)).when(F.col("t") >= F.col("__n"), F.col("__n") - 1).otherwise(F.floor("t") - 1).cast("long").alias("__lo"),
         F.when((F.col("t") < 1) | (F.col("t") >= F.col("__n")), F.lit(0.0)).otherwise(F.col("t") - F.floor("t")).alias("__d"),
     )
-    if by:
-        j = keyed_join(numbered, tg, by)
-    else:  # one target row per percentile: a bounded broadcast
-        j = numbered.join(F.broadcast(tg), how="cross")
-    near = j.filter((F.col("__pos") == F.col("__lo")) | ((F.col("__pos") == F.col("__lo") + 1) & (F.col("__d") > 0)))
+    # targets per group as one bounded array (one entry per requested percentile); each numbered row keeps
+    # only the entries it serves -- no row x target product
+    tga = tg.groupBy(*by).agg(F.collect_list(F.struct("i", "__lo", "__d")).alias("__tg"))
+    j = keyed_join(numbered, tga, by)
+    hit = F.filter("__tg", lambda t: (F.col("__pos") == t["__lo"]) | ((F.col("__pos") == t["__lo"] + 1) & (t["__d"] > 0)))
+    near = j.select(*by, "__x", "__pos", F.explode(hit).alias("t")).select(*by, "__x", "__pos", "t.i", "t.__lo", "t.__d")
     vals = near.groupBy(*by, "i").agg(
         F.max_by("__x", -F.col("__pos")).alias("__a"),
         F.max_by("__x", F.col("__pos")).alias("__b"),
@@ -124,7 +125,7 @@ def descriptive(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         (((n + 1) * F.col("__g2") + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurtosis"),
     )
     med = percentiles(df, by, value, [50.0], "n+1", ["median"])
-    return g.join(med, list(by)) if by else g.crossJoin(med)
+    return g.join(med, list(by)) if by else with_row(g, med)
 
 
 def arg_best(df: DataFrame, by: Sequence[str], metric: str, larger_is_better: bool = True, tie: Sequence[str] = ()) -> DataFrame:
