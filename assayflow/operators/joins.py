@@ -200,3 +200,24 @@ def _pair_similarities(big: DataFrame, big_id: str, small: DataFrame, small_id:
     na = F.max(F.when(F.col("s").isNull(), F.col("__v"))).over(Window.partitionBy(big_id))
     pairs = sums.withColumn("__na", na).filter(F.col("s").isNotNull())
     return pairs.select(big_id, *keep, F.col("s").alias(small_id), (F.col("__v") / (F.col("__na") + F.col("__nb") - F.col("__v"))).alias("similarity"))
+
+
+def tanimoto_pairs(post: DataFrame, id_cols: Sequence[str], pairs: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """Tanimoto of given pairs of sparse count vectors (postings ``id..., feature, count``).
+
+    ``pairs`` lists (left ids..., right ids...); only the listed pairs are
+    scored, through two keyed joins on (id, feature) -- never all pairs.
+    Pairs without a shared feature score 0.
+    """
+    ids = list(id_cols)
+    norms = post.groupBy(*ids).agg(F.sum(F.col("count") * F.col("count")).alias("__n"))
+    pa = post.select(*[F.col(c).alias(l) for c, l in zip(ids, left)], "feature", F.col("count").alias("__ca"))
+    pb = post.select(*[F.col(c).alias(r) for c, r in zip(ids, right)], "feature", F.col("count").alias("__cb"))
+    j = pairs.join(pa, list(left)).join(pb, [*right, "feature"])
+    dots = j.groupBy(*left, *right).agg(F.sum(F.col("__ca") * F.col("__cb")).alias("__dot"))
+    na = norms.select(*[F.col(c).alias(l) for c, l in zip(ids, left)], F.col("__n").alias("__na"))
+    nb = norms.select(*[F.col(c).alias(r) for c, r in zip(ids, right)], F.col("__n").alias("__nb"))
+    out = pairs.join(dots, [*left, *right], "left").join(na, list(left), "left").join(nb, list(right), "left")
+    den = F.col("__na") + F.col("__nb") - F.coalesce(F.col("__dot"), F.lit(0.0))
+    t = F.when(F.col("__dot").isNull(), F.lit(0.0)).otherwise(F.col("__dot") / den)
+    return out.select(*left, *right, t.alias("tanimoto"))

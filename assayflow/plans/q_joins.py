@@ -130,3 +130,24 @@ def q_profile(spark, sf):
     names = ["de", "en", "es", "fr"]
     p = J.similarity_profile(_bench_postings(t), "item_id", docs, "doc_id", "lang", names, all_ids=t.benchmark.select("item_id"))
     return p.select("item_id", *[r6(F.col(n)).alias(n) for n in names])
+
+
+CONV_WORDS = r"""cw AS (SELECT conv_id, turn, w AS feature, CAST(count(*) AS DOUBLE) AS cnt FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM conversations) WHERE w <> '' GROUP BY ALL)"""
+
+
+@query("fn_tanimoto_sparse", f"""WITH {CONV_WORDS}, pr AS (SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+n AS (SELECT conv_id, turn, sum(cnt * cnt) AS n FROM cw GROUP BY ALL),
+d AS (SELECT a.conv_id, a.turn, sum(a.cnt * b.cnt) AS dot FROM cw a JOIN cw b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.feature = b.feature GROUP BY ALL)
+SELECT pr.conv_id, pr.turn, round(CASE WHEN d.dot IS NULL THEN 0.0 ELSE d.dot / (na.n + nb.n - d.dot) END, 6) AS tanimoto
+FROM pr LEFT JOIN d ON pr.conv_id = d.conv_id AND pr.turn = d.turn LEFT JOIN n na ON pr.conv_id = na.conv_id AND pr.turn = na.turn
+LEFT JOIN n nb ON pr.conv_id = nb.conv_id AND pr.turn + 1 = nb.turn""")
+def q_tanimoto_sparse(spark, sf):
+    """Tanimoto between the word-count vectors of consecutive turns of each conversation."""
+    c = Tables(spark, sf).conversations
+    post = c.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("feature")).groupBy("conv_id", "turn", "feature").agg(
+        F.count(F.lit(1)).cast("double").alias("count"))
+    nxt = c.select(F.col("conv_id").alias("c2"), (F.col("turn") - 1).alias("t1"))
+    pairs = c.select("conv_id", "turn").join(nxt, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t1"))).select(
+        F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("conv_id").alias("b_conv"), (F.col("turn") + 1).alias("b_turn"))
+    t = J.tanimoto_pairs(post, ["conv_id", "turn"], pairs, ["a_conv", "a_turn"], ["b_conv", "b_turn"])
+    return t.select(F.col("a_conv").alias("conv_id"), F.col("a_turn").alias("turn"), r6(F.col("tanimoto")).alias("tanimoto"))
