@@ -153,15 +153,18 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def top_values(df: DataFrame, value: str, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """k most frequent values (value breaks ties), with their rank; the limit is the feature."""
-    from pyspark.sql import Window
+    """k most frequent values (value breaks ties), with their rank; the limit is the feature.
 
+    Ranks come from the range-partitioned ``add_position`` over the value
+    counts, so a group with very many distinct values is still spread over
+    many tasks.
+    """
     vc = value_counts(df.filter(F.col(value).isNotNull()), by, value)
+    order = [F.col("count").desc(), F.col(value).asc()]
     if not by:  # TakeOrderedAndProject: per-partition top-k, then a k-row merge
-        top = vc.orderBy(F.col("count").desc(), F.col(value).asc()).limit(k)
-        return add_position(top, [F.col("count").desc(), F.col(value).asc()], (), "rank").withColumn("rank", F.col("rank") + 1)
-    w = Window.partitionBy(*by).orderBy(F.col("count").desc(), F.col(value).asc())
-    return vc.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        vc = vc.orderBy(*order).limit(k)
+    ranked = add_position(vc, order, by, "rank").withColumn("rank", F.col("rank") + 1)
+    return ranked.filter(F.col("rank") <= k)
 
 
 def group_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -37,15 +37,21 @@ def metric_over_counts(counts: DataFrame, metric: Column, name: str = "metric")
     return counts.withColumn(name, metric)
 
 
-def per_group_table(df: DataFrame, key: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A table -> table Python function applied per key group (Arrow batches via applyInPandas)."""
-    return df.groupBy(*key).applyInPandas(fn, schema)
+def per_chunk_table(df: DataFrame, key: Sequence[str], order: Sequence[str], size: int,
+                    fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A table -> table Python function applied to consecutive chunks of at most ``size`` rows per key
+    (positions from the range-partitioned numbering), so no task ever holds a whole hot group."""
+    from assayflow.operators.ordered import add_position
+
+    numbered = add_position(df, list(order), list(key), "__pos")
+    chunks = numbered.withColumn("__chunk", F.floor(F.col("__pos") / F.lit(size)).cast("long")).drop("__pos")
+    return chunks.groupBy(*key, "__chunk").applyInPandas(fn, schema)
 
 
 def zscore_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Example table function: population z-score of ``value`` within the group."""
-    v = pdf["value"].astype(float)
-    sd = v.std(ddof=0)
+    """Example table function: population z-score of ``value`` from the group's ``mean`` and ``sd`` columns."""
     out = pdf[["key", "system"]].copy()
-    out["z"] = ((v - v.mean()) / sd).round(6) if sd > 0 else 0.0
+    sd = pdf["sd"].astype(float)
+    z = (pdf["value"].astype(float) - pdf["mean"].astype(float)) / sd.where(sd > 0)
+    out["z"] = z.fillna(0.0).round(6)
     return out

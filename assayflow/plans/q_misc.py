@@ -248,5 +248,7 @@ def q_udaf_metric(spark, sf):
   round(CASE WHEN stddev_pop(o_totalprice) OVER w > 0 THEN (o_totalprice - avg(o_totalprice) OVER w) / stddev_pop(o_totalprice) OVER w ELSE 0 END, 6) AS z
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority)""")
 def q_udtf_table(spark, sf):
+    """A pandas table function applied per chunk of 1000 rows of each system; group statistics come from a Spark aggregate."""
     o = Tables(spark, sf).orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("system"), F.col("o_totalprice").alias("value"))
-    return U.per_group_table(o, ["system"], U.zscore_table, "key long, system string, z double")
+    st = o.groupBy("system").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return U.per_chunk_table(o.join(st, "system"), ["system"], ["key"], 1000, U.zscore_table, "key long, system string, z double")
