@@ -96,8 +96,7 @@ def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature",
              keep: Sequence[str] = ()) -> DataFrame:
     """Exploded sparse count vectors (id, keep..., feature, count).  The input is hash-partitioned by id first,
     so the per-(id, feature) counts and everything keyed by id downstream need no further shuffle."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartition(n, id_col)
+    d = df.repartition(partitions, id_col) if partitions else df.repartition(id_col)
     return d.select(id_col, *keep, F.explode(tokens).alias(name)).groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 

@@ -17,7 +17,7 @@ whole group to one task -- fatal when one group holds a third of the rows.
 3. chunk totals per ``(group, partition)``; the offset of a chunk is the sum
    of the totals of the same group in earlier partitions.  Only the first
    group of a partition can continue from an earlier partition, so the
-   offset table has at most ``num_partitions`` rows and is broadcast with a
+   offset table has at most one row per partition and is broadcast with a
    proven size bound.
 
 Positions, average ranks, lag/lead by position, cumulative ROC counts and
@@ -41,10 +41,11 @@ def _cols(xs: Sequence[OrderSpec]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _range_partition(df: DataFrame, cols: Sequence[Column], num_partitions: int | None) -> DataFrame:
+    """Range partitioning; without an explicit count AQE may coalesce small partitions (sizes follow the data)."""
     if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(num_partitions, *cols)
+    return df.repartitionByRange(*cols)
 
 
 def running_sums(
@@ -59,11 +60,11 @@ def running_sums(
     by = list(by)
     order_cols = _cols(order)
     vals = _cols(values)
-    n = _partitions(df, num_partitions)
     keyed = df.select("*", *[v.alias(f"__v{i}") for i, v in enumerate(vals)])
     ensure_checkpoint_dir(df.sparkSession)
+    # partition ids are read after any AQE coalescing and frozen by the checkpoint
     s = (
-        keyed.repartitionByRange(n, *[F.col(c) for c in by], *order_cols)
+        _range_partition(keyed, [F.col(c) for c in by] + order_cols, num_partitions)
         .withColumn("__pid", F.spark_partition_id())
         .checkpoint(eager=True)
     )
