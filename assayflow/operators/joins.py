@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.features import feature_counts
 
 # Rows of exploded (id, feature, count) postings we accept on the broadcast side.
 BROADCAST_MAX_ROWS = 2_000_000

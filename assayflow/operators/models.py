@@ -8,8 +8,6 @@ MLlib's distributed linear solvers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters

@@ -9,7 +9,6 @@ positions) goes through ``running_sums``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayflow.operators import features as FT
-from assayflow.operators import joins as J
 from assayflow.plans.inputs import Tables
 from assayflow.plans.q_metrics import r6
 from assayflow.plans.registry import query

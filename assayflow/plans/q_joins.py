@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayflow.functions import scalar as S
 from assayflow.operators import joins as J
 from assayflow.operators.features import words
 from assayflow.plans.inputs import Tables

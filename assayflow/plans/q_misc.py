@@ -16,9 +16,9 @@ from assayflow.operators.ordered import add_position, neighbours
 from assayflow.operators.summaries import percentiles
 from assayflow.functions import scalar as S
 from assayflow.plans.inputs import Tables
-from assayflow.plans.q_metrics import CONF_SQL, SCORED_PRED, r6
+from assayflow.plans.q_metrics import CONF_SQL, r6
 from assayflow.plans.registry import query
-from assayflow.plans.sql_inputs import REGRESSION, SCORED, f1, prec, rec
+from assayflow.plans.sql_inputs import REGRESSION, SCORED, prec, rec
 
 
 def paired_t(df, a: str, b: str):

@@ -3,10 +3,8 @@ remaining §2.8/§2.9/§2.15 items that need models or pair statistics."""
 
 from __future__ import annotations
 
-import math
 import time
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from assayflow.operators import cv as CV
@@ -15,11 +13,10 @@ from assayflow.operators import metrics as M
 from assayflow.operators import models as MD
 from assayflow.operators import screening as SC
 from assayflow.operators.features import descriptors, to_ml_vector
-from assayflow.operators.ordered import add_position, neighbours
 from assayflow.plans.inputs import Tables
-from assayflow.plans.q_metrics import MIDPOINT_SQL, SCORED_PRED, r6
+from assayflow.plans.q_metrics import MIDPOINT_SQL, r6
 from assayflow.plans.registry import query
-from assayflow.plans.sql_inputs import SCORED, f1
+from assayflow.plans.sql_inputs import SCORED
 from assayflow.session import scratch_dir
 
 K = 3

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from assayflow.operators import metrics as M
 from assayflow.operators import summaries as S
 from assayflow.plans.inputs import Tables
-from assayflow.plans.q_metrics import CONF_SQL, SCORED_PRED, _scored, r6
+from assayflow.plans.q_metrics import SCORED_PRED, _scored, r6
 from assayflow.plans.registry import query
-from assayflow.plans.sql_inputs import REGRESSION, f1, prec, rec
+from assayflow.plans.sql_inputs import REGRESSION, f1
 
 STATS = ("mean", "min", "max", "variance", "sd")
 
