@@ -159,8 +159,8 @@ def sort_reverse(df: DataFrame, col: str, tie: Sequence[str], pos: str = "pos")
 
 
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 1234, pos: str = "pos") -> DataFrame:
-    """Seeded shuffle: order by a hash of (seed, key) -- reproducible across partitionings, unlike rand()."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    """Seeded shuffle: order by md5(seed:key...) -- reproducible across partitionings and engines, unlike rand()."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     return add_position(df.withColumn("__h", h), ["__h", *key], (), pos).drop("__h")
 
 

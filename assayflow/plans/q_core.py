@@ -175,7 +175,7 @@ def q_sort_reverse(spark, sf):
     return T.sort_reverse(Tables(spark, sf).orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"])
 
 
-@query("sort_shuffle")
+@query("sort_shuffle", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('1234:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS pos FROM orders")
 def q_shuffle(spark, sf):
     return T.shuffle_rows(Tables(spark, sf).orders.select("o_orderkey"), ["o_orderkey"], seed=1234)
 

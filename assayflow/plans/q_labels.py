@@ -100,12 +100,32 @@ def q_distribution_info(spark, sf):
     return L.distribution_info(_cols(Tables(spark, sf)), ["col"], "v")
 
 
-@query("lab_normality")
+def _ks_sql(val, src):
+    from assayflow.plans.q_functions import _erf_sql
+
+    z = "(v - m) / sd"
+    cdf = f"(0.5 * (1.0 + {_erf_sql(f'({z}) / sqrt(2.0)')}))"
+    return f"""(SELECT event_type, n, ks, greatest(least(sum(2.0 * power(-1.0, k - 1) * exp(-2.0 * k * k * n * ks * ks)), 1.0), 0.0) AS p
+  FROM (SELECT event_type, any_value(n) AS n, max(greatest((pos + 1) / n - {cdf}, {cdf} - pos / n)) AS ks FROM
+          (SELECT event_type, {val} AS v, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {val}, event_id) - 1 AS pos,
+                  count(*) OVER (PARTITION BY event_type) AS n, avg({val}) OVER (PARTITION BY event_type) AS m,
+                  stddev_samp({val}) OVER (PARTITION BY event_type) AS sd FROM {src}) GROUP BY event_type), range(1, 101) t(k)
+  GROUP BY event_type, n, ks)"""
+
+
+KS_SQL = f"""WITH raw AS {_ks_sql('value', 'events')},
+lg AS {_ks_sql('log10(value)', '(SELECT * FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING min(value) > 0))')}
+SELECT raw.event_type, round(raw.ks, 6) AS ks_raw, round(raw.p, 6) AS p_raw, round(lg.ks, 6) AS ks_log, round(lg.p, 6) AS p_log
+FROM raw LEFT JOIN lg ON raw.event_type = lg.event_type"""
+
+
+@query("lab_normality", KS_SQL)
 def q_normality(spark, sf):
-    """Kolmogorov-Smirnov statistic of standardized values and of their log10 per event type (rows-only)."""
+    """Kolmogorov-Smirnov distance of standardized values (and of their log10) to N(0,1), with asymptotic p-values."""
     from assayflow.operators.stats import normality
 
-    return normality(Tables(spark, sf).events, "event_type", "value")
+    n = normality(Tables(spark, sf).events, "event_type", "value")
+    return n.select("event_type", *[r6(F.col(c)).alias(c) for c in ("ks_raw", "p_raw", "ks_log", "p_log")])
 
 
 @query("lab_log_table", "SELECT event_id, value AS arithmetic_value, round(ln(value), 6) AS log_value FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING min(value) > 0)")

@@ -199,7 +199,10 @@ def q_roc_auc(spark, sf):
     return a.select("lang", r6(F.col("roc_auc")).alias("roc_auc"))
 
 
-@query("agg_roc_spark")
+@query("agg_roc_spark", f"""WITH {SCORED}, pc AS (SELECT probability, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY 1),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY probability DESC ROWS UNBOUNDED PRECEDING) AS cum_tp, sum(pos) OVER () AS tp_all, sum(neg) OVER () AS tn_all FROM pc),
+a AS (SELECT sum((neg / tn_all) * (2 * cum_tp - pos) / (2 * tp_all)) AS auc FROM cum)
+SELECT round(auc, 6) AS auc_mllib, round(auc, 6) AS auc_trapezoid FROM a""")
 def q_roc_spark(spark, sf):
     """Spark's BinaryClassificationEvaluator next to the trapezoid AUC (rows-only check)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator

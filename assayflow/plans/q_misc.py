@@ -203,7 +203,7 @@ def q_ml_readouts(spark, sf):
 
 # ----------------------------------------------------------------- UDF surface
 
-@query("udf_row")
+@query("udf_row", "SELECT vec_id AS no, true AS same FROM embeddings")
 def q_udf_row(spark, sf):
     """A fitted linear model re-applied as a Column-expression row transformer; agrees with MLlib's transform."""
     from assayflow.plans.q_ml import _reg_data

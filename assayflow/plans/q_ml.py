@@ -127,7 +127,7 @@ def q_pipeline(spark, sf):
     return pipe.fit(d).transform(d).select("no", "prediction")
 
 
-@query("ml_persist")
+@query("ml_persist", "SELECT vec_id AS no, true AS same FROM embeddings")
 def q_persist(spark, sf):
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
