@@ -114,17 +114,93 @@ def q_inflection_pairs(spark, sf):
     return ST.inflection_pairs(pts, ["event_type"]).select("event_type", "i")
 
 
-@query("kde_adaptive")
+ADAPTIVE_SQL = f"""WITH p AS (SELECT event_type, count(value) AS n, min(value) AS mn, max(value) AS mx, 1.06 * stddev_samp(value) * power(count(value), -0.2) AS h FROM events GROUP BY 1),
+s AS (SELECT e.event_type, e.value, (mx - mn) / 1023.0 AS sp, mn, mx, n, h FROM events e JOIN p ON e.event_type = p.event_type),
+s2 AS (SELECT *, CASE WHEN sp > 0 THEN (value - mn) / sp ELSE 0.0 END AS pos FROM s),
+s3 AS (SELECT *, least(CAST(floor(pos) AS INTEGER), 1022) AS lo FROM s2),
+s4 AS (SELECT *, pos - lo AS t FROM s3),
+bins AS (SELECT event_type, b, sum(w) AS w FROM (SELECT event_type, lo AS b, 1 - t AS w FROM s4 UNION ALL SELECT event_type, lo + 1, t FROM s4) GROUP BY ALL),
+q AS (SELECT DISTINCT event_type, sp, n, h FROM s),
+pil AS (SELECT bins.event_type, i, sum(w * {_phi('(i - b) * q.sp / q.h')}) / (any_value(q.n) * any_value(q.h)) AS dens
+  FROM bins JOIN q ON bins.event_type = q.event_type, range(0, 1024) t(i) GROUP BY bins.event_type, i),
+bw AS (SELECT s4.event_type, s4.value, s4.h / ((d0.dens + s4.t * (d1.dens - d0.dens)) * s4.n) AS b, s4.h FROM s4
+  JOIN pil d0 ON d0.event_type = s4.event_type AND d0.i = s4.lo JOIN pil d1 ON d1.event_type = s4.event_type AND d1.i = s4.lo + 1),
+gm AS (SELECT event_type, exp(avg(ln(b))) AS gm FROM bw GROUP BY 1),
+bw2 AS (SELECT bw.event_type, value, b * h / gm AS bandwidth FROM bw JOIN gm ON bw.event_type = gm.event_type),
+grid AS (SELECT event_type, i, mn + i * (mx - mn) / 99.0 AS x FROM p, range(0, 100) t(i)),
+kd AS (SELECT g.event_type, g.i, g.x, avg({_phi('(g.x - bw2.value) / bw2.bandwidth')} / bw2.bandwidth) AS density,
+  avg(0.5 * (1.0 + {_erf_sql('((g.x - bw2.value) / bw2.bandwidth / sqrt(2.0))')})) AS cdf FROM grid g JOIN bw2 ON g.event_type = bw2.event_type GROUP BY ALL)
+SELECT event_type, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(density, 8) AS density, round(cdf, 6) AS cdf FROM kd"""
+
+
+@query("kde_adaptive", ADAPTIVE_SQL)
 def q_kde_adaptive(spark, sf):
-    """Adaptive-bandwidth KDE grid per event type (pilot density on a fine grid; brute-force check in tests)."""
+    """Adaptive-bandwidth KDE grid per event type (binned pilot density on a fine grid; brute-force check in tests)."""
     g = ST.kde_adaptive_grid(Tables(spark, sf).events, ["event_type"], "value")
     return g.select("event_type", "i", r6(F.col("x")).alias("x"), F.round("density", 8).alias("density"), r6(F.col("cdf")).alias("cdf"))
 
 
-@query("kde_cut_point")
+def _adaptive_ctes(src: str) -> str:
+    """Adaptive KDE CTEs over ``src`` (columns g, value): bandwidths bw2(g, value, bandwidth), grid kd(g, i, x, density, d1, d2, cdf)."""
+    phi = _phi
+    return f"""p AS (SELECT g, count(value) AS n, min(value) AS mn, max(value) AS mx, 1.06 * stddev_samp(value) * power(count(value), -0.2) AS h FROM {src} GROUP BY 1),
+s AS (SELECT e.g, e.value, (mx - mn) / 1023.0 AS sp, mn, mx, n, h FROM {src} e JOIN p ON e.g = p.g),
+s2 AS (SELECT *, CASE WHEN sp > 0 THEN (value - mn) / sp ELSE 0.0 END AS pos FROM s),
+s3 AS (SELECT *, least(CAST(floor(pos) AS INTEGER), 1022) AS lo FROM s2),
+s4 AS (SELECT *, pos - lo AS t FROM s3),
+bins AS (SELECT g, b, sum(w) AS w FROM (SELECT g, lo AS b, 1 - t AS w FROM s4 UNION ALL SELECT g, lo + 1, t FROM s4) GROUP BY ALL),
+q AS (SELECT DISTINCT g, sp, n, h FROM s),
+pil AS (SELECT bins.g, i, sum(w * {phi('(i - b) * q.sp / q.h')}) / (any_value(q.n) * any_value(q.h)) AS dens
+  FROM bins JOIN q ON bins.g = q.g, range(0, 1024) t(i) GROUP BY bins.g, i),
+bw AS (SELECT s4.g, s4.value, s4.h / ((d0.dens + s4.t * (d1.dens - d0.dens)) * s4.n) AS b, s4.h FROM s4
+  JOIN pil d0 ON d0.g = s4.g AND d0.i = s4.lo JOIN pil d1 ON d1.g = s4.g AND d1.i = s4.lo + 1),
+gm AS (SELECT g, exp(avg(ln(b))) AS gm FROM bw GROUP BY 1),
+bw2 AS (SELECT bw.g, value, b * h / gm AS bandwidth FROM bw JOIN gm ON bw.g = gm.g),
+grid AS (SELECT g, i, mn + i * (mx - mn) / 99.0 AS x FROM p, range(0, 100) t(i)),
+kd AS (SELECT gr.g, gr.i, gr.x, avg({phi('(gr.x - bw2.value) / bw2.bandwidth')} / bw2.bandwidth) AS density,
+  avg(-((gr.x - bw2.value) / bw2.bandwidth) * {phi('(gr.x - bw2.value) / bw2.bandwidth')} / (bw2.bandwidth * bw2.bandwidth)) AS d1,
+  avg(((gr.x - bw2.value) / bw2.bandwidth * (gr.x - bw2.value) / bw2.bandwidth - 1) * {phi('(gr.x - bw2.value) / bw2.bandwidth')} / (bw2.bandwidth * bw2.bandwidth * bw2.bandwidth)) AS d2,
+  avg(0.5 * (1.0 + {_erf_sql('((gr.x - bw2.value) / bw2.bandwidth / sqrt(2.0))')})) AS cdf FROM grid gr JOIN bw2 ON gr.g = bw2.g GROUP BY ALL)"""
+
+
+def _invert_sql(name: str, target: str) -> str:
+    return f"""{name} AS (SELECT g, arg_min(x + ({target} - cdf) * (nx - x) / (nc - cdf), i) AS xv FROM
+  (SELECT k.*, lead(x) OVER w AS nx, lead(cdf) OVER w AS nc, sk.skew FROM kd k JOIN sk ON k.g = sk.g WINDOW w AS (PARTITION BY k.g ORDER BY i))
+  WHERE cdf <= {target} AND nc >= {target} AND nc > cdf GROUP BY g)"""
+
+
+CUT_SQL = f"""WITH raw AS (SELECT o_orderpriority AS g, o_totalprice AS v FROM orders),
+rb AS (SELECT g, min(v) AS rmn, max(v) AS rmx FROM raw GROUP BY 1),
+nz AS (SELECT raw.g, (v - rmn) / (rmx - rmn) AS value FROM raw JOIN rb ON raw.g = rb.g),
+{_adaptive_ctes('nz')},
+sk AS (SELECT g, sum(power(v - mu, 3)) / n / power(sum(power(v - mu, 2)) / n, 1.5) * sqrt(n * (n - 1)) / (n - 2) AS skew
+  FROM (SELECT g, v, avg(v) OVER (PARTITION BY g) AS mu, count(*) OVER (PARTITION BY g) AS n FROM raw) GROUP BY g, n),
+lg AS (SELECT *, lag(d1) OVER (PARTITION BY g ORDER BY i) AS p1, lag(d2) OVER (PARTITION BY g ORDER BY i) AS p2 FROM kd),
+pts AS (SELECT g, i, x, density AS y, cdf, 'Minimum' AS pt FROM lg WHERE p1 IS NOT NULL AND d1 >= 0 AND p1 < 0
+  UNION ALL SELECT g, i, x, density, cdf, 'Maximum' FROM lg WHERE p1 IS NOT NULL AND d1 <= 0 AND p1 > 0
+  UNION ALL SELECT g, i, x, density, cdf, 'InflectionPoint' FROM lg WHERE p1 IS NOT NULL AND ((d2 >= 0 AND p2 < 0) OR (d2 <= 0 AND p2 > 0))),
+ext AS (SELECT *, lag(pt) OVER w AS ppt, lag(y) OVER w AS py, lead(pt) OVER w AS npt, lead(y) OVER w AS ny FROM pts WHERE pt IN ('Minimum', 'Maximum')
+  WINDOW w AS (PARTITION BY g ORDER BY x, pt)),
+c1 AS (SELECT g, arg_min(x, x) AS x1, arg_min(CASE WHEN cdf >= 0.5 THEN 'UP' ELSE 'DOWN' END, x) AS dir1 FROM ext
+  WHERE pt = 'Minimum' AND ppt = 'Maximum' AND npt = 'Maximum' AND least(cdf, 1 - cdf) >= 0.20 AND greatest(py - y, ny - y) >= 0.15 GROUP BY g),
+ip AS (SELECT *, lead(pt) OVER w AS npt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pts WINDOW w AS (PARTITION BY g ORDER BY x, pt)),
+pairs AS (SELECT g, x, (x + nx) / 2 AS xm, abs((y - ny) / (x - nx)) AS grad FROM ip WHERE pt = 'InflectionPoint' AND npt = 'InflectionPoint'),
+pc AS (SELECT pairs.g, pairs.x, pairs.xm, pairs.grad, avg(0.5 * (1.0 + {_erf_sql('((pairs.xm - bw2.value) / bw2.bandwidth / sqrt(2.0))')})) AS cm
+  FROM pairs JOIN bw2 ON pairs.g = bw2.g GROUP BY ALL),
+c2 AS (SELECT g, arg_min(xm, x) AS x2, arg_min(CASE WHEN cm >= 0.5 THEN 'UP' ELSE 'DOWN' END, x) AS dir2 FROM pc
+  WHERE least(cm, 1 - cm) >= 0.20 AND grad <= 5.0 GROUP BY g),
+{_invert_sql('c3', "CASE WHEN skew >= 0 THEN 1.0 - 0.333 ELSE 0.333 END")}
+SELECT rb.g AS o_orderpriority, CASE WHEN c1.x1 IS NOT NULL THEN 'Minimum' WHEN c2.x2 IS NOT NULL THEN 'Inflection' ELSE 'Proportion' END AS point_type,
+  round(rmn + coalesce(c1.x1, c2.x2, c3.xv) * (rmx - rmn), 2) AS cut,
+  coalesce(c1.dir1, c2.dir2, CASE WHEN sk.skew >= 0 THEN 'UP' ELSE 'DOWN' END) AS direction
+FROM rb JOIN sk ON rb.g = sk.g LEFT JOIN c1 ON rb.g = c1.g LEFT JOIN c2 ON rb.g = c2.g LEFT JOIN c3 ON rb.g = c3.g"""
+
+
+@query("kde_cut_point", CUT_SQL)
 def q_cut_point(spark, sf):
     """Classification cut point of each order priority's total-price distribution."""
-    return ST.cut_point(Tables(spark, sf).orders, ["o_orderpriority"], "o_totalprice")
+    c = ST.cut_point(Tables(spark, sf).orders, ["o_orderpriority"], "o_totalprice")
+    return c.select("o_orderpriority", "point_type", F.round("cut", 2).alias("cut"), "direction")
 
 
 CENSORED_SQL = "cz AS (SELECT event_type, CASE WHEN value < 2 THEN 2.0 ELSE round(value, 0) END AS v, CASE WHEN value < 2 THEN '<' ELSE '=' END AS m FROM events)"
