@@ -209,7 +209,49 @@ def q_opt_linspace(spark, sf):
     return sw.select("lang", F.col("step").cast("bigint").alias("step"), r6(F.col("cutoff")).alias("cutoff"), "tp", "fp", "fn", "tn", r6(F.col("score")).alias("score"))
 
 
-@query("lab_cutoff_sweep")
+SWEEP_SQL = f"""WITH {REGRESSION},
+r AS (SELECT l_returnflag AS g, label, prediction FROM reg),
+sk AS (SELECT g, sum(power(label - mu, 3)) / n / power(sum(power(label - mu, 2)) / n, 1.5) * sqrt(n * (n - 1)) / (n - 2) AS skew
+  FROM (SELECT g, label, avg(label) OVER (PARTITION BY g) AS mu, count(*) OVER (PARTITION BY g) AS n FROM r) GROUP BY g, n),
+o AS (SELECT g, label AS x, row_number() OVER (PARTITION BY g ORDER BY label) AS rn, count(*) OVER (PARTITION BY g) AS n FROM r),
+pp AS (SELECT DISTINCT o.g, o.n, CAST(t.p AS DOUBLE) AS p FROM o, range(1, 50) t(p)),
+tg AS (SELECT g, n, p, (100.0 - p) / 100.0 * (n + 1) AS th, p / 100.0 * (n + 1) AS tl FROM pp),
+pv AS (SELECT tg.g, tg.p,
+  CASE WHEN th < 1 THEN min(o.x) WHEN th >= tg.n THEN max(o.x) ELSE max(o.x) FILTER (WHERE o.rn = floor(th)) + (th - floor(th)) * (max(o.x) FILTER (WHERE o.rn = floor(th) + 1) - max(o.x) FILTER (WHERE o.rn = floor(th))) END AS hi,
+  CASE WHEN tl < 1 THEN min(o.x) WHEN tl >= tg.n THEN max(o.x) ELSE max(o.x) FILTER (WHERE o.rn = floor(tl)) + (tl - floor(tl)) * (max(o.x) FILTER (WHERE o.rn = floor(tl) + 1) - max(o.x) FILTER (WHERE o.rn = floor(tl))) END AS lo
+  FROM tg JOIN o ON tg.g = o.g GROUP BY tg.g, tg.p, tg.n, th, tl),
+th AS (SELECT pv.g, p, CASE WHEN skew > 0 THEN 'UP' ELSE 'DOWN' END AS direction, CASE WHEN skew > 0 THEN hi ELSE lo END AS threshold FROM pv JOIN sk ON pv.g = sk.g),
+c0 AS (SELECT th.g, th.p, th.direction, th.threshold, r.prediction AS prob,
+  CAST(CASE WHEN (th.direction = 'UP' AND r.label >= th.threshold) OR (th.direction = 'DOWN' AND r.label <= th.threshold) THEN 1 ELSE 0 END AS DOUBLE) AS lab
+  FROM th JOIN r ON th.g = r.g),
+keep AS (SELECT g, p FROM c0 GROUP BY g, p HAVING sum(lab) >= 1),
+c AS (SELECT c0.* FROM c0 JOIN keep ON c0.g = keep.g AND c0.p = keep.p),
+rng AS (SELECT g, p, min(prob) AS mn, max(prob) AS mx FROM c GROUP BY g, p),
+pc AS (SELECT g, p, prob, count(*) FILTER (WHERE lab = 1) AS pos, count(*) FILTER (WHERE lab = 0) AS neg FROM c GROUP BY ALL),
+bk0 AS (SELECT pc.*, rng.mn, rng.mx, CASE WHEN rng.mx = rng.mn THEN 99 ELSE CAST(floor((prob - rng.mn) / (rng.mx - rng.mn) * 99) AS INTEGER) END AS b0
+  FROM pc JOIN rng ON pc.g = rng.g AND pc.p = rng.p),
+bk1 AS (SELECT *, CASE WHEN prob < mn + b0 * (mx - mn) / 99.0 THEN b0 - 1 ELSE b0 END AS b1 FROM bk0),
+bk AS (SELECT *, CASE WHEN b1 < 99 AND prob >= mn + (b1 + 1) * (mx - mn) / 99.0 THEN b1 + 1 ELSE b1 END AS b FROM bk1),
+ps AS (SELECT g, p, b, sum(pos) AS sp, sum(neg) AS sn FROM bk GROUP BY ALL),
+grid AS (SELECT rng.g, rng.p, t.step, rng.mn + t.step * (rng.mx - rng.mn) / 99.0 AS cutoff FROM rng, range(0, 100) t(step)),
+gs AS (SELECT grid.*, coalesce(ps.sp, 0) AS sp, coalesce(ps.sn, 0) AS sn FROM grid LEFT JOIN ps ON grid.g = ps.g AND grid.p = ps.p AND grid.step = ps.b),
+sw AS (SELECT g, p, step, cutoff, sum(sp) OVER (PARTITION BY g, p ORDER BY step DESC ROWS UNBOUNDED PRECEDING) AS tp,
+  sum(sn) OVER (PARTITION BY g, p ORDER BY step DESC ROWS UNBOUNDED PRECEDING) AS fp, sum(sp) OVER (PARTITION BY g, p) AS tot_pos, sum(sn) OVER (PARTITION BY g, p) AS tot_neg FROM gs),
+sc AS (SELECT *, tot_pos - tp AS fn, tot_neg - fp AS tn FROM sw),
+sc2 AS (SELECT *, {f1()} AS score FROM sc),
+bc AS (SELECT g, p, arg_max(cutoff, (score, -step)) AS cut FROM sc2 GROUP BY g, p),
+st AS (SELECT c.g, c.p, count(*) FILTER (WHERE lab = 1 AND prob >= cut) AS tp, count(*) FILTER (WHERE lab = 0 AND prob < cut) AS tn,
+  count(*) FILTER (WHERE lab = 0 AND prob >= cut) AS fp, count(*) FILTER (WHERE lab = 1 AND prob < cut) AS fn FROM c JOIN bc ON c.g = bc.g AND c.p = bc.p GROUP BY c.g, c.p),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY g, p ORDER BY prob DESC ROWS UNBOUNDED PRECEDING) AS cum_tp, sum(pos) OVER (PARTITION BY g, p) AS tot_pos,
+  sum(neg) OVER (PARTITION BY g, p) AS tot_neg FROM pc),
+auc AS (SELECT g, p, sum((neg / tot_neg) * (2 * cum_tp - pos) / (2 * tot_pos)) AS roc_auc FROM cu GROUP BY g, p),
+det AS (SELECT st.*, {f1()} AS f1, auc.roc_auc, th.direction, th.threshold FROM st JOIN auc ON st.g = auc.g AND st.p = auc.p JOIN th ON st.g = th.g AND st.p = th.p),
+ok AS (SELECT * FROM det WHERE tp + fn >= 10 AND (tp + fn) * 100.0 / (tp + fn + fp + tn) >= 5.0 AND f1 >= 0.5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY roc_auc DESC, p ASC) AS rk FROM ok) WHERE rk = 1)
+SELECT g AS l_returnflag, p AS percent, direction, round(threshold, 6) AS threshold, round(roc_auc, 6) AS roc_auc, round(f1, 6) AS f1, tp, fp, tn, fn FROM best"""
+
+
+@query("lab_cutoff_sweep", SWEEP_SQL)
 def q_cutoff_sweep(spark, sf):
     """Percent sweep 1..49 of the regression pairs per return flag; best AUC per group (see labels.cutoff_sweep)."""
     r = Tables(spark, sf).regression_pairs()
