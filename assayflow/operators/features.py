@@ -149,7 +149,13 @@ def shingles(text: Column, n: int = 3) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased Unicode word tokens of the whole text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(word_split(text), lambda w: w != "")
+
+
+def word_split(text: Column) -> Column:
+    """Split on non-letter/digit runs (may hold empty strings at the ends; explode then filter them as rows,
+    which keeps the hot path in whole-stage codegen)."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def feature_counts(df: DataFrame, id_col: str, tokens: Column, name: str = "feature") -> DataFrame:

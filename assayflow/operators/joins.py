@@ -96,7 +96,8 @@ def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature",
     """Exploded sparse count vectors (id, keep..., feature, count).  The input is hash-partitioned by id first,
     so the per-(id, feature) counts and everything keyed by id downstream need no further shuffle."""
     d = df.repartition(partitions, id_col) if partitions else df.repartition(id_col)
-    return d.select(id_col, *keep, F.explode(tokens).alias(name)).groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))
+    e = d.select(id_col, *keep, F.explode(tokens).alias(name)).filter(F.col(name) != "")
+    return e.groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 
 def nearest_similarity(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, feature: str = "feature",
@@ -122,17 +123,15 @@ def nearest_similarity(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, fea
     n_ds = ds.count()
     if n_ds <= BROADCAST_MAX_ROWS:
         post = ds.join(dsn, [ds_id, *gcols]).groupBy(F.col(feature).alias("__f")).agg(
-            F.collect_list(F.struct(F.col(ds_id).alias("d"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(gcols)],
-                                    F.col("count").alias("cb"), F.col("__nb").alias("nb"))).alias("__post"))
+            F.collect_list(F.struct(F.col(ds_id).cast("long").alias("d"), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(gcols)],
+                                    F.col("count").cast("double").alias("cb"), F.col("__nb").cast("double").alias("nb"))).alias("__post"))
         j = bg.join(F.broadcast(post), bg[feature] == post["__f"], "left")
-        terms = F.concat(
-            F.array(F.struct(F.lit(None).cast("long").alias("d"), *[F.lit(None).cast("string").alias(f"g{i}") for i in range(len(gcols))],
-                             (F.col("count") * F.col("count")).alias("v"), F.lit(None).cast("double").alias("nb"))),
-            F.transform(F.coalesce(F.col("__post"), F.array()), lambda e: F.struct(
-                e["d"].cast("long").alias("d"), *[e[f"g{i}"].cast("string").alias(f"g{i}") for i in range(len(gcols))],
-                (F.col("count") * e["cb"]).alias("v"), e["nb"].alias("nb"))),
-        )
-        t = j.select(bg_id, F.explode(terms).alias("t")).select(bg_id, "t.*")
+        # the item's own entry (d = null, cb = count) makes count * cb its squared norm; no lambda, so the
+        # explode and the products stay in whole-stage codegen
+        own = F.array(F.struct(F.lit(None).cast("long").alias("d"), *[F.lit(None).cast("string").alias(f"g{i}") for i in range(len(gcols))],
+                               F.col("count").alias("cb"), F.lit(None).cast("double").alias("nb")))
+        terms = F.concat(own, F.coalesce(F.col("__post"), F.array().cast(post.schema["__post"].dataType)))
+        t = j.select(bg_id, "count", F.explode(terms).alias("t")).select(bg_id, "t.*", (F.col("count") * F.col("t.cb")).alias("v"))
         sums = t.groupBy(bg_id, "d", *[f"g{i}" for i in range(len(gcols))]).agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
         from pyspark.sql import Window
 
@@ -185,13 +184,12 @@ def _pair_similarities(big: DataFrame, big_id: str, small: DataFrame, small_id:
     keep = list(keep)
     sn = small.groupBy(small_id).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
     post = small.join(sn, small_id).groupBy(F.col("feature").alias("__f")).agg(
-        F.collect_list(F.struct(F.col(small_id).alias("s"), F.col("count").alias("cb"), F.col("__nb").alias("nb"))).alias("__post"))
+        F.collect_list(F.struct(F.col(small_id).cast("long").alias("s"), F.col("count").cast("double").alias("cb"),
+                                F.col("__nb").cast("double").alias("nb"))).alias("__post"))
     j = big.join(F.broadcast(post), big["feature"] == post["__f"], "left")
-    terms = F.concat(
-        F.array(F.struct(F.lit(None).cast("long").alias("s"), (F.col("count") * F.col("count")).alias("v"), F.lit(None).cast("double").alias("nb"))),
-        F.transform(F.coalesce(F.col("__post"), F.array()), lambda e: F.struct(e["s"].cast("long").alias("s"), (F.col("count") * e["cb"]).alias("v"), e["nb"].alias("nb"))),
-    )
-    t = j.select(big_id, *keep, F.explode(terms).alias("t")).select(big_id, *keep, "t.*")
+    own = F.array(F.struct(F.lit(None).cast("long").alias("s"), F.col("count").alias("cb"), F.lit(None).cast("double").alias("nb")))
+    terms = F.concat(own, F.coalesce(F.col("__post"), F.array().cast(post.schema["__post"].dataType)))
+    t = j.select(big_id, *keep, "count", F.explode(terms).alias("t")).select(big_id, *keep, "t.s", "t.nb", (F.col("count") * F.col("t.cb")).alias("v"))
     sums = t.groupBy(big_id, *keep, "s").agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
     from pyspark.sql import Window
 

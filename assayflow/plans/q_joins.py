@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayflow.operators import joins as J
-from assayflow.operators.features import words
+from assayflow.operators.features import word_split, words
 from assayflow.plans.inputs import Tables
 from assayflow.plans.q_metrics import r6
 from assayflow.plans.registry import query
@@ -104,11 +104,11 @@ tn AS (SELECT did, bid, dot / (dn.n + bn.n - dot) AS t FROM pr JOIN dn ON pr.did
 
 
 def _doc_postings(t):
-    return J.postings(t.documents.select("doc_id", "text"), "doc_id", words(F.col("text")))
+    return J.postings(t.documents.select("doc_id", "text"), "doc_id", word_split(F.col("text")))
 
 
 def _bench_postings(t):
-    return J.postings(t.benchmark.select("item_id", "text"), "item_id", words(F.col("text")))
+    return J.postings(t.benchmark.select("item_id", "text"), "item_id", word_split(F.col("text")))
 
 
 @query("join_nearest_sim", f"""WITH {WORDS_SQL}
@@ -125,7 +125,7 @@ SELECT b.item_id, round(coalesce(max(t) FILTER (WHERE lang = 'de'), 0.0), 6) AS
 FROM benchmark b LEFT JOIN lt ON b.item_id = lt.bid GROUP BY b.item_id""")
 def q_profile(spark, sf):
     t = Tables(spark, sf)
-    docs = J.postings(t.documents.select("doc_id", "lang", "text"), "doc_id", words(F.col("text")), keep=["lang"])
+    docs = J.postings(t.documents.select("doc_id", "lang", "text"), "doc_id", word_split(F.col("text")), keep=["lang"])
     names = ["de", "en", "es", "fr"]
     p = J.similarity_profile(_bench_postings(t), "item_id", docs, "doc_id", "lang", names, all_ids=t.benchmark.select("item_id"))
     return p.select("item_id", *[r6(F.col(n)).alias(n) for n in names])
