@@ -37,14 +37,18 @@ def _score_cols(pred: DataFrame, classification: bool) -> DataFrame:
 
 
 def cv_predict(est: Estimator, df: DataFrame, k: int, fold: str = "fold", label: str = "label", keep: Sequence[str] = (),
-               classification: bool = False) -> DataFrame:
+               classification: bool = False, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions (``foldNo`` added) for one estimator.
 
-    A fold whose training labels are all equal fails (checked before the fit).
+    Fold fits are submitted concurrently (like ``CrossValidator(parallelism=...)``);
+    each is a distributed MLlib fit on a filter of one persisted frame.  A
+    fold whose training labels are all equal fails (checked before the fit).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     df = df.persist()
-    parts = []
-    for f in range(k):
+
+    def run(f: int) -> DataFrame:
         train = df.filter(F.col(fold) != f)
         n_labels = train.agg(F.countDistinct(label)).first()[0]
         if n_labels < 2:
@@ -52,7 +56,10 @@ def cv_predict(est: Estimator, df: DataFrame, k: int, fold: str = "fold", label:
         model = est.fit(train)
         p = model.transform(df.filter(F.col(fold) == f))
         cols = [*keep, label, "prediction"] + (["probability"] if classification and "probability" in p.columns else [])
-        parts.append(_score_cols(p.select(*cols), classification).withColumn("foldNo", F.lit(f)))
+        return _score_cols(p.select(*cols), classification).withColumn("foldNo", F.lit(f))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        parts = list(pool.map(run, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -94,10 +101,17 @@ def best_params(results: DataFrame, params: Sequence[str], metric: str) -> dict:
 def leaderboard(estimators: dict[str, Estimator], df: DataFrame, k: int, metric: str, label: str = "label",
                 classification: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Cross-validate several estimators; returns (long predictions with ``estimator``, ranked metrics)."""
-    preds = None
-    for name, est in estimators.items():
-        p = cv_predict(est, df, k, label=label, classification=classification, keep=keep).withColumn("estimator", F.lit(name))
-        preds = p if preds is None else preds.unionByName(p)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(item):
+        name, est = item
+        return cv_predict(est, df, k, label=label, classification=classification, keep=keep).withColumn("estimator", F.lit(name))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(estimators)))) as pool:
+        parts = list(pool.map(run, estimators.items()))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
     m = evaluate(preds, metric, label, "prediction", "probability", ["estimator"])
     from pyspark.sql import Window
 
