@@ -231,3 +231,16 @@ def base_table(long: DataFrame, key: str, title: str, responses: Sequence[str])
         n = counts.filter(F.col("response") == r).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
         g = g.withColumn(r, checked(F.col(r), n > 0, f"recipe field {r} has no values"))
     return g
+
+
+def drop_constant_sparse(long: DataFrame, id_col: str, idx: str, val: str, n_rows: Column) -> DataFrame:
+    """Sparse form: drop indices holding one value in every row (implicit zeros included; NaN is an error)
+    and renumber the kept indices densely in index order.  ``n_rows`` is the number of vectors."""
+    from assayflow.operators.ordered import add_position
+
+    st = long.groupBy(idx).agg(F.count(val).alias("__nz"), F.min(val).alias("__mn"), F.max(val).alias("__mx"),
+                               F.count_if(F.isnan(val)).alias("__nan"), F.first(n_rows).alias("__n"))
+    constant = F.when(F.col("__nz") < F.col("__n"), (F.col("__mn") == 0) & (F.col("__mx") == 0)).otherwise(F.col("__mn") == F.col("__mx"))
+    keep = st.filter(checked(~constant, F.col("__nan") == 0, "NaN feature value")).select(idx)
+    renum = add_position(keep, [idx], (), "__new")
+    return long.join(renum, idx).select(id_col, F.col("__new").cast("int").alias(idx), val)

@@ -168,3 +168,18 @@ def q_pca(spark, sf):
     e = _emb(Tables(spark, sf)).select("vec_id", FT.to_ml_vector("a").alias("features"))
     m = Pipeline(stages=[PCA(k=10, inputCol="features", outputCol="pca")]).fit(e)
     return m.transform(e).select("vec_id", vector_to_array("pca").alias("pca"))
+
+
+@query("feat_drop_constant_sparse", f"""WITH {WORDS_DICT}, n AS (SELECT count(*) AS n FROM benchmark),
+st AS (SELECT bw.word, count(*) AS nz, min(cnt) AS mn, max(cnt) AS mx FROM bw GROUP BY 1),
+kept AS (SELECT st.word FROM st, n WHERE NOT (CASE WHEN nz < n.n THEN mn = 0 AND mx = 0 ELSE mn = mx END)),
+re AS (SELECT kept.word, row_number() OVER (ORDER BY dict.idx) - 1 AS idx FROM kept JOIN dict ON kept.word = dict.word)
+SELECT bw.id AS item_id, CAST(re.idx AS INTEGER) AS idx, bw.cnt AS val FROM bw JOIN re ON bw.word = re.word""")
+def q_drop_constant_sparse(spark, sf):
+    """Sparse word-count vectors of the benchmark with constant dictionary positions dropped and renumbered."""
+    t = Tables(spark, sf)
+    w = _bench_words(t)
+    d = FT.hash_index(w, "word")
+    long = w.join(d, "word").select("item_id", F.col("index").cast("int").alias("idx"), F.col("count").alias("val"))
+    n = t.benchmark.agg(F.count(F.lit(1))).scalar()
+    return FT.drop_constant_sparse(long, "item_id", "idx", "val", n)

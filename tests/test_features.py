@@ -47,3 +47,18 @@ def test_drop_constant_positions(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0, float(-i)]) for i in range(4)], "id int, a array<double>")
     out = FT.drop_constant(df, "a", "k").orderBy("id").toPandas()
     assert [list(r) for r in out["k"]] == [[0.0, 0.0], [1.0, -1.0], [2.0, -2.0], [3.0, -3.0]]
+
+
+def test_drop_constant_sparse(spark):
+    # index 0 varies, index 5 is 2.0 everywhere (constant), index 9 appears in one of three rows (varies via implicit zeros)
+    rows = [(1, 0, 1.0), (1, 5, 2.0), (2, 0, 3.0), (2, 5, 2.0), (3, 5, 2.0), (3, 9, 4.0)]
+    long = spark.createDataFrame(rows, "id int, idx int, val double")
+    out = FT.drop_constant_sparse(long, "id", "idx", "val", F.lit(3)).orderBy("id", "idx").collect()
+    assert [(r["id"], r["idx"], r["val"]) for r in out] == [(1, 0, 1.0), (2, 0, 3.0), (3, 1, 4.0)]
+
+
+def test_standard_scaling_gives_zero_mean_unit_sd(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    z = FT.standard_scale(e, "a", "z", center=True)
+    st = FT.vector_stats(z, "z").toPandas()
+    assert np.allclose(st["mean"], 0.0, atol=1e-12) and np.allclose(st["sd"], 1.0, atol=1e-9)

@@ -81,3 +81,15 @@ def test_value_cdf_seed_point(spark):
     c = ST.value_cdf(df, ["g"], "v", "k").orderBy("point").toPandas()
     assert c["x"].tolist() == pytest.approx([-0.5, 0.0, 0.5, 1.0])
     assert c["y"].tolist() == pytest.approx([0.0, 2 / 12, 6 / 12, 1.0])
+
+
+def test_kaplan_meier_right_censored_mirror(spark):
+    rows = [(6.0, "="), (3.0, "="), (5.0, "<"), (10.0, "<"), (6.0, "="), (12.0, "="), (5.0, "="), (5.0, "<")]
+    mirrored = [("g", -v, ">" if m == "<" else m) for v, m in rows]
+    tab, summ = ST.kaplan_meier(spark.createDataFrame(mirrored, "g string, value double, modifier string"), ["g"], "value", "modifier")
+    t = [(r["value"], r["total"], r["exact"], r["f"]) for r in tab.orderBy("index").collect()]
+    exp = [(-12, 8, 1, 1.0), (-6, 6, 2, 0.875), (-5, 4, 1, 0.5833), (-3, 1, 1, 0.4375)]
+    for (v, n, e, f), (ev, en, ee, ef) in zip(t, exp):
+        assert v == ev and n == en and e == ee and f == pytest.approx(ef, abs=1e-4)
+    s = summ.first()
+    assert s["mean"] == pytest.approx(-5.292, abs=1e-3) and s["variance"] == pytest.approx(9.236, abs=1e-3)
