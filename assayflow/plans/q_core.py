@@ -51,7 +51,7 @@ def q_lookup(spark, sf):
     return n.select("n_nationkey", F.col(name).alias("col2"), F.lit(T.has_column(n, "n_name")).alias("has_n_name"))
 
 
-@query("proj_row_map", "SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS row FROM customer")
+@query("proj_row_map", "SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS VARCHAR) AS row FROM customer")
 def q_row_map(spark, sf):
     return T.row_map(Tables(spark, sf).customer, ["c_custkey", "c_name", "c_mktsegment"])
 
@@ -113,7 +113,7 @@ def q_null_positions(spark, sf):
     return p.filter(F.col("quality").isNull()).select("pos", "doc_id")
 
 
-@query("filt_estimator_input", "SELECT vec_id AS no, CAST(label AS DOUBLE) AS label, len(embedding) AS n_features FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
+@query("filt_estimator_input", "SELECT vec_id AS no, CAST(label AS DOUBLE) AS label, CAST(len(embedding) AS INTEGER) AS n_features FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
 def q_estimator_input(spark, sf):
     e = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("no"), F.col("label").cast("double").alias("label"), "embedding")
     return T.estimator_input(e, "no", "label", "embedding").select("no", "label", F.size("embedding").alias("n_features"))
@@ -198,7 +198,7 @@ def q_topk_ranked(spark, sf):
     return m.withColumn("rank", F.rank().over(Window.orderBy(F.col("rmse").desc())).cast("bigint"))
 
 
-@query("topk_argmax_vec", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax FROM embeddings")
+@query("topk_argmax_vec", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax FROM embeddings")
 def q_argmax(spark, sf):
     return Tables(spark, sf).embeddings.select("vec_id", argmax("embedding").alias("argmax"))
 

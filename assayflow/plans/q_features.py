@@ -18,7 +18,7 @@ def q_assemble(spark, sf):
     return c.select("c_custkey", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
-@query("feat_drop_constant", "SELECT vec_id, len(embedding) + 1 AS width, round(list_sum(CAST(embedding AS DOUBLE[])) + label, 4) AS total FROM embeddings")
+@query("feat_drop_constant", "SELECT vec_id, CAST(len(embedding) + 1 AS INTEGER) AS width, round(list_sum(CAST(embedding AS DOUBLE[])) + label, 4) AS total FROM embeddings")
 def q_drop_constant(spark, sf):
     e = Tables(spark, sf).embeddings.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0), F.col("label").cast("double"))).alias("v"))
     d = FT.drop_constant(e, "v", "kept")

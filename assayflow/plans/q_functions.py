@@ -179,7 +179,7 @@ def q_vec_slice(spark, sf):
     return e.select("vec_id", *[r6(F.col("s")[i]).alias(n) for i, n in enumerate(["f0", "f5", "f10"])])
 
 
-@query("fn_vec_codec", "SELECT vec_id, len(embedding) AS n, true AS dense_ok, true AS sparse_ok FROM embeddings")
+@query("fn_vec_codec", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, true AS dense_ok, true AS sparse_ok FROM embeddings")
 def q_vec_codec(spark, sf):
     e = Tables(spark, sf).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     back = S.text_to_dense(S.dense_to_text(F.col("a")))

@@ -22,7 +22,7 @@ def q_typed_csv(spark, sf):
     return IO.read_typed_csv(spark, path)
 
 
-@query("sink_typed_csv", "SELECT vec_id, label, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 3) AS total FROM embeddings")
+@query("sink_typed_csv", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 3) AS total FROM embeddings")
 def q_sink_typed_csv(spark, sf):
     e = Tables(spark, sf).embeddings.select(F.col("vec_id").cast("int"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     path = scratch_dir(spark, "typed-vec")
@@ -137,7 +137,7 @@ def q_label_columns(spark, sf):
     return IO.label_columns(j)
 
 
-@query("src_vector_width", "SELECT label, max(len(embedding)) AS width FROM embeddings GROUP BY 1")
+@query("src_vector_width", "SELECT label, CAST(max(len(embedding)) AS INTEGER) AS width FROM embeddings GROUP BY 1")
 def q_vector_width(spark, sf):
     return IO.vector_width(Tables(spark, sf).embeddings, ["label"], "embedding")
 

@@ -187,7 +187,7 @@ def q_f1_guarded(spark, sf):
 
 
 @query("agg_roc_curve", f"""WITH {SCORED}, {MIDPOINT_SQL}
-SELECT lang, probability, cum_tp, cum_fp, round(cum_fp / N, 6) AS fpr, round(cum_tp / P, 6) AS tpr FROM cum""")
+SELECT lang, probability, CAST(cum_tp AS BIGINT) AS cum_tp, CAST(cum_fp AS BIGINT) AS cum_fp, round(cum_fp / N, 6) AS fpr, round(cum_tp / P, 6) AS tpr FROM cum""")
 def q_roc_curve(spark, sf):
     pts = M.roc_curve(Tables(spark, sf).scored_documents(), ["lang"], "label", "probability")
     return pts.select("lang", "probability", "cum_tp", "cum_fp", r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"))

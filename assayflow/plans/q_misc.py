@@ -215,7 +215,7 @@ def q_udf_row(spark, sf):
     return both.select("no", (F.abs(F.col("ours") - F.col("prediction")) < 1e-9).alias("same"))
 
 
-@query("udf_column", "SELECT p_partkey, upper(p_name) AS name_upper, length(p_name) AS name_length FROM part")
+@query("udf_column", "SELECT p_partkey, upper(p_name) AS name_upper, CAST(length(p_name) AS INTEGER) AS name_length FROM part")
 def q_udf_column(spark, sf):
     p = Tables(spark, sf).part
     p = U.with_column_from(p, "name_upper", F.upper, "p_name")
