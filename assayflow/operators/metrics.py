@@ -187,8 +187,9 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
         "__neg",
         "__P",
         "__N",
-        safe_div(F.col("cum_fp"), F.col("__N"), None).alias("fpr"),
-        safe_div(F.col("cum_tp"), F.col("__P"), None).alias("tpr"),
+        # a single-class group has no ROC curve: NaN coordinates (0/0, as in the workbench), no division error
+        safe_div(F.col("cum_fp"), F.col("__N"), float("nan")).alias("fpr"),
+        safe_div(F.col("cum_tp"), F.col("__P"), float("nan")).alias("tpr"),
     )
 
 
