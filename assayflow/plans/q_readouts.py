@@ -180,14 +180,14 @@ def q_regression_table(spark, sf):
     return d.select("table_key", "molecule", r6(RD.regression_label(F.col("label"), unit_units)).alias("label"))
 
 
-@query("rd_iterate_tables", f"""WITH {DATA_SQL} SELECT table_key, count(*) AS n, count(DISTINCT value) AS n_distinct FROM ft WHERE table_key IN (SELECT table_key FROM big)
-GROUP BY 1 HAVING count(*) >= 100 AND count(DISTINCT value) > 90""")
+@query("rd_iterate_tables", f"""WITH {DATA_SQL} SELECT table_key, count(*) AS n, count(DISTINCT round(value, 9)) AS n_distinct FROM ft WHERE table_key IN (SELECT table_key FROM big)
+GROUP BY 1 HAVING count(*) >= 100 AND count(DISTINCT round(value, 9)) > 90""")
 def q_iterate_tables(spark, sf):
     t = Tables(spark, sf)
     g = _grouped(spark, sf).withColumnRenamed("activity", "value")
     d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"))
     it = RD.iterate_tables(d, "table_key", "label")
-    return it.groupBy("table_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_distinct"))
+    return it.groupBy("table_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.round("label", 9)).alias("n_distinct"))
 
 
 @query("agg_readout_count", f"""WITH {MEAS}, l AS (SELECT protocol, 'activity' AS readout, activity AS v FROM meas UNION ALL SELECT protocol, 'target', NULL FROM meas UNION ALL SELECT protocol, 'units', NULL FROM meas)
