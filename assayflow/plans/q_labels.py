@@ -134,8 +134,8 @@ def q_log_table(spark, sf):
     return L.log_table(e, ["event_type"], "value").select("event_id", "arithmetic_value", r6(F.col("log_value")).alias("log_value"))
 
 
-@query("lab_activity_transform", """SELECT event_id, round(-log10(value * 1e-6), 6) AS p_um, round(-log10(value * 1e-9), 6) AS p_nm,
-  round(log10(value), 6) AS lg FROM events""")
+@query("lab_activity_transform", """SELECT event_id, CASE WHEN value > 0 THEN round(-log10(value * 1e-6), 6) END AS p_um,
+  CASE WHEN value > 0 THEN round(-log10(value * 1e-9), 6) END AS p_nm, CASE WHEN value > 0 THEN round(log10(value), 6) END AS lg FROM events""")
 def q_activity_transform(spark, sf):
     e = Tables(spark, sf).events
     return e.select("event_id", *[r6(S.activity_transform(F.col("value"), n)).alias(a) for n, a in (("uM_to_pIc50", "p_um"), ("nM_to_pIc50", "p_nm"), ("log10", "lg"))])
@@ -146,7 +146,7 @@ UNIT_CASE = "CASE WHEN k < 25 THEN 'uM' WHEN k < 50 THEN 'nano molar' WHEN k < 7
 
 @query("lab_pic50", f"""WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 u AS (SELECT event_id, value, {UNIT_CASE} AS unit FROM e)
-SELECT event_id, unit, round(-(log10(value) + CASE WHEN unit = 'pM' THEN -12.0 WHEN unit = 'nano molar' THEN -9.0 WHEN unit = 'uM' THEN -6.0 ELSE -3.0 END), 6) AS pic50 FROM u""")
+SELECT event_id, unit, CASE WHEN value > 0 THEN round(-(log10(value) + CASE WHEN unit = 'pM' THEN -12.0 WHEN unit = 'nano molar' THEN -9.0 WHEN unit = 'uM' THEN -6.0 ELSE -3.0 END), 6) END AS pic50 FROM u""")
 def q_pic50(spark, sf):
     e = Tables(spark, sf).events.select("event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     k = F.col("k")

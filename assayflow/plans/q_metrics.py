@@ -208,7 +208,8 @@ def q_roc_spark(spark, sf):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     s = Tables(spark, sf).scored_documents()
-    ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC")
+    # numBins=0: no down-sampling of the curve, so ties collapse exactly as in the trapezoid form
+    ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC", numBins=0)
     spark_auc = ev.evaluate(s)
     ours = M.roc_auc(s, [], "label", "probability")
     return ours.select(F.round(F.lit(spark_auc), 6).alias("auc_mllib"), r6(F.col("roc_auc")).alias("auc_trapezoid"))
