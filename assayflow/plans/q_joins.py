@@ -12,11 +12,12 @@ from assayflow.plans.registry import query
 from assayflow.plans.sql_inputs import REGRESSION
 
 
-@query("join_inner_key", "SELECT c.c_custkey AS no, c.c_acctbal, o.n_orders FROM customer c JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey")
+@query("join_inner_key", "SELECT c.c_custkey AS no, c.c_acctbal, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def q_inner_key(spark, sf):
+    """Two feature tables of the same customers joined on the key, failing if any row loses its partner."""
     t = Tables(spark, sf)
     a = t.customer.select(F.col("c_custkey").alias("no"), "c_acctbal")
-    b = t.orders.groupBy(F.col("o_custkey").alias("no")).agg(F.count(F.lit(1)).alias("n_orders"))
+    b = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("no"), "n_name")
     return J.inner_join_audited(a, b, "no")
 
 
