@@ -11,7 +11,8 @@ from assayflow.plans.inputs import TABLES
 from .conftest import SF_SMALL
 
 FAST = ["agg_eval_report", "agg_spearman", "agg_percentile_n1", "join_nearest_sim", "km_table", "rd_data_table",
-        "lab_opt_linspace", "src_typed_csv", "feat_standard_scale", "tune_delta", "win_ecdf", "fn_tokenize"]
+        "lab_opt_linspace", "src_typed_csv", "feat_standard_scale", "tune_delta", "win_ecdf", "fn_tokenize",
+        "kendall_tau_b", "kde_cut_point", "kde_adaptive"]
 
 
 def test_entry_runs(spark):
