@@ -294,9 +294,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and null ids give a row each.  Other columns are not looked at.  An empty table gives an empty result.
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sample = texts.filter(F.col("text").rlike("@[A-Za-z0-9-]+\\.|\\+[0-9]")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-    rows = sample.orderBy("h", "doc_id", "text").limit(SAMPLE_DOCS).collect()  # of the training sample only
-    w = train([r["text"] for r in rows])
+    marked = texts.filter(F.col("text").rlike("@[A-Za-z0-9-]+\\.|\\+[0-9]"))
+    chosen = marked.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+    rows = texts.filter(F.col("doc_id").isin([r["doc_id"] for r in chosen])).collect() if chosen else []  # of the training sample only
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    w = train([r["text"] for r in rows if r["text"]])
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
     def run(cols: dict[str, list]) -> dict[str, list]:
