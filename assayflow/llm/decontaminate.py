@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from assayflow.llm.common import MULTIPLIER, PLAIN_WORDS, WordHashes, encoded, map_columns, windows, word_hashes
 
@@ -196,12 +197,17 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` with all columns, less the rows into which any benchmark item leaks (no join: the test runs on each row)."""
     for items in _blocks(benchmark, item_col, item_text_col, seed):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        memo = WordHashes()
+        docs = docs.filter(~_leaking(shared, coverage)(F.col(text_col)))
+    return docs
 
-        @pandas_udf("boolean")
-        def leaks(text: pd.Series, shared=shared, memo=memo) -> pd.Series:
-            seq = (word_hashes(encoded(t).translate(PLAIN_WORDS).split(), memo) for t in text)
-            return pd.Series([bool(shared.value.leaks(w, coverage)) for w in seq], dtype=bool)
 
-        docs = docs.filter(~leaks(F.col(text_col)))
-    return docs
+def _leaking(shared, coverage: float):
+    """A Column function: whole text -> whether any item of the block leaks into it."""
+    memo = WordHashes()
+
+    @pandas_udf(BooleanType())
+    def leaking(text: pd.Series) -> pd.Series:
+        seq = (word_hashes(encoded(t).translate(PLAIN_WORDS).split(), memo) for t in text)
+        return pd.Series([bool(shared.value.leaks(w, coverage)) for w in seq], dtype=bool)
+
+    return leaking
