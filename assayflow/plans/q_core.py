@@ -180,11 +180,14 @@ def q_shuffle(spark, sf):
     return T.shuffle_rows(Tables(spark, sf).orders.select("o_orderkey"), ["o_orderkey"], seed=1234)
 
 
-@query("topk_best", """SELECT o_orderpriority, arg_max(o_orderkey, o_totalprice) AS best_order, arg_min(o_orderkey, o_totalprice) AS cheapest_order
+@query("topk_best", """SELECT o_orderpriority, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best_order, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest_order
 FROM orders GROUP BY o_orderpriority""")
 def q_topk_best(spark, sf):
     o = Tables(spark, sf).orders
-    return o.groupBy("o_orderpriority").agg(F.max_by("o_orderkey", "o_totalprice").alias("best_order"), F.min_by("o_orderkey", "o_totalprice").alias("cheapest_order"))
+    return o.groupBy("o_orderpriority").agg(
+        F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best_order"),  # ties: the smallest key
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest_order"),
+    )
 
 
 @query("topk_ranked", f"""WITH {REGRESSION}, m AS (SELECT l_returnflag, l_linestatus, round(sqrt(avg((label - prediction) * (label - prediction))), 6) AS rmse FROM reg GROUP BY ALL)
@@ -205,17 +208,20 @@ def q_argmax(spark, sf):
 
 # ------------------------------------------------------------ set operations
 
-@query("set_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("set_append", "SELECT o_orderkey, o_orderstatus FROM orders")
 def q_append(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", "o_orderstatus")
-    return T.append(o.filter(F.col("o_orderstatus") == "F"), o.filter(F.col("o_orderstatus") == "O"))
+    finished = F.col("o_orderstatus").eqNullSafe("F")
+    return T.append(o.filter(finished), o.filter(~finished))
 
 
 @query("set_append_many", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def q_append_many(spark, sf):
     o = Tables(spark, sf).orders
-    prios = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    parts = [o.filter(F.col("o_orderpriority") == p).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")) for p in prios]
+    prios = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+    named = [F.col("o_orderpriority").eqNullSafe(p) for p in prios]
+    rest = ~(named[0] | named[1] | named[2] | named[3])  # whatever else there is
+    parts = [o.filter(c).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")) for c in [*named, rest]]
     return T.append_many(parts)
 
 

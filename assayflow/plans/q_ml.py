@@ -241,7 +241,7 @@ def q_cv_predict_spark(spark, sf):
     d = CV.add_folds(_class_data(Tables(spark, sf)), ["no"], K, method="hash")
     lr = MD.estimator("logistic", maxIter=20)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), foldCol="fold")
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(numBins=0), foldCol="fold")
     m = cv.fit(d)
     return spark.createDataFrame([(float(g[lr.regParam]), float(a)) for g, a in zip(grid, m.avgMetrics)], "regParam double, auc double")
 

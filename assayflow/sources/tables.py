@@ -139,9 +139,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: ``title`` (first line; the structure block is kept as text, not parsed),
     ``block`` and a ``fields`` map built from the ``> <name>`` data blocks."""
     raw = spark.read.option("lineSep", RECORD_END + "\n").text(path)
-    v = F.regexp_replace(F.col("value"), r"^\n+", "")
-    names = F.regexp_extract_all(v, F.lit(r"(?m)^> *<([^>]+)>[^\n]*\n([^\n]*)"), 1)
-    vals = F.regexp_extract_all(v, F.lit(r"(?m)^> *<([^>]+)>[^\n]*\n([^\n]*)"), 2)
+    v = F.regexp_replace(F.col("value"), "\r\n", "\n")
+    # a data block runs to the next blank line or field, over as many lines as it has
+    data = F.lit(r"(?ms)^> *<([^>]+)>[^\n]*\n(.*?)(?=\n\s*\n|\n> *<|\s*\z)")
+    names, vals = F.regexp_extract_all(v, data, 1), F.regexp_extract_all(v, data, 2)
     return raw.filter(F.trim("value") != "").select(
         F.substring_index(v, "\n", 1).alias("title"),
         v.alias("block"),

@@ -71,3 +71,11 @@ def test_decode_readouts_rejects_unknown_keys(spark):
     bad = spark.createDataFrame([(1, '{"1": {"value": "2.5", "colour": "red"}}')], "row long, readouts string")
     with pytest.raises(Exception):
         RD.decode_readouts(bad).collect()
+
+
+def test_record_blocks_keep_all_their_lines(spark, tmp_path):
+    rows = [("", "first\nsecond", None), ("t2", "one", "x"), ("t3", None, "a\r\nb")]
+    path = str(tmp_path / "records")
+    IO.write_records(spark.createDataFrame(rows, "title string, a string, b string"), path, "title", ["a", "b"])
+    got = {r["title"]: r["fields"] for r in IO.read_records(spark, path).collect()}
+    assert got == {"": {"a": "first\nsecond", "b": None}, "t2": {"a": "one", "b": "x"}, "t3": {"a": None, "b": "a\nb"}}
