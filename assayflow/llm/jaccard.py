@@ -10,12 +10,13 @@ meet in one.  The boundary minimises the estimated number of list entries,
 from the histogram of small set sizes.
 
 Documents with equal sets collapse to their smallest id first.  Lists with
-one entry drop out.  Pairs are then tested exactly, from whole sets: while
-the lists would give many more pairs than they have entries, a round tests
-each entry against one pivot of its list only and joins what is linked; the
-last round tests every remaining pair of a list whose two documents are not
-connected yet.  So a group of near copies costs a few tests a document, and
-no link that joins two components is lost.
+one entry drop out.  In a star round each entry meets one pivot of its list
+only, and what is linked becomes one component; the last round takes every
+remaining pair of a list whose two documents are not connected yet.  So a
+group of near copies costs a few tests a document, and no link that joins two
+components is lost.  A pair is tested in two steps: the number of listed
+shingles that it shares bounds its intersection, and what may reach the
+similarity is decided from the whole sets.
 """
 
 from __future__ import annotations
@@ -38,15 +39,14 @@ from assayflow.llm.components import components
 WIDTH = 5
 PERCENT = 80
 #: Counters of the frequency sketch (a fixed size, whatever the input) and of one of its slabs.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
 SLAB = 1 << 16
 #: Largest set size that the cost model considers for subset enumeration.
 LIGHT_MAX = 24
 #: Work of one inverted-list entry in units of one subset key (entries are wider scanned and tested).
 ENTRY_COST = 4.0
-#: Star rounds go on while the lists hold more open pairs than this many times their entries.
-PAIRS_PER_ENTRY = 8
-STAR_ROUNDS = 6
+#: Star rounds at most; they end early when few pairs are open (an eighth of the entries) or a round linked few documents (1 in 200).
+STAR_ROUNDS = 8
 
 
 def shingles(text: str | None, memo: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -60,6 +60,11 @@ def shingles(text: str | None, memo: WordHashes, width: int = WIDTH) -> np.ndarr
     return np.unique(windows(h, width))
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    """The sketch counter of each shingle."""
+    return (s >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def needed(n: int, m: int, percent: int = PERCENT) -> int:
     """The least intersection of linked sets of sizes n and m."""
     return -(-percent * (n + m) // (100 + percent))
@@ -109,7 +114,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     types = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sketch = WordHashes(), np.zeros(COUNTERS, np.int64)
+        memo, sketch = WordHashes(), np.zeros(COUNTERS, np.int32)
 
         def rows(**cols):
             k = len(next(iter(cols.values())))
@@ -118,21 +123,21 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
         for cols in slices(batches):
             sets = [shingles(t, memo, width) for t in cols["text"]]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            if total := sum(map(len, sets)):
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS) if total else 0
+            if any(map(len, sets)):
+                sketch += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS).astype(np.int32)
             half = lambda d, i: int.from_bytes(d[i : i + 8], "little", signed=True)
             yield rows(doc_id=cols["doc_id"], n=[len(s) for s in sets], d1=[half(d, 0) for d in digests], d2=[half(d, 8) for d in digests])
         part = TaskContext.get().partitionId()
         for slab in range(COUNTERS // SLAB):
             own = sketch[slab * SLAB : (slab + 1) * SLAB]
             if own.any():
-                yield rows(slab=[slab], run=[part], counts=[own.tobytes()])
+                yield rows(slab=[slab], run=[part], counts=[own.astype(np.int64).tobytes()])
 
     return saved(docs.mapInArrow(run, schema), "profile")
 
 
 def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
-    """Base-2 logarithm of each counter of the sketch: slabs are added up in a tree, a bounded number at a time."""
+    """Logarithm of each counter of the sketch, in eighths of a power of two: slabs are added up in a tree, a bounded number at a time."""
     slabs = profile.filter("slab is not null").select("slab", "run", "counts")
     runs = (slabs.agg(F.max("run")).first()[0] or 0) + 1
 
@@ -148,12 +153,16 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
     counts = np.zeros(COUNTERS, np.int64)
     for r in slabs.collect():  # COUNTERS / SLAB rows of SLAB counters
         counts[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return np.log2(counts + 1).astype(np.uint8)
+    return np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8)
 
 
-def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> DataFrame:
-    """List entries (key, id, n, pos); pos is the shingle's place in the set's order, -1 under a subset's key."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
+    """List entries (key, id, n, pos) in lists of more than one, and each set's keys as an array (id, n, heads, keys).
+
+    ``pos`` is the shingle's place in the set's order, -1 under a subset's key; the first ``heads`` keys are shingles.
+    The arrays are written once and read for counting and for the lists.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
     memo = WordHashes()
     listed_from = -(-percent * (boundary + 1) // 100)
 
@@ -166,7 +175,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boun
                 continue
             head = np.empty(0, np.int64)
             if n >= listed_from:
-                rank = (shared.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                rank = (held.value[_counter(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 head = s[np.argsort(rank, kind="stable")[: prefix_length(n, percent)]].view(np.int64)
             light = subset_keys(s, boundary, percent) if n <= boundary else []
             ids.append(doc_id)
@@ -175,9 +184,11 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boun
             keys.append(np.concatenate([head, np.array(light, np.int64)]))
         return {"id": ids, "n": sizes, "heads": heads, "keys": keys}
 
-    out = map_columns(docs, "id long, n int, heads int, keys array<long>", emit)
-    out = out.select("id", "n", "heads", F.posexplode("keys").alias("pos", "key"))
-    return out.select("key", "id", "n", F.expr("if(pos < heads, pos, -1)").alias("pos"))
+    arrays = saved(map_columns(docs, "id long, n int, heads int, keys array<long>", emit), "keys")
+    shared = arrays.select(F.explode("keys").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("list")
+    out = arrays.select("id", "n", "heads", F.posexplode("keys").alias("pos", "key"))
+    out = out.join(shared, F.col("key") == F.col("list")).select("key", "id", "n", F.expr("if(pos < heads, pos, -1)").alias("pos"))
+    return saved(out, "entries"), arrays
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -199,11 +210,35 @@ def _possible(a: str, b: str, percent: int):
     return F.expr(f"{sizes} and ({a}pos < 0 or {b}pos < 0 or ({t} * ({bound}) >= {percent} * ({a}n + {b}n) and {own}))")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _beside(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairs with the columns of both documents, as ``<column>_u`` and ``<column>_v``."""
+    for side in ("v", "u"):
+        own = table.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols])
+        pairs = pairs.join(own, F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
+    return pairs
+
+
+def within_reach(n: int, m: int, head: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of sizes n and m may be linked, given their first shingles in the common order.
+
+    Up to the nearer end of the two heads all common shingles are seen; beyond it no more than the rest can be common.
+    """
+    both, i, j = np.intersect1d(head, other, assume_unique=True, return_indices=True)
+    p, q = (int(i.max()), int(j.max())) if len(both) else (-1, -1)
+    most = len(both) + max(min(n - len(head), m - q - 1), min(n - p - 1, m - len(other)))
+    return (100 + percent) * most >= percent * (n + m)
+
+
+def _linked(pairs: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the similarity."""
-    first = sets.select(F.col("id").alias("id_u"), F.col("items").alias("items_u"))
-    second = sets.select(F.col("id").alias("id_v"), F.col("items").alias("items_v"))
-    both = pairs.join(second, pairs["v"] == second["id_v"]).join(first, pairs["u"] == first["id_u"])
+
+    def bound(cols: dict[str, list]) -> dict[str, list]:
+        keep = []
+        for k in range(len(cols["u"])):
+            head, other = (np.array(cols[f"keys_{x}"][k][: cols[f"heads_{x}"][k]], np.int64) for x in "uv")
+            if within_reach(cols["n_u"][k], cols["n_v"][k], head, other, percent):
+                keep.append(k)
+        return {"u": [cols["u"][k] for k in keep], "v": [cols["v"][k] for k in keep]}
 
     def test(cols: dict[str, list]) -> dict[str, list]:
         keep = []
@@ -214,7 +249,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(k)
         return {"u": [cols["u"][k] for k in keep], "v": [cols["v"][k] for k in keep]}
 
-    return map_columns(both.select("u", "v", "items_u", "items_v"), "u long, v long", test)
+    near = cut(map_columns(_beside(pairs, arrays, ["n", "heads", "keys"]), "u long, v long", bound).distinct())
+    ids = cut(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
+    sets = _sets(only_ids(texts, ids), width)
+    return cut(map_columns(_beside(near, sets, ["items"]), "u long, v long", test).distinct())
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -227,30 +265,47 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(out.select("id", F.coalesce(merged["label"], labels["label"]).alias("label")))
 
 
-def _link_all(entries: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels (id, label) of all documents with an entry in a list that is not alone."""
-    rows = entries.count()
+    labels = cut(entries.select("id", F.col("id").alias("label")).distinct())
+    rows, documents, merged, tested = entries.count(), labels.count(), 0, None
     for k in range(STAR_ROUNDS + 1):
         held = labels.select(F.col("id").alias("own"), "label")
         marked = entries.join(held, entries["id"] == held["own"]).select("key", "id", "n", "pos", "label")
         pivot = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "pos", "label")
         lists = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min(pivot).alias("p"))
         lists = lists.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("p").alias("p"))
-        lists = cut(lists.filter("all * all > same").select(F.col("key").alias("list"), "all", "same", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "label")]))
+        # a list of two was done with by its first pivot
+        lists = lists.filter(f"all * all > same and all > {2 if k else 1}")
+        lists = cut(lists.select(F.col("key").alias("list"), "all", "same", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "label")]))
         open_pairs = lists.agg(F.sum(F.expr("(cast(all as double) * all - same) / 2"))).first()[0]
         if not open_pairs:
             return labels
-        last = open_pairs <= PAIRS_PER_ENTRY * rows or k == STAR_ROUNDS
-        if last:  # every pair of a list that is not connected yet
+        last = k > 0 and (open_pairs <= rows / 8 or merged < documents / 200) or k == STAR_ROUNDS
+        if last:  # every pair of a list that is not connected yet, in the first list that holds both
             live = marked.join(lists.select("list"), F.col("key") == F.col("list"), "left_semi")
-            other = live.select(*[F.col(c).alias(f"p_{c}") for c in ("key", "id", "n", "pos", "label")])
-            pairs = live.join(other, [F.col("key") == F.col("p_key"), F.col("id") < F.col("p_id"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
+            held = live.groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("at"))  # a set's entries
+            held = held.select("id", "label", F.transform("at", lambda x: x["key"]).alias("all_keys"), F.posexplode("at").alias("k", "x"))
+            live = cut(held.select("x.key", "id", "x.n", "x.pos", "label", F.expr("if(x.pos < 0, slice(all_keys, 1, 0), slice(all_keys, 1, k))").alias("prior")))
+            other = live.select(*[F.col(c).alias(f"p_{c}") for c in live.columns])
+            # nothing in common before it, so only what follows can be: a tighter bound than any shared entry gives
+            after = f"{100 + percent} * (1 + least(n - pos - 1, p_n - p_pos - 1)) >= {percent} * (n + p_n)"
+            fresh = ~F.arrays_overlap("prior", "p_prior") & F.expr(f"pos < 0 or p_pos < 0 or {after}")
+            pairs = live.join(other, [F.col("key") == F.col("p_key"), F.col("id") < F.col("p_id"), F.col("label") != F.col("p_label"), _possible("", "p_", percent), fresh])
         else:
             pairs = marked.join(lists, [F.col("key") == F.col("list"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
         pairs = pairs.select(F.least("id", "p_id").alias("u"), F.greatest("id", "p_id").alias("v")).distinct()
-        labels = _relabel(labels, cut(_linked(pairs, sets, percent)))
+        if tested is not None:
+            done = tested.select(F.col("u").alias("done_u"), F.col("v").alias("done_v"))
+            pairs = pairs.join(done, (F.col("u") == F.col("done_u")) & (F.col("v") == F.col("done_v")), "left_anti")
+        pairs = cut(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = _linked(pairs, arrays, texts, width, percent)
+        labels = _relabel(labels, links)
         if last:
             return labels
+        merged = links.count()
+        entries = cut(entries.join(lists.filter("all > 2").select("list"), F.col("key") == F.col("list"), "left_semi"))
     return labels
 
 
@@ -276,12 +331,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
     singles = without_ids(texts.filter("doc_id is not null"), copies)
-    entries = _entries(singles, _levels(profile), width, percent, boundary)
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("list"))
-    entries = saved(entries.join(shared, F.col("key") == F.col("list")).select("key", "id", "n", "pos"), "entries")
-    ids = cut(entries.select("id").distinct())
-    sets = _sets(only_ids(texts, ids), width)
-    labels = _link_all(entries, sets, ids.select("id", F.col("id").alias("label")), percent)
+    entries, arrays = _entries(singles, _levels(profile), width, percent, boundary)
+    labels = _link_all(entries, arrays, texts, width, percent)
     # texts of one id, and copies of a set, belong together
     bound = cut(named.filter("n > 0 and first <> doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).union(labels.select("id", "label").filter("id <> label")))
     final = components(bound).select(F.col("node"), F.col("label"))
