@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.session import ensure_checkpoint_dir, scratch_dir
+from assayflow.session import scratch_dir
 
 #: Rows of ids that may be broadcast (a long each); beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
@@ -17,6 +17,17 @@ BROADCAST_IDS = 2_000_000
 SLICE_ROWS = 256
 
 
+#: Rows of a batch that Spark hands to a Python worker; texts can be long, and a batch is held whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of the batches sent to Python workers, unless the session already asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def remainder(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
@@ -24,15 +35,16 @@ def remainder(doc_id: Column, modulus: int = 5) -> Column:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back: computed once, lineage cut."""
+    small_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A narrow frame computed once.  Written as a table rather than checkpointed: a checkpoint keeps the constraints
+    that the optimizer inferred for its plan, and in loops of joins those multiply."""
+    return saved(df, "cut")
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -77,6 +89,7 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in slices(batches):
@@ -89,7 +102,7 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
 class WordHashes(dict):
     """64-bit hash of each word, remembered for the words met lately (bounded)."""
 
-    LIMIT = 400_000
+    LIMIT = 80_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

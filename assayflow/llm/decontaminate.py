@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-from assayflow.llm.common import MULTIPLIER, PLAIN_WORDS, WordHashes, encoded, map_columns, windows, word_hashes
+from assayflow.llm.common import MULTIPLIER, PLAIN_WORDS, WordHashes, encoded, map_columns, small_batches, windows, word_hashes
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -195,6 +195,7 @@ def find_leaks(
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with all columns, less the rows into which any benchmark item leaks (no join: the test runs on each row)."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, item_col, item_text_col, seed):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         docs = docs.filter(~_leaking(shared, coverage)(F.col(text_col)))
