@@ -14,8 +14,8 @@ one entry drop out.  In a star round each entry meets one pivot of its list
 only, and what is linked becomes one component; the last round takes every
 remaining pair of a list whose two documents are not connected yet.  So a
 group of near copies costs a few tests a document, and no link that joins two
-components is lost.  A pair is tested in two steps: the number of listed
-shingles that it shares bounds its intersection, and what may reach the
+components is lost.  A pair is tested in two steps: parity bitmaps of both
+sets bound their symmetric difference from below, and what may reach the
 similarity is decided from the whole sets.
 """
 
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import WordHashes, at_most, cut, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
+from assayflow.llm.common import BROADCAST_IDS, WordHashes, cut, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
 from assayflow.llm.components import components
 
 WIDTH = 5
@@ -45,6 +45,9 @@ SLAB = 1 << 16
 LIGHT_MAX = 24
 #: Work of one inverted-list entry in units of one subset key (entries are wider scanned and tested).
 ENTRY_COST = 4.0
+#: Words of 64 bits in the parity bitmap of a set.
+BITMAP = 8
+BITS = [f"s{i}" for i in range(BITMAP)]
 #: Star rounds at most; they end early when few pairs are open (an eighth of the entries) or a round linked few documents (1 in 200).
 STAR_ROUNDS = 8
 
@@ -65,6 +68,13 @@ def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: each shingle flips one bit.  Common shingles flip the same ones, so two bitmaps differ in no more
+    bits than the sets differ in shingles."""
+    at = (s & np.uint64(64 * BITMAP - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int, m: int, percent: int = PERCENT) -> int:
     """The least intersection of linked sets of sizes n and m."""
     return -(-percent * (n + m) // (100 + percent))
@@ -157,17 +167,17 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
-    """List entries (key, id, n, pos) in lists of more than one, and each set's keys as an array (id, n, heads, keys).
+    """List entries (key, id, n, pos) in lists of more than one, and each set's size and bitmap (id, n, s0, s1, ...).
 
     ``pos`` is the shingle's place in the set's order, -1 under a subset's key; the first ``heads`` keys are shingles.
-    The arrays are written once and read for counting and for the lists.
+    Keys are written once, as arrays, and read for counting and for the lists.
     """
     held = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
     memo = WordHashes()
     listed_from = -(-percent * (boundary + 1) // 100)
 
     def emit(cols: dict[str, list]) -> dict[str, list]:
-        ids, sizes, heads, keys = [], [], [], []
+        ids, sizes, heads, keys, bits = [], [], [], [], []
         for doc_id, text in zip(cols["doc_id"], cols["text"]):
             s = shingles(text, memo, width)
             n = len(s)
@@ -182,13 +192,15 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boun
             sizes.append(n)
             heads.append(len(head))
             keys.append(np.concatenate([head, np.array(light, np.int64)]))
-        return {"id": ids, "n": sizes, "heads": heads, "keys": keys}
+            bits.append(parity(s))
+        words = np.array(bits, np.int64).reshape(-1, BITMAP)
+        return {"id": ids, "n": sizes, "heads": heads, "keys": keys, **{c: words[:, i] for i, c in enumerate(BITS)}}
 
-    arrays = saved(map_columns(docs, "id long, n int, heads int, keys array<long>", emit), "keys")
+    arrays = saved(map_columns(docs, "id long, n int, heads int, keys array<long>, " + ", ".join(f"{c} long" for c in BITS), emit), "keys")
     shared = arrays.select(F.explode("keys").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("list")
     out = arrays.select("id", "n", "heads", F.posexplode("keys").alias("pos", "key"))
     out = out.join(shared, F.col("key") == F.col("list")).select("key", "id", "n", F.expr("if(pos < heads, pos, -1)").alias("pos"))
-    return saved(out, "entries"), arrays
+    return saved(out, "entries"), arrays.select("id", "n", *BITS)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -210,6 +222,12 @@ def _possible(a: str, b: str, percent: int):
     return F.expr(f"{sizes} and ({a}pos < 0 or {b}pos < 0 or ({t} * ({bound}) >= {percent} * ({a}n + {b}n) and {own}))")
 
 
+def _similar(a: str, b: str, percent: int):
+    """Whether two sets can be linked by what their bitmaps say; ``a`` and ``b`` are formats of the column names."""
+    apart = " + ".join(f"bit_count({a.format(c)} ^ {b.format(c)})" for c in BITS)
+    return F.expr(f"{100 + percent}L * ({apart}) <= {100 - percent}L * ({a.format('n')} + {b.format('n')})")
+
+
 def _beside(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
     """Pairs with the columns of both documents, as ``<column>_u`` and ``<column>_v``."""
     for side in ("v", "u"):
@@ -218,28 +236,9 @@ def _beside(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
     return pairs
 
 
-def within_reach(n: int, m: int, head: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether sets of sizes n and m may be linked, given their first shingles in the common order.
-
-    Up to the nearer end of the two heads all common shingles are seen; beyond it no more than the rest can be common.
-    """
-    both, i, j = np.intersect1d(head, other, assume_unique=True, return_indices=True)
-    p, q = (int(i.max()), int(j.max())) if len(both) else (-1, -1)
-    most = len(both) + max(min(n - len(head), m - q - 1), min(n - p - 1, m - len(other)))
-    return (100 + percent) * most >= percent * (n + m)
-
-
-def _linked(pairs: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the similarity."""
 
-    def bound(cols: dict[str, list]) -> dict[str, list]:
-        keep = []
-        for k in range(len(cols["u"])):
-            head, other = (np.array(cols[f"keys_{x}"][k][: cols[f"heads_{x}"][k]], np.int64) for x in "uv")
-            if within_reach(cols["n_u"][k], cols["n_v"][k], head, other, percent):
-                keep.append(k)
-        return {"u": [cols["u"][k] for k in keep], "v": [cols["v"][k] for k in keep]}
-
     def test(cols: dict[str, list]) -> dict[str, list]:
         keep = []
         for k, (x, y) in enumerate(zip(cols["items_u"], cols["items_v"])):
@@ -249,7 +248,7 @@ def _linked(pairs: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, p
                 keep.append(k)
         return {"u": [cols["u"][k] for k in keep], "v": [cols["v"][k] for k in keep]}
 
-    near = cut(map_columns(_beside(pairs, arrays, ["n", "heads", "keys"]), "u long, v long", bound).distinct())
+    near = cut(_beside(pairs, maps, ["n", *BITS]).filter(_similar("{}_u", "{}_v", percent)).select("u", "v").distinct())
     ids = cut(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
     sets = _sets(only_ids(texts, ids), width)
     return cut(map_columns(_beside(near, sets, ["items"]), "u long, v long", test).distinct())
@@ -265,16 +264,24 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(out.select("id", F.coalesce(merged["label"], labels["label"]).alias("label")))
 
 
-def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _link_all(entries: DataFrame, maps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels (id, label) of all documents with an entry in a list that is not alone."""
     labels = cut(entries.select("id", F.col("id").alias("label")).distinct())
     rows, documents, merged, tested = entries.count(), labels.count(), 0, None
+    maps = cut(only_ids(maps, labels.select("id"), "id"))
     for k in range(STAR_ROUNDS + 1):
-        held = labels.select(F.col("id").alias("own"), "label")
-        marked = entries.join(held, entries["id"] == held["own"]).select("key", "id", "n", "pos", "label")
+        if k:  # two longs a row, broadcast below the bound of id lists
+            held = labels.select(F.col("id").alias("own"), "label")
+            held = F.broadcast(held) if documents <= BROADCAST_IDS else held
+            marked = entries.join(held, entries["id"] == held["own"]).select("key", "id", "n", "pos", "label")
+        else:
+            marked = entries.withColumn("label", F.col("id"))
         pivot = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "pos", "label")
-        lists = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min(pivot).alias("p"))
-        lists = lists.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("p").alias("p"))
+        if k:
+            lists = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min(pivot).alias("p"))
+            lists = lists.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("p").alias("p"))
+        else:  # every document is a component of its own
+            lists = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("same"), F.min(pivot).alias("p"))
         # a list of two was done with by its first pivot
         lists = lists.filter(f"all * all > same and all > {2 if k else 1}")
         lists = cut(lists.select(F.col("key").alias("list"), "all", "same", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "label")]))
@@ -284,23 +291,26 @@ def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: in
         last = k > 0 and (open_pairs <= rows / 8 or merged < documents / 200) or k == STAR_ROUNDS
         if last:  # every pair of a list that is not connected yet, in the first list that holds both
             live = marked.join(lists.select("list"), F.col("key") == F.col("list"), "left_semi")
-            held = live.groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("at"))  # a set's entries
-            held = held.select("id", "label", F.transform("at", lambda x: x["key"]).alias("all_keys"), F.posexplode("at").alias("k", "x"))
-            live = cut(held.select("x.key", "id", "x.n", "x.pos", "label", F.expr("if(x.pos < 0, slice(all_keys, 1, 0), slice(all_keys, 1, k))").alias("prior")))
-            other = live.select(*[F.col(c).alias(f"p_{c}") for c in live.columns])
+            held = live.groupBy("id").agg(F.min("label").alias("label"), F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("at"))  # a set's entries
+            texts_of = maps.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("texts"))
+            held = held.join(maps.select(F.col("id").alias("own"), *BITS), F.col("id") == F.col("own")).join(texts_of, F.col("id") == F.col("own_id"))
+            held = held.select("id", "label", "texts", *BITS, F.transform("at", lambda x: x["key"]).alias("all_keys"), F.posexplode("at").alias("k", "x"))
+            live = cut(held.select("x.key", "id", "x.n", "x.pos", "label", "texts", *BITS, F.expr("if(x.pos < 0, slice(all_keys, 1, 0), slice(all_keys, 1, k))").alias("prior")))
             # nothing in common before it, so only what follows can be: a tighter bound than any shared entry gives
-            after = f"{100 + percent} * (1 + least(n - pos - 1, p_n - p_pos - 1)) >= {percent} * (n + p_n)"
-            fresh = ~F.arrays_overlap("prior", "p_prior") & F.expr(f"pos < 0 or p_pos < 0 or {after}")
-            pairs = live.join(other, [F.col("key") == F.col("p_key"), F.col("id") < F.col("p_id"), F.col("label") != F.col("p_label"), _possible("", "p_", percent), fresh])
+            after = f"{100 + percent} * (1 + least(a.n - a.pos - 1, b.n - b.pos - 1)) >= {percent} * (a.n + b.n)"
+            # (an id with several texts has several orders, so its pairs are met in every list)
+            fresh = F.expr(f"a.texts > 1 or b.texts > 1 or not arrays_overlap(a.prior, b.prior) and (a.pos < 0 or b.pos < 0 or {after})")
+            met = F.expr("a.key = b.key and a.id < b.id and a.label <> b.label") & _possible("a.", "b.", percent) & _similar("a.{}", "b.{}", percent) & fresh
+            pairs = live.alias("a").join(live.alias("b"), met).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         else:
             pairs = marked.join(lists, [F.col("key") == F.col("list"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
-        pairs = pairs.select(F.least("id", "p_id").alias("u"), F.greatest("id", "p_id").alias("v")).distinct()
+            pairs = pairs.select(F.least("id", "p_id").alias("u"), F.greatest("id", "p_id").alias("v")).distinct()
         if tested is not None:
             done = tested.select(F.col("u").alias("done_u"), F.col("v").alias("done_v"))
             pairs = pairs.join(done, (F.col("u") == F.col("done_u")) & (F.col("v") == F.col("done_v")), "left_anti")
         pairs = cut(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        links = _linked(pairs, arrays, texts, width, percent)
+        links = _linked(pairs, maps, texts, width, percent)
         labels = _relabel(labels, links)
         if last:
             return labels
@@ -331,8 +341,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
     singles = without_ids(texts.filter("doc_id is not null"), copies)
-    entries, arrays = _entries(singles, _levels(profile), width, percent, boundary)
-    labels = _link_all(entries, arrays, texts, width, percent)
+    entries, maps = _entries(singles, _levels(profile), width, percent, boundary)
+    labels = _link_all(entries, maps, texts, width, percent)
     # texts of one id, and copies of a set, belong together
     bound = cut(named.filter("n > 0 and first <> doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).union(labels.select("id", "label").filter("id <> label")))
     final = components(bound).select(F.col("node"), F.col("label"))
