@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import BROADCAST_IDS, WordHashes, cut, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
+from assayflow.llm.common import BROADCAST_IDS, WordHashes, cut, discard, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
 from assayflow.llm.components import components
 
 WIDTH = 5
@@ -167,7 +167,7 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
-    """List entries (key, id, n, pos) in lists of more than one, and each set's size and bitmap (id, n, s0, s1, ...).
+    """List entries (key, id, n, pos) in lists of more than one, and the table of all sets (id, n, keys, s0, s1, ...).
 
     ``pos`` is the shingle's place in the set's order, -1 under a subset's key; the first ``heads`` keys are shingles.
     Keys are written once, as arrays, and read for counting and for the lists.
@@ -199,8 +199,10 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boun
     arrays = saved(map_columns(docs, "id long, n int, heads int, keys array<long>, " + ", ".join(f"{c} long" for c in BITS), emit), "keys")
     shared = arrays.select(F.explode("keys").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("list")
     out = arrays.select("id", "n", "heads", F.posexplode("keys").alias("pos", "key"))
-    out = out.join(shared, F.col("key") == F.col("list")).select("key", "id", "n", F.expr("if(pos < heads, pos, -1)").alias("pos"))
-    return saved(out, "entries"), arrays.select("id", "n", *BITS)
+    out = out.select("key", "id", F.expr("shiftleft(cast(n as long), 32) + if(pos < heads, pos + 1, 0)").alias("at"))  # one long for the shuffle
+    out = out.join(shared, F.col("key") == F.col("list"))
+    out = out.select("key", "id", F.expr("cast(shiftright(at, 32) as int)").alias("n"), F.expr("cast(at & 4294967295L as int) - 1").alias("pos"))
+    return saved(out, "entries"), arrays
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -251,7 +253,9 @@ def _linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, width: int, per
     near = cut(_beside(pairs, maps, ["n", *BITS]).filter(_similar("{}_u", "{}_v", percent)).select("u", "v").distinct())
     ids = cut(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
     sets = _sets(only_ids(texts, ids), width)
-    return cut(map_columns(_beside(near, sets, ["items"]), "u long, v long", test).distinct())
+    links = cut(map_columns(_beside(near, sets, ["items"]), "u long, v long", test).distinct())
+    discard(near, ids, sets)
+    return links
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -264,11 +268,12 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(out.select("id", F.coalesce(merged["label"], labels["label"]).alias("label")))
 
 
-def _link_all(entries: DataFrame, maps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels (id, label) of all documents with an entry in a list that is not alone."""
     labels = cut(entries.select("id", F.col("id").alias("label")).distinct())
     rows, documents, merged, tested = entries.count(), labels.count(), 0, None
-    maps = cut(only_ids(maps, labels.select("id"), "id"))
+    maps = cut(only_ids(arrays.select("id", "n", *BITS), labels.select("id"), "id"))
+    discard(arrays)
     for k in range(STAR_ROUNDS + 1):
         if k:  # two longs a row, broadcast below the bound of id lists
             held = labels.select(F.col("id").alias("own"), "label")
@@ -309,13 +314,17 @@ def _link_all(entries: DataFrame, maps: DataFrame, texts: DataFrame, width: int,
             done = tested.select(F.col("u").alias("done_u"), F.col("v").alias("done_v"))
             pairs = pairs.join(done, (F.col("u") == F.col("done_u")) & (F.col("v") == F.col("done_v")), "left_anti")
         pairs = cut(pairs)
+        if last:
+            discard(entries, lists, live)
         tested = pairs if tested is None else tested.union(pairs)
         links = _linked(pairs, maps, texts, width, percent)
         labels = _relabel(labels, links)
         if last:
             return labels
         merged = links.count()
-        entries = cut(entries.join(lists.filter("all > 2").select("list"), F.col("key") == F.col("list"), "left_semi"))
+        kept = cut(entries.join(lists.filter("all > 2").select("list"), F.col("key") == F.col("list"), "left_semi"))
+        discard(entries, lists)
+        entries = kept
     return labels
 
 
@@ -341,8 +350,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
     singles = without_ids(texts.filter("doc_id is not null"), copies)
-    entries, maps = _entries(singles, _levels(profile), width, percent, boundary)
-    labels = _link_all(entries, maps, texts, width, percent)
+    entries, arrays = _entries(singles, _levels(profile), width, percent, boundary)
+    labels = _link_all(entries, arrays, texts, width, percent)
     # texts of one id, and copies of a set, belong together
     bound = cut(named.filter("n > 0 and first <> doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).union(labels.select("id", "label").filter("id <> label")))
     final = components(bound).select(F.col("node"), F.col("label"))
