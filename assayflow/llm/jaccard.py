@@ -39,7 +39,7 @@ from assayflow.llm.components import components
 WIDTH = 5
 PERCENT = 80
 #: Counters of the frequency sketch (a fixed size, whatever the input) and of one of its slabs.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 23
 SLAB = 1 << 16
 #: Largest set size that the cost model considers for subset enumeration.
 LIGHT_MAX = 24
@@ -68,6 +68,15 @@ def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A slab of counts in the narrowest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) // SLAB}").astype(np.int64)
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """Bitmap of a set: each shingle flips one bit.  Common shingles flip the same ones, so two bitmaps differ in no more
     bits than the sets differ in shingles."""
@@ -134,14 +143,14 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, memo, width) for t in cols["text"]]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             if any(map(len, sets)):
-                sketch += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS).astype(np.int32)
+                np.add.at(sketch, _counter(np.concatenate(sets)), 1)
             half = lambda d, i: int.from_bytes(d[i : i + 8], "little", signed=True)
             yield rows(doc_id=cols["doc_id"], n=[len(s) for s in sets], d1=[half(d, 0) for d in digests], d2=[half(d, 8) for d in digests])
         part = TaskContext.get().partitionId()
         for slab in range(COUNTERS // SLAB):
             own = sketch[slab * SLAB : (slab + 1) * SLAB]
             if own.any():
-                yield rows(slab=[slab], run=[part], counts=[own.astype(np.int64).tobytes()])
+                yield rows(slab=[slab], run=[part], counts=[packed(own)])
 
     return saved(docs.mapInArrow(run, schema), "profile")
 
@@ -152,8 +161,10 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
     runs = (slabs.agg(F.max("run")).first()[0] or 0) + 1
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"slab": pdf["slab"].iloc[:1], "run": pdf["run"].iloc[:1], "counts": [total.tobytes()]})
+        total = np.zeros(SLAB, np.int64)
+        for x in pdf["counts"]:
+            total += unpacked(x)
+        return pd.DataFrame({"slab": pdf["slab"].iloc[:1], "run": pdf["run"].iloc[:1], "counts": [packed(total)]})
 
     while True:
         slabs = slabs.withColumn("run", F.expr(f"run div {fan_in}").cast("int")).groupBy("slab", "run").applyInPandas(add, slabs.schema)
@@ -162,7 +173,7 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
             break
     counts = np.zeros(COUNTERS, np.int64)
     for r in slabs.collect():  # COUNTERS / SLAB rows of SLAB counters
-        counts[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(bytes(r["counts"]), np.int64)
+        counts[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = unpacked(bytes(r["counts"]))
     return np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8)
 
 
