@@ -74,13 +74,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ------------------------------------------------------------------ candidates
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
-TRIGGER = re.compile(r"[0-9](?:[ .()-]{0,3}[0-9]){5,}|[\[({]\s?(?i:at)\s?[\])}]|(?<=[A-Za-z0-9]) (?i:at) (?=[A-Za-z0-9-]+ (?i:dot) )|[0-9]{1,3}(?:\s?[\[(](?:\.|dot)[\])]\s?[0-9]{1,3}){3}")
+#: Where a variant may stand: digit groups, numbers with written dots between them, and every "at" that MAIL_SHAPE knows
+#: before a host with a dot (an "@" only where the base pattern does not take it); one to three numbers are no host.
+_OBSCURED = r"(?:\s?[\[({]dot[\])}]\s?| dot )"
+_HOST = r"(?![0-9]+(?:\.[0-9]+){0,2}(?![A-Za-z0-9-]|\.[A-Za-z0-9]))[A-Za-z0-9-]+(?:\.|" + _OBSCURED + ")[A-Za-z0-9-]"
+TRIGGER = re.compile(
+    r"(?i)[0-9](?:[ ./_()-]{0,3}[0-9]){5,}"
+    r"|[0-9]{1,3}(?:(?:\s?[\[({](?:\.|dot)[\])}]\s?| dot )[0-9]{1,3}){3}"
+    r"|[\[({]\s?at\s?[\])}]"
+    rf"|(?<=[A-Za-z0-9_%+-])\s? at \s?(?={_HOST})"
+    rf"|@(?=[A-Za-z0-9-]+{_OBSCURED}[A-Za-z0-9-])|\s@(?=\s?{_HOST})|@\s(?={_HOST})"
+)
 PHONE_CUE = re.compile(r"(?i)(?:tel|phone|call|fax|mobile)[.:]?\s*$")
 MAIL_CUE = re.compile(r"(?i)(?:e-?mail|contact|write)[.:]?\s*$")
 CARD_CUE = re.compile(r"(?i)(?:card|visa|credit|payment)[.:]?\s*$")
 IP_CUE = re.compile(r"(?i)(?:ip|host|server|addr|address)[.:]?\s*$")
-MAIL_SHAPE = re.compile(r"(?i)[a-z0-9][a-z0-9_%+-]*(?:(?:\.|\s?[\[({]dot[\])}]\s?| dot )[a-z0-9_%+-]+)*\s?(?:[\[({]\s?at\s?[\])}]| at |@)\s?[a-z0-9-]+(?:(?:\.|\s?[\[({]dot[\])}]\s?| dot )[a-z0-9-]+)+\Z")
-IP_SHAPE = re.compile(r"[0-9]{1,3}(?:\s?[\[({](?:\.|dot)[\])}]\s?[0-9]{1,3}){3}\Z|[0-9]{1,3}(?: dot [0-9]{1,3}){3}\Z")
+MAIL_SHAPE = re.compile(r"(?i)[a-z0-9][a-z0-9_%+-]*(?:(?:\.|\s?[\[({]dot[\])}]\s?| dot )[a-z0-9_%+-]+)*\s?(?:[\[({]\s?at\s?[\])}]| at |@)\s?(?![0-9]+(?:\.[0-9]+){0,2}\Z)[a-z0-9-]+(?:(?:\.|\s?[\[({]dot[\])}]\s?| dot )[a-z0-9-]+)+\Z")
+IP_SHAPE = re.compile(r"(?i)[0-9]{1,3}(?:\s?[\[({](?:\.|dot)[\])}]\s?[0-9]{1,3}){3}\Z|[0-9]{1,3}(?: dot [0-9]{1,3}){3}\Z")
 PHONE_SHAPE = re.compile(r"(?:00[ .-]?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}\Z")
 FEATURES = 30
 
@@ -88,8 +98,6 @@ FEATURES = 30
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches around triggers where a written variant may stand; stretches that meet become one."""
     out: list[list[int]] = []
-    if not (DIGIT.search(text) or "[" in text or "(" in text or "{" in text or " dot " in text or " DOT " in text):
-        return []
     for m in TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and lo <= out[-1][1]:

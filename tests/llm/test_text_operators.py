@@ -258,6 +258,26 @@ def _likelihood(window, w, gold):
     return total + sum(s[i, 0, 0] for i in range(n) if i not in covered) - a[n]
 
 
+def test_every_written_form_lies_in_a_window():
+    rng = np.random.default_rng(77)
+    forms = [span for span, kind in (I._variants(rng) for _ in range(1500)) if kind]
+    forms += ["bob at mail.example dot com", "bob at mail.example.com", "bob At example Dot org", "bob @ mail.example.com", "bob@mail dot com", "a-b  at  c [dot] org"]
+    forms += ["10{dot}20{dot}30{dot}40", "10 Dot 20 Dot 30 Dot 40", "10 {.} 20 {.} 30 {.} 40"]
+    for span in forms:
+        left = "please send the word about it to "
+        text = left + span + " and the rest of this text"
+        assert any(lo <= len(left) and len(left) + len(span) <= hi for lo, hi in I.windows(text)), span
+    for plain in ("jo@mail.example.com", "arrive at 5.30 pm", "look at it. Then go", "no dot here"):
+        assert I.windows(plain) == []
+
+
+def test_planted_cards_and_ips_are_returned(spark):  # noqa: F811
+    planted = [("card", "4123/4567/8901/2349"), ("card", "4123_4567_8901_2349"), ("ip", "10 dot 20 dot 30 dot 40"), ("ip", "10{dot}20{dot}30{dot}40")]
+    left = "please ask for "
+    got = by_id(I.find_personal_data(docs_of(spark, [(i, f"{left}{x} now and then") for i, (_, x) in enumerate(planted)])))
+    assert [r["spans"] for r in got] == [f"{k}:{len(left)}:{len(left) + len(x)}" for k, x in planted]
+
+
 # ------------------------------------------------------------------ 6
 @pytest.mark.parametrize("keep", ["min", "max"])
 @pytest.mark.parametrize("fan_in", [2, 16])
