@@ -181,6 +181,22 @@ def hash_index(long: DataFrame, feature: str) -> DataFrame:
     return add_position(long.select(feature).distinct(), [feature], (), "index")
 
 
+def word_vectors(df: DataFrame, id_col: str, tokens: str, name: str = "features") -> DataFrame:
+    """``df`` with the sparse vector of each row's word counts over all words of ``df``, however many there are.
+
+    The dictionary is a table joined to the counts; only its size reaches the driver.  ``id_col`` is unique.
+    """
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    counts = feature_counts(df, id_col, F.col(tokens), "__word")
+    words_ = hash_index(counts, "__word")
+    size = words_.count()
+    entry = F.struct(F.col("index").cast("int").alias("i"), F.col("count").alias("c"))
+    rows = counts.join(words_, "__word").groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(entry)).alias("__at"))
+    vector = F.udf(lambda at: Vectors.sparse(size, [x[0] for x in at or ()], [x[1] for x in at or ()]), VectorUDT())
+    return df.join(rows, F.col(id_col) == F.col("__id"), "left").withColumn(name, vector("__at")).drop("__id", "__at")
+
+
 def descriptors(text: Column) -> Column:
     """Fixed-width numeric descriptor vector of a text; any null element -> null vector."""
     arr = F.array(

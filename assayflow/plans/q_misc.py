@@ -189,13 +189,12 @@ def q_bad_category(spark, sf):
 @query("rd_ml_readouts")
 def q_ml_readouts(spark, sf):
     """Text classifier over tokenized names (label tokenizer -> word counts -> naive Bayes / random forest), ranked by CV accuracy."""
-    from pyspark.ml.feature import CountVectorizer
+    from assayflow.operators.features import word_vectors
 
     t = Tables(spark, sf)
     d = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     d = d.select(F.col("doc_id").alias("no"), "label", S.tokenize(F.col("text")).alias("tokens"))
-    cvm = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0).fit(d)
-    d = CV.add_folds(cvm.transform(d), ["no"], 3)
+    d = CV.add_folds(word_vectors(d, "no", "tokens"), ["no"], 3)
     ests = {"naive_bayes": MD.estimator("nb_multinomial"), "random_forest": MD.estimator("rf_class", numTrees=10)}
     _, ranked = CV.leaderboard(ests, d, 3, "accuracy", classification=True)
     return ranked

@@ -62,3 +62,14 @@ def test_standard_scaling_gives_zero_mean_unit_sd(spark):
     z = FT.standard_scale(e, "a", "z", center=True)
     st = FT.vector_stats(z, "z").toPandas()
     assert np.allclose(st["mean"], 0.0, atol=1e-12) and np.allclose(st["sd"], 1.0, atol=1e-9)
+
+
+def test_word_vectors_keep_every_word(spark):
+    n = 270_000  # more than CountVectorizer keeps unless told otherwise
+    docs = spark.range(300).select(F.col("id").alias("no"), F.expr(f"transform(sequence(id * {n // 300}, id * {n // 300} + {n // 300 - 1}), x -> concat('w', x))").alias("tokens"))
+    docs = docs.union(spark.createDataFrame([(1000, ["w5", "w5", "w269999"]), (1001, []), (1002, None)], "no long, tokens array<string>"))
+    got = {r["no"]: r["features"] for r in FT.word_vectors(docs, "no", "tokens").select("no", "features").collect()}
+    assert len(got) == 303 and {v.size for v in got.values()} == {n}
+    assert all(got[i].values.tolist() == [1.0] * (n // 300) for i in range(300))
+    assert sorted(got[1000].values) == [1.0, 2.0] and got[1001].numNonzeros() == got[1002].numNonzeros() == 0
+    assert len(set().union(*(got[i].indices.tolist() for i in range(300)))) == n
