@@ -70,6 +70,20 @@ def test_adaptive_kde_close_to_brute_force(spark):
     assert np.allclose(got["density"].values, dens, rtol=1e-3, atol=1e-6)
 
 
+def test_adaptive_bandwidths_of_a_heavy_tailed_group_against_all_samples(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, 15000), rng.normal(900, 40, 15), rng.normal(3000, 200, 5), [1e5]])
+    df = spark.createDataFrame(pd.DataFrame({"g": "x", "v": v}))
+    got = ST.kde_adaptive_bandwidths(df, ["g"], "v").toPandas()
+    n, v = len(v), got["v"].values
+    h = 1.06 * v.std(ddof=1) * n ** -0.2
+    assert (v.max() - v.min()) / 1023 > h / 2
+    pilot = np.concatenate([np.exp(-0.5 * ((x[:, None] - v[None, :]) / h) ** 2).mean(axis=1) for x in np.array_split(v, 60)]) / (h * math.sqrt(2 * math.pi))
+    b = h / (pilot * n)
+    b = b * h / np.exp(np.log(b).mean())
+    assert np.allclose(got["bandwidth"].values, b, rtol=5e-3)
+
+
 def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([("g", float(x)) for x in [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]], "g string, v double")
     h = ST.frequency(df, ["g"], "v", 10).orderBy("bin").toPandas()
