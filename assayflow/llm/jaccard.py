@@ -357,7 +357,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = cut(alike.filter("copies > 1").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), F.col("n").alias("g_n"), "first"))
     same = [F.col("d1") == F.col("g1"), F.col("d2") == F.col("g2"), F.col("n") == F.col("g_n")]
     named = sized.join(groups, same, "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first"))
-    copies = named.filter("doc_id <> first").select("doc_id")
+    # an id leaves the search only if each of its texts is a copy: another text has links of its own
+    copies = cut(named.filter("doc_id <> first").select("doc_id").distinct())
+    copies = without_ids(copies, only_ids(named.filter("n > 0 and doc_id = first").select("doc_id"), copies))
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
     singles = without_ids(texts.filter("doc_id is not null"), copies)

@@ -9,9 +9,10 @@ it as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayflow.llm.classifier import THRESHOLD, fit_quality, quality_score
-from assayflow.llm.common import saved, without_ids
+from assayflow.llm.common import BROADCAST_IDS, at_most, saved, without_ids
 from assayflow.llm.decontaminate import drop_leaking
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.jaccard import jaccard_components
@@ -26,7 +27,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    return without_ids(docs, exact_dedup(docs, keep="max").filter("not kept").select("doc_id"))
+    gone = exact_dedup(docs, keep="max").filter("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    gone = saved(gone.distinct(), "copies")
+    side = F.broadcast(gone) if at_most(gone, BROADCAST_IDS // 4) else gone  # an id and 32 bytes a row
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256))
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,6 +338,21 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, star_rounds,
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute_components(rows)
 
 
+def test_an_id_with_a_copied_and_a_near_copied_text_keeps_both_links(spark):  # noqa: F811
+    one, other = " ".join(f"one{j}" for j in range(40)), " ".join(f"other{j}" for j in range(40))
+    rows = [(10, one), (11, one), (11, other), (12, other + " end"), (13, one), (14, "alone in all of this"), (15, one), (15, "")]
+    got = J.jaccard_components(docs_of(spark, rows))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute_components(rows)
+
+
+def test_exact_copies_go_row_by_row(spark):  # noqa: F811
+    import corpus_pipeline as CP
+
+    rows = [(1, "a"), (2, "a"), (1, "only here"), (2, "c"), (3, "c"), (4, None), (5, ""), (6, "d"), (6, "d"), (None, "a"), (None, "e")]
+    got = sorted(((r["doc_id"], r["text"]) for r in CP.drop_exact(spark, docs_of(spark, rows), "").collect()), key=str)
+    assert got == sorted([(2, "a"), (1, "only here"), (3, "c"), (5, ""), (6, "d"), (6, "d"), (None, "e")], key=str)
+
+
 def test_bitmaps_never_say_more_than_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60, 400, 3000):
