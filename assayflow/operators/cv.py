@@ -37,8 +37,9 @@ def _score_cols(pred: DataFrame, classification: bool) -> DataFrame:
 
 
 def cv_predict(est: Estimator, df: DataFrame, k: int, fold: str = "fold", label: str = "label", keep: Sequence[str] = (),
-               classification: bool = False, parallelism: int = 4) -> DataFrame:
-    """Out-of-fold predictions (``foldNo`` added) for one estimator.
+               classification: bool = False, parallelism: int = 4, with_train: bool = False) -> DataFrame:
+    """Out-of-fold predictions (``foldNo`` added) for one estimator; ``with_train`` adds each fold's predictions of its own
+    training rows, marked by the column ``in_train``.
 
     Fold fits are submitted concurrently (like ``CrossValidator(parallelism=...)``);
     each is a distributed MLlib fit on a filter of one persisted frame.  A
@@ -54,8 +55,8 @@ def cv_predict(est: Estimator, df: DataFrame, k: int, fold: str = "fold", label:
         if n_labels < 2:
             raise ValueError(f"fold {f}: all training labels are equal")
         model = est.fit(train)
-        p = model.transform(df.filter(F.col(fold) == f))
-        cols = [*keep, label, "prediction"] + (["probability"] if classification and "probability" in p.columns else [])
+        p = model.transform(df.withColumn("in_train", F.col(fold) != f) if with_train else df.filter(F.col(fold) == f))
+        cols = [*keep, label, "prediction"] + (["in_train"] if with_train else []) + (["probability"] if classification and "probability" in p.columns else [])
         return _score_cols(p.select(*cols), classification).withColumn("foldNo", F.lit(f))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
@@ -73,6 +74,17 @@ def fold_metrics(pred: DataFrame, metric: str, label: str = "label", by: Sequenc
     return per.unionByName(allf)
 
 
+def cv_report(pred: DataFrame, metric: str, label: str = "label") -> DataFrame:
+    """Out-of-fold predictions with the overall metric and the train and test metric of each row's fold, from predictions
+    made ``with_train``."""
+    test = pred.filter("not in_train").drop("in_train")
+    parts = evaluate(pred, metric, label, "prediction", "probability", ["foldNo", "in_train"])
+    folds = parts.groupBy(F.col("foldNo").alias("__fold")).agg(
+        F.max(F.when(F.col("in_train"), F.col("value"))).alias(f"train_{metric}"), F.max(F.when(~F.col("in_train"), F.col("value"))).alias(f"test_{metric}"))
+    overall = evaluate(test, metric, label, "prediction", "probability").select("value").scalar()
+    return test.join(F.broadcast(folds), F.col("foldNo") == F.col("__fold")).drop("__fold").withColumn(metric, overall)  # a row a fold
+
+
 def param_grid(spec: dict[str, Sequence]) -> list[dict]:
     """Cartesian parameter grid (name -> values) in declaration order."""
     names = list(spec)

@@ -237,7 +237,7 @@ def idf_score(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def base_table(long: DataFrame, key: str, title: str, responses: Sequence[str]) -> DataFrame:
     """Ingest builder: key, title and, per recipe response, its text column and numeric column.
-    A response with no values at all fails the job."""
+    A response with no values at all fails the job, whichever columns are read."""
     g = long.groupBy(key, title).agg(
         *[F.max(F.when(F.col("response") == r, F.col("raw"))).alias(r) for r in responses],
         *[F.max(F.when(F.col("response") == r, F.col("value"))).alias(f"{r}_value") for r in responses],
@@ -245,7 +245,8 @@ def base_table(long: DataFrame, key: str, title: str, responses: Sequence[str])
     counts = long.groupBy("response").agg(F.count("raw").alias("n"))
     for r in responses:
         n = counts.filter(F.col("response") == r).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-        g = g.withColumn(r, checked(F.col(r), n > 0, f"recipe field {r} has no values"))
+        for c in (key, r):
+            g = g.withColumn(c, checked(F.col(c), n > 0, f"recipe field {r} has no values"))
     return g
 
 

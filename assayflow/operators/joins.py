@@ -43,9 +43,11 @@ def merge_check(a: DataFrame, b: DataFrame, key: str, cols: Sequence[str],
     return j.withColumn("mismatch", checked(F.col("mismatch"), ok, "merge check failed: too many mismatched or missing rows"))
 
 
-def mismatch_rate(a: DataFrame, b: DataFrame, key: str, pred: Column) -> DataFrame:
-    """Share of joined rows failing ``pred`` (written over columns of both sides)."""
-    return a.join(b, key).agg(F.avg(F.when(pred, F.lit(0.0)).otherwise(F.lit(1.0))).alias("mismatch_rate"))
+def mismatch_rate(a: DataFrame, b: DataFrame, key: str, pred: Column, limit: float = 0.05) -> DataFrame:
+    """Share of joined rows failing ``pred`` (written over columns of both sides); above ``limit`` the job fails."""
+    rate = a.join(b, key).agg(F.avg(F.when(pred, F.lit(0.0)).otherwise(F.lit(1.0))).alias("mismatch_rate"))
+    ok = F.col("mismatch_rate").isNull() | (F.col("mismatch_rate") <= limit)
+    return rate.select(checked(F.col("mismatch_rate"), ok, f"more than {limit:.0%} mismatched rows").alias("mismatch_rate"))
 
 
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -129,10 +129,10 @@ def q_base_table(spark, sf):
     from assayflow.sources import tables as IO
 
     r = _records(spark, sf).select(F.col("fields")["p_partkey"].cast("bigint").alias("key"), "title", "fields")
-    recipe = spark.createDataFrame([(x["file"], x["response"], x["category"], x["transform"]) for x in RECIPE if x["response"] != "p_retailprice"],
+    recipe = spark.createDataFrame([(x["file"], x["response"], x["category"], x["transform"]) for x in RECIPE],
                                    "file string, response string, category string, transform string")
     long = IO.apply_recipe(r.select("key", "fields"), "key", recipe).join(r.select("key", "title"), "key")
-    b = FT.base_table(long, "key", "title", ["p_size", "p_type"])
+    b = FT.base_table(long, "key", "title", [x["response"] for x in RECIPE])  # the SQL compares two fields of three
     return b.select("key", "title", "p_size", r6(F.col("p_size_value")).alias("p_size_value"), "p_type", "p_type_value")
 
 

@@ -13,6 +13,7 @@ from assayflow.operators import metrics as M
 from assayflow.operators import models as MD
 from assayflow.operators import screening as SC
 from assayflow.operators.features import descriptors, to_ml_vector
+from assayflow.operators.metrics import checked
 from assayflow.plans.inputs import Tables
 from assayflow.plans.q_metrics import MIDPOINT_SQL, r6
 from assayflow.plans.registry import query
@@ -211,12 +212,15 @@ def _doc_features(t):
 
 @query("ml_score_features")
 def q_score_features(spark, sf):
-    """Score every document with a model trained on the labelled ones; output aligned to the input key."""
+    """Score every document with a stored model, trained on the labelled ones; prediction and probability aligned to the input key."""
     t = Tables(spark, sf)
     f = _doc_features(t)
     train = f.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    model = MD.estimator("logistic", maxIter=20).fit(train)
-    scored = model.transform(f.filter(F.col("a").isNotNull())).select("doc_id", "prediction")
+    path = scratch_dir(spark, "model")
+    fitted = MD.estimator("logistic", maxIter=20).fit(train)
+    fitted.write().overwrite().save(path)
+    scored = type(fitted).load(path).transform(f.filter(F.col("a").isNotNull()))
+    scored = scored.select("doc_id", "prediction", MD.probability_of_positive("probability").alias("probability"))
     return t.documents.select("doc_id").join(scored, "doc_id", "left")
 
 
@@ -229,7 +233,9 @@ def _folded(t, regression=False):
 
 @query("cv_predict")
 def q_cv_predict(spark, sf):
-    return CV.cv_predict(MD.estimator("logistic", maxIter=20), _folded(Tables(spark, sf)), K, keep=["no"], classification=True)
+    """Out-of-fold predictions with the overall accuracy and each fold's train and test accuracy."""
+    p = CV.cv_predict(MD.estimator("logistic", maxIter=20), _folded(Tables(spark, sf)), K, keep=["no"], classification=True, with_train=True)
+    return CV.cv_report(p, "accuracy")
 
 
 @query("cv_predict_spark")
@@ -277,7 +283,8 @@ def q_cv_results_table(spark, sf):
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT disc, tax FROM res ORDER BY rmse, disc, tax LIMIT 1""")
 def q_cv_apply_best(spark, sf):
-    """Best row of a tuning table -> estimator with those parameters (the selection is the checked result)."""
+    """Best row of a tuning table -> estimator with those parameters, fitted and applied to every line (the selection is
+    the compared result; a line without a prediction fails the job)."""
     li = Tables(spark, sf).lineitem.select("l_partkey", "l_discount", F.round("l_tax", 2).alias("tax"), "l_quantity", "l_extendedprice")
     j = li.join(Tables(spark, sf).part, li.l_partkey == F.col("p_partkey"))
     res = M.regression_metrics(j.select(F.col("l_discount").alias("disc"), "tax", F.col("l_extendedprice").alias("label"),
@@ -285,9 +292,10 @@ def q_cv_apply_best(spark, sf):
     res = res.select("disc", "tax", r6(F.col("rmse")).alias("rmse"))
     best = res.agg(F.min_by(F.struct("disc", "tax"), F.struct("rmse", "disc", "tax")).alias("b")).select("b.*")
     row = best.first()
-    est = MD.estimator("linear_reg").copy({MD.estimator("linear_reg").regParam: float(row["tax"])})
-    assert est is not None
-    return best
+    est = MD.estimator("linear_reg", regParam=float(row["tax"]), elasticNetParam=float(row["disc"]))
+    lines = j.select(F.col("l_extendedprice").cast("double").alias("label"), to_ml_vector(F.array(F.col("l_quantity").cast("double"), F.col("p_retailprice").cast("double"))).alias("features"))
+    applied = est.fit(lines).transform(lines).agg((F.count("prediction") == F.count(F.lit(1))).alias("all")).scalar()
+    return best.withColumn("disc", checked(F.col("disc"), applied, "rows without a prediction of the best model"))
 
 
 @query("cv_tune_system")

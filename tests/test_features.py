@@ -73,3 +73,10 @@ def test_word_vectors_keep_every_word(spark):
     assert all(got[i].values.tolist() == [1.0] * (n // 300) for i in range(300))
     assert sorted(got[1000].values) == [1.0, 2.0] and got[1001].numNonzeros() == got[1002].numNonzeros() == 0
     assert len(set().union(*(got[i].indices.tolist() for i in range(300)))) == n
+
+
+def test_base_table_fails_on_an_empty_field_whichever_columns_are_read(spark):
+    long = spark.createDataFrame([(1, "t", "a", "x", 1.0), (1, "t", "b", None, None)], "key long, title string, response string, raw string, value double")
+    assert FT.base_table(long, "key", "title", ["a"]).select("key", "a").collect() == [(1, "x")]
+    with pytest.raises(Exception, match="recipe field b has no values"):
+        FT.base_table(long, "key", "title", ["a", "b"]).select("key", "a").collect()

@@ -45,3 +45,32 @@ def test_shuffle_join_path_matches_broadcast_path(spark, monkeypatch):
     prof_slow = {r[0]: tuple(r[1:]) for r in J.similarity_profile(bp, "item_id", dp, "doc_id", "lang", ["de", "en", "es", "fr"]).collect()}
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in fast)
     assert prof_fast.keys() == prof_slow.keys() and all(prof_fast[k] == pytest.approx(prof_slow[k]) for k in prof_fast)
+
+
+def test_fold_report_has_overall_train_and_test_metrics(spark):
+    rows = [(i, float(i % 7), float(i % 7 > 3) if i % 10 else 1.0) for i in range(60)]
+    d = spark.createDataFrame(rows, "no long, x double, label double").withColumn("features", to_ml_vector(F.array("x")))
+    p = CV.cv_predict(MD.estimator("logistic", maxIter=20), CV.add_folds(d, ["no"], 3), 3, keep=["no"], classification=True, with_train=True)
+    raw, got = p.collect(), CV.cv_report(p, "accuracy").collect()
+    assert len(raw) == 180 and sorted(r["no"] for r in got) == list(range(60))
+    share = lambda xs: sum(r["prediction"] == r["label"] for r in xs) / len(xs)
+    for r in got:
+        for name, train in (("train_accuracy", True), ("test_accuracy", False)):
+            assert r[name] == pytest.approx(share([x for x in raw if x["foldNo"] == r["foldNo"] and x["in_train"] == train]))
+        assert r["accuracy"] == pytest.approx(share(got))
+
+
+def test_mismatches_above_the_limit_fail(spark):
+    a, b = spark.range(100).withColumnRenamed("id", "k"), spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 20).alias("y"))
+    assert J.mismatch_rate(a, b, "k", F.col("y") > 0).first()[0] == pytest.approx(0.05)
+    with pytest.raises(Exception, match="more than 5% mismatched rows"):
+        J.mismatch_rate(a, b, "k", F.col("y") > 1).collect()
+
+
+def test_queries_run_the_whole_job(spark):
+    import __spark_entry__ as E
+
+    got = E.queries()["ml_score_features"](spark, SF_SMALL)
+    assert got.columns == ["doc_id", "prediction", "probability"] and got.filter("prediction <> cast(probability > 0.5 as double)").count() == 0
+    assert got.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    assert {"accuracy", "train_accuracy", "test_accuracy", "foldNo"} <= set(E.queries()["cv_predict"](spark, SF_SMALL).columns)
