@@ -91,11 +91,13 @@ def fuzzy_spans(plain: str) -> list[tuple[int, int, str, int]]:
     out = []
     for i, own in windows.items():
         pattern, _, _, label = patterns[i]
-        for lo, hi in own:
-            at = lo
-            while (m := pattern.search(plain, at, hi)) is not None:
+        stretches = [(lo, hi) for lo, hi in own]
+        while stretches:  # the best match of a stretch comes first; before and behind it others may stand
+            lo, hi = stretches.pop()
+            m = pattern.search(plain, lo, hi) if lo < hi else None
+            if m is not None:
                 out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                at = max(m.end(), m.start() + 1)
+                stretches += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
     return sorted(set(out))
 
 

@@ -446,6 +446,14 @@ def test_candidates_miss_no_bounded_error_match():
                 assert label in {x[2] for x in S.fuzzy_spans(plain)}
 
 
+def test_notices_before_and_behind_a_better_one_are_kept():
+    every = lambda text: [text[a:b] for a, b, _, _ in S.fuzzy_spans(text)]
+    near, exact = "all right reserved", "all rights reserved"
+    assert every(f"{near} {exact}") == [near, exact]
+    assert every(f"{near} {exact} {near} {exact} {near}") == [near, exact, near, exact, near]
+    assert every("mozilla public licence mozilla public license") == ["mozilla public licence", "mozilla public license"]
+
+
 # ------------------------------------------------------------------ 10
 def check_bins(pieces, capacity):
     bins = {}
