@@ -83,9 +83,10 @@ def test_packing_of_nothing(spark):  # noqa: F811
 
 
 def test_every_character_gets_the_tokenizers_ids():
-    coder = Q.Encoder(Q.public_path("byte_bpe_50k.json"))
+    coder = Q.Encoder("byte_bpe_50k")
     chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{c}{c}1{c} {c}. {c}b{c}" for c in chars[k : k + 64]) for k in range(0, len(chars), 64)]
+    texts += [" " * 1_500_000 + "x", "\n \t" * 2000, "a" * 20_000, "''s don't DON'T"]
     assert all(coder.encode(t) == np.array(reference.ids, "<u4").tobytes() for t, reference in zip(texts, coder.tokenizer.encode_batch(texts, add_special_tokens=False)))
 
 
