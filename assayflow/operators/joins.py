@@ -1,5 +1,5 @@
 """§2.6 joins: keyed joins with audits, lookups, suffix joins, value-list products and
-the inverted-index Tanimoto nearest-neighbour join.
+sparse Tanimoto similarity (the nearest-neighbour search itself is in ``similarity``).
 """
 
 from __future__ import annotations
@@ -10,17 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-
-# Rows of exploded (id, feature, count) postings we accept on the broadcast side.
-BROADCAST_MAX_ROWS = 2_000_000
+from assayflow.operators.similarity import nearest_similarity, similarity_profile  # noqa: F401
+from assayflow.session import materialize
 
 
 def inner_join_audited(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key`` that fails unless every row of both sides found its partner."""
-    j = a.join(b, key)
-    na, nb, nj = (x.agg(F.count(F.lit(1))).scalar() for x in (a, b, j))
-    ok = (na == nj) & (nb == nj)
-    return j.withColumn(key, checked(F.col(key), ok, "rows lost in the keyed join"))
+    """Inner join on ``key`` that fails unless the rows of both sides are partners one to one.
+
+    One full join, computed once; the audit and the result both read it.
+    """
+    ra = a.withColumn("__a", F.lit(1))
+    rb = b.select(F.col(key).alias("__bk"), *[c for c in b.columns if c != key], F.lit(1).alias("__b"))
+    j = materialize(ra.join(rb, ra[key] == rb["__bk"], "full"))
+    per_key = j.groupBy(key).agg(F.count("__a").alias("na"), F.count("__b").alias("nb"))
+    ok = per_key.agg(F.coalesce(F.bool_and((F.col("na") == 1) & (F.col("nb") == 1)), F.lit(True))).scalar()
+    return j.select(checked(F.col(key), ok, "rows lost in the keyed join").alias(key), *[c for c in j.columns if c not in (key, "__bk", "__a", "__b")])
 
 
 def merge_check(a: DataFrame, b: DataFrame, key: str, cols: Sequence[str],
@@ -36,8 +40,8 @@ def merge_check(a: DataFrame, b: DataFrame, key: str, cols: Sequence[str],
     eq = F.lit(True)
     for c in cols:
         eq = eq & F.coalesce(same(F.col(f"a_{c}"), F.col(f"b_{c}")), F.lit(False))
-    j = j.select(F.coalesce(ra[key], rb["__bk"]).alias(key), *[f"a_{c}" for c in cols], *[f"b_{c}" for c in cols],
-                 missing.alias("missing"), (~missing & ~eq).alias("mismatch"))
+    j = materialize(j.select(F.coalesce(ra[key], rb["__bk"]).alias(key), *[f"a_{c}" for c in cols], *[f"b_{c}" for c in cols],
+                             missing.alias("missing"), (~missing & ~eq).alias("mismatch")))
     rates = j.agg(F.avg(F.col("mismatch").cast("double")).alias("mm"), F.avg(F.col("missing").cast("double")).alias("ms"))
     ok = rates.select((F.col("mm") <= max_mismatch) & (F.col("ms") <= max_missing)).scalar()
     return j.withColumn("mismatch", checked(F.col("mismatch"), ok, "merge check failed: too many mismatched or missing rows"))
@@ -102,104 +106,6 @@ def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature",
     return e.groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 
-def nearest_similarity(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, feature: str = "feature",
-                       ds_groups: Sequence[str] = (), name: str = "similarity", all_ids: DataFrame | None = None) -> DataFrame:
-    """For every background item the highest Tanimoto similarity to any dataset item (per ``ds_groups``).
-
-    ``bg`` and ``ds`` are postings ``(id, feature, count)``; ``bg`` should be
-    hash-partitioned by its id (``postings`` does this).  Items sharing no
-    feature (or no feature at all, when ``all_ids`` lists every background id) score 0.
-
-    Broadcast path (dataset postings within ``BROADCAST_MAX_ROWS``, checked
-    by a count): the dataset postings are grouped per feature into arrays
-    (with each item's squared norm) and broadcast; every background posting
-    looks up its feature, emits one ``count * count_b`` term per dataset item
-    plus its own ``count^2`` norm term, and everything aggregates per
-    background id without another shuffle -- one pass over the background.
-
-    Otherwise: shuffle join on the feature (AQE splits hot features), pair
-    sums, norms joined back.
-    """
-    gcols = list(ds_groups)
-    dsn = ds.groupBy(ds_id, *gcols).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
-    n_ds = ds.count()
-    if n_ds <= BROADCAST_MAX_ROWS:
-        post = ds.join(dsn, [ds_id, *gcols]).groupBy(F.col(feature).alias("__f")).agg(
-            F.collect_list(F.struct(F.col(ds_id).cast("long").alias("d"), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(gcols)],
-                                    F.col("count").cast("double").alias("cb"), F.col("__nb").cast("double").alias("nb"))).alias("__post"))
-        j = bg.join(F.broadcast(post), bg[feature] == post["__f"], "left")
-        # the item's own entry (d = null, cb = count) makes count * cb its squared norm; no lambda, so the
-        # explode and the products stay in whole-stage codegen
-        own = F.array(F.struct(F.lit(None).cast("long").alias("d"), *[F.lit(None).cast("string").alias(f"g{i}") for i in range(len(gcols))],
-                               F.col("count").alias("cb"), F.lit(None).cast("double").alias("nb")))
-        terms = F.concat(own, F.coalesce(F.col("__post"), F.array().cast(post.schema["__post"].dataType)))
-        t = j.select(bg_id, "count", F.explode(terms).alias("t")).select(bg_id, "t.*", (F.col("count") * F.col("t.cb")).alias("v"))
-        sums = t.groupBy(bg_id, "d", *[f"g{i}" for i in range(len(gcols))]).agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
-        from pyspark.sql import Window
-
-        na = F.max(F.when(F.col("d").isNull(), F.col("__v"))).over(Window.partitionBy(bg_id))  # same partitioning: no shuffle
-        pairs = sums.withColumn("__na", na).filter(F.col("d").isNotNull())
-        tan = F.col("__v") / (F.col("__na") + F.col("__nb") - F.col("__v"))
-        if gcols:
-            best = pairs.groupBy(bg_id, *[F.col(f"g{i}").alias(g) for i, g in enumerate(gcols)]).agg(F.max(tan).alias(name))
-            return best
-        best = pairs.groupBy(bg_id).agg(F.max(tan).alias(name))
-        ids = all_ids.select(bg_id) if all_ids is not None else bg.select(bg_id).distinct()
-        return ids.join(best, bg_id, "left").select(bg_id, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
-    nb = bg.groupBy(bg_id).agg(F.sum(F.col("count") * F.col("count")).alias("__na"))
-    dsp = ds.select(F.col(ds_id).alias("__d"), *gcols, F.col(feature).alias("__f"), F.col("count").alias("__cb"))
-    pairs = bg.join(dsp, bg[feature] == dsp["__f"]).groupBy(bg_id, "__d", *gcols).agg(F.sum(F.col("count") * F.col("__cb")).alias("__dot"))
-    ndr = dsn.select(F.col(ds_id).alias("__d"), *gcols, "__nb")
-    pairs = pairs.join(ndr, ["__d", *gcols]).join(nb, bg_id)
-    t = F.col("__dot") / (F.col("__na") + F.col("__nb") - F.col("__dot"))
-    best = pairs.groupBy(bg_id, *gcols).agg(F.max(t).alias(name))
-    if gcols:
-        return best
-    ids = all_ids.select(bg_id) if all_ids is not None else nb.select(bg_id)
-    return ids.join(best, bg_id, "left").select(bg_id, F.coalesce(F.col(name), F.lit(0.0)).alias(name))
-
-
-def similarity_profile(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, dataset_col: str, names: Sequence[str],
-                       all_ids: DataFrame | None = None) -> DataFrame:
-    """``nearest_similarity`` against several datasets at once: one output column per dataset name (0 when no overlap).
-
-    The roles are swapped for the search itself when the background is the
-    small side: the (large) datasets stream past the broadcast background
-    postings, and the per-(background, dataset) maxima are pivoted.
-    """
-    n_bg = bg.count()
-    if n_bg <= BROADCAST_MAX_ROWS:
-        # similarity is symmetric: search each dataset item against the background, keep per-background maxima
-        per_item = _pair_similarities(ds, ds_id, bg, bg_id, [dataset_col])
-        best = per_item.groupBy(bg_id, dataset_col).agg(F.max("similarity").alias("similarity"))
-    else:
-        best = nearest_similarity(bg, bg_id, ds, ds_id, ds_groups=[dataset_col])
-    wide = best.groupBy(bg_id).pivot(dataset_col, list(names)).agg(F.max("similarity"))
-    ids = all_ids.select(bg_id) if all_ids is not None else bg.select(bg_id).distinct()
-    out = ids.join(wide, bg_id, "left")
-    return out.select(bg_id, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
-
-
-def _pair_similarities(big: DataFrame, big_id: str, small: DataFrame, small_id: str, keep: Sequence[str]) -> DataFrame:
-    """Tanimoto of every (big item, small item) pair sharing a feature, in one pass over ``big``
-    (partitioned by ``big_id``) against broadcast ``small`` postings (size checked by the caller)."""
-    keep = list(keep)
-    sn = small.groupBy(small_id).agg(F.sum(F.col("count") * F.col("count")).alias("__nb"))
-    post = small.join(sn, small_id).groupBy(F.col("feature").alias("__f")).agg(
-        F.collect_list(F.struct(F.col(small_id).cast("long").alias("s"), F.col("count").cast("double").alias("cb"),
-                                F.col("__nb").cast("double").alias("nb"))).alias("__post"))
-    j = big.join(F.broadcast(post), big["feature"] == post["__f"], "left")
-    own = F.array(F.struct(F.lit(None).cast("long").alias("s"), F.col("count").alias("cb"), F.lit(None).cast("double").alias("nb")))
-    terms = F.concat(own, F.coalesce(F.col("__post"), F.array().cast(post.schema["__post"].dataType)))
-    t = j.select(big_id, *keep, "count", F.explode(terms).alias("t")).select(big_id, *keep, "t.s", "t.nb", (F.col("count") * F.col("t.cb")).alias("v"))
-    sums = t.groupBy(big_id, *keep, "s").agg(F.sum("v").alias("__v"), F.first("nb", ignorenulls=True).alias("__nb"))
-    from pyspark.sql import Window
-
-    na = F.max(F.when(F.col("s").isNull(), F.col("__v"))).over(Window.partitionBy(big_id))
-    pairs = sums.withColumn("__na", na).filter(F.col("s").isNotNull())
-    return pairs.select(big_id, *keep, F.col("s").alias(small_id), (F.col("__v") / (F.col("__na") + F.col("__nb") - F.col("__v"))).alias("similarity"))
-
-
 def tanimoto_pairs(post: DataFrame, id_cols: Sequence[str], pairs: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Tanimoto of given pairs of sparse count vectors (postings ``id..., feature, count``).
 

@@ -17,114 +17,66 @@ exact), "i > j" is ``exact_i and K_j < K_i``.  Hence
   D = #{(i, j): i >x j and j >y i}    (dominance on (reversed x rank, y rank))
   comparable pairs in x = sum over exact i of rank_x(i)
 
-and tau-b = (C - D) / sqrt(nx * ny).  Dominance sums are computed by rank
-blocks: cells (x-block, y-block) give the strictly-lower-left part through
-2-D prefix sums over a grid of at most ``max_blocks``^2 cells, and the
-points sharing an x-block or a y-block are counted inside that block with a
-Fenwick tree (``applyInPandas``; a block holds at most ~n/max_blocks rows
-and a hot group is spread over many blocks).
+and tau-b = (C - D) / sqrt(nx * ny).
+
+Dominance is counted by the digits of the first rank.  Two different ranks
+agree in their upper digits down to one level, where the smaller has the
+smaller digit; so each pair is met at one level, among the rows that share the
+digits above it.  There the rows are ordered by the second rank, and running
+sums of how many rows have a digit below 1, 2, ... give every row the number
+of partners that come before it.  Rows with equal ranks travel as one counted
+row, a tied value is spread over the ranks of the other variable, and no group,
+tie or level is gathered in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import keyed_join, running_sums, with_row
+from assayflow.operators.ordered import attach, keyed_join, running_sums, with_row
+from assayflow.session import materialize
 
-TARGET_BLOCK = 50_000   # points per block row / column
-MAX_BLOCKS = 1_000      # blocks per axis (grid <= 1e6 cells per group)
+DIGIT_BITS = 4
 
 
-def _ranks(df: DataFrame, by: Sequence[str], v: str, e: str, name: str) -> DataFrame:
+def _ranks(cells: DataFrame, by: Sequence[str], v: str, e: str, name: str) -> DataFrame:
     """rank = number of observations of the group with a strictly smaller (value, exact) key; and the
-    reversed rank = number with a strictly larger key."""
-    k = df.groupBy(*by, v, e).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sums(k, by, [F.col(v).asc(), F.col(e).asc()], ["__c"], ["__cum"])
-    tot = k.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    reversed rank = number with a strictly larger key.  ``cells`` are counted rows (``__c``)."""
+    k = cells.groupBy(*by, v, e).agg(F.sum("__c").alias("__k"))
+    cum = running_sums(k, by, [v, e], ["__k"], ["__cum"])
+    tot = k.groupBy(*by).agg(F.sum("__k").alias("__n"))
     cum = keyed_join(cum, tot, by) if by else with_row(cum, tot)
-    r = cum.select(*by, v, e, (F.col("__cum") - F.col("__c")).alias(name), (F.col("__n") - F.col("__cum")).alias(f"{name}_rev"))
-    return keyed_join(df, r, [*by, v, e])
-
-
-def _local_dominance(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (p, q) inside one block with a_p < a_q and b_p < b_q (p flagged isP, q flagged isQ)."""
-    keys = pdf.iloc[0][["__g"]].tolist()
-    a = pdf["__a"].to_numpy()
-    b = pdf["__b"].to_numpy()
-    isp = pdf["__isp"].to_numpy().astype(bool)
-    isq = pdf["__isq"].to_numpy().astype(bool)
-    ub = np.unique(b)
-    bi = np.searchsorted(ub, b) + 1  # 1-based Fenwick index
-    tree = np.zeros(len(ub) + 1, dtype=np.int64)
-    order = np.lexsort((b, a))
-    a_s, bi_s, p_s, q_s = a[order], bi[order], isp[order], isq[order]
-    total = 0
-    i = 0
-    n = len(a_s)
-    size = len(ub)
-    while i < n:
-        j = i
-        while j < n and a_s[j] == a_s[i]:
-            j += 1
-        for k in range(i, j):  # queries see only strictly smaller a
-            if q_s[k]:
-                x = bi_s[k] - 1
-                s = 0
-                while x > 0:
-                    s += tree[x]
-                    x -= x & -x
-                total += s
-        for k in range(i, j):
-            if p_s[k]:
-                x = bi_s[k]
-                while x <= size:
-                    tree[x] += 1
-                    x += x & -x
-        i = j
-    return pd.DataFrame({"__g": [keys[0]], "pairs": [int(total)]})
-
-
-def dominance_pairs(pts: DataFrame, by: Sequence[str], a: str, b: str, is_p: str, is_q: str,
-                    target_block: int = TARGET_BLOCK, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """Per group: number of (p, q) with a_p < a_q and b_p < b_q, where a and b are ranks in [0, n)."""
+    r = cum.select(*by, v, e, (F.col("__cum") - F.col("__k")).alias(name), (F.col("__n") - F.col("__cum")).alias(f"{name}_rev"))
+    return attach(cells, r, [*by, v, e])
+
+
+def dominance_pairs(cells: DataFrame, by: Sequence[str], a: str, b: str, is_p: str, is_q: str, digit_bits: int = DIGIT_BITS) -> DataFrame:
+    """Per group: number of (p, q) with a_p < a_q and b_p < b_q among counted rows (``__c``), where a and b are ranks in [0, n)."""
     by = list(by)
-    n = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    kb = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target_block)))).cast("long")
-    n = n.withColumn("__k", kb).withColumn("__B", F.ceil(F.col("__n") / F.col("__k")).cast("long"))
-    p = keyed_join(pts.select(*by, a, b, is_p, is_q), n, by) if by else with_row(pts.select(a, b, is_p, is_q), n)
-    p = p.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(is_p).cast("int").alias("__isp"), F.col(is_q).cast("int").alias("__isq"),
-                 F.floor(F.col(a) / F.col("__B")).cast("long").alias("__ba"), F.floor(F.col(b) / F.col("__B")).cast("long").alias("__bb"), "__k")
-    gkey = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("all")
-
-    # (1) strictly lower-left cells: dense K x K grid per group, 2-D prefix sums by two bounded windows
-    cells = p.groupBy(*by, "__ba", "__bb").agg(F.sum("__isp").alias("cp"), F.sum("__isq").alias("cq"))
-    grid = n.select(*by, F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__ba"), "__k").select(
-        *by, "__ba", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__bb"))
-    g = keyed_join(grid, cells, [*by, "__ba", "__bb"], "left").na.fill(0, ["cp", "cq"])
-    wy = Window.partitionBy(*by, "__ba").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("__col", F.coalesce(F.sum("cp").over(wy), F.lit(0)))  # cp of cells below in the same column
-    wx = Window.partitionBy(*by, "__bb").orderBy("__ba").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("__sp", F.coalesce(F.sum("__col").over(wx), F.lit(0)))  # strictly left and strictly below
-    cross = g.groupBy(*by).agg(F.sum(F.col("cq") * F.col("__sp")).alias("__cross"))
-
-    # (2) same a-block and (3) same b-block, earlier a-block: counted inside each block
-    schema = "__g string, pairs long"
-    same_a = p.select(gkey.alias("__g"), "__ba", "__a", "__b", "__isp", "__isq").groupBy("__g", "__ba").applyInPandas(_local_dominance, schema)
-    same_b = p.select(gkey.alias("__g"), "__bb", F.col("__ba").alias("__a"), "__b", "__isp", "__isq").groupBy("__g", "__bb").applyInPandas(
-        lambda d: _local_dominance(d), schema)
-    local = same_a.unionByName(same_b).groupBy("__g").agg(F.sum("pairs").alias("__local"))
-    out = cross.withColumn("__g", gkey).join(local, "__g", "left")
-    return out.select(*by, (F.col("__cross") + F.coalesce(F.col("__local"), F.lit(0))).alias("pairs"))
-
-
-def kendall_tau_b(df: DataFrame, by: Sequence[str], x: str, mx: str, y: str, my: str,
-                  target_block: int = TARGET_BLOCK, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    size = 1 << digit_bits
+    pts = cells.groupBy(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(
+        F.sum(F.when(F.col(is_p).cast("boolean"), F.col("__c")).otherwise(0)).alias("__p"), F.sum(F.when(F.col(is_q).cast("boolean"), F.col("__c")).otherwise(0)).alias("__q"))
+    highest = pts.agg(F.max("__a")).first()[0] or 0
+    levels = max(1, -(-int(highest).bit_length() // digit_bits))
+    # a row per level: the digits above it, and its own digit there
+    each = pts.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__level"))
+    digit = F.expr(f"shiftright(__a, __level * {digit_bits})").bitwiseAND(size - 1)
+    each = each.select(*by, "__level", F.expr(f"shiftright(__a, __level * {digit_bits} + {digit_bits})").alias("__up"), digit.alias("__digit"), "__b", "__p", "__q")
+    keys = [*by, "__level", "__up"]
+    rows = each.groupBy(*keys, "__b").agg(
+        *[F.sum(F.when(F.col("__digit") < d, F.col("__p")).otherwise(0)).alias(f"__s{d}") for d in range(1, size)],
+        *[F.sum(F.when(F.col("__digit") == d, F.col("__q")).otherwise(0)).alias(f"__q{d}") for d in range(1, size)],
+    )
+    cum = running_sums(rows, keys, ["__b"], [f"__s{d}" for d in range(1, size)], [f"__u{d}" for d in range(1, size)])
+    pairs = sum((F.col(f"__q{d}") * (F.col(f"__u{d}") - F.col(f"__s{d}")) for d in range(1, size)), F.lit(0))
+    return cum.groupBy(*by).agg(F.sum(pairs).alias("pairs"))
+
+
+def kendall_tau_b(df: DataFrame, by: Sequence[str], x: str, mx: str, y: str, my: str, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """Censored Kendall tau-b per group (see module doc): by..., n, concordant, discordant, tau_b."""
     by = list(by)
     dirs = df.groupBy(*by).agg(
@@ -135,21 +87,17 @@ def kendall_tau_b(df: DataFrame, by: Sequence[str], x: str, mx: str, y: str, my:
     ok = (F.col("__l0") == 0) | (F.col("__r0") == 0)
     ok = ok & ((F.col("__l1") == 0) | (F.col("__r1") == 0))
     dirs = dirs.select(*by, checked(flip[0], ok, "left and right censored values in one variable").alias("__fx"), flip[1].alias("__fy"))
-    d = keyed_join(df.select(*by, x, mx, y, my), dirs, by) if by else with_row(df.select(x, mx, y, my), dirs)
-    d = d.select(*by, (F.col(x) * F.col("__fx")).alias("__x"), (F.col(mx) == "=").cast("int").alias("__ex"),
-                 (F.col(y) * F.col("__fy")).alias("__y"), (F.col(my) == "=").cast("int").alias("__ey"), (F.col("__fx") * F.col("__fy")).alias("__sign"))
-    d = _ranks(d, by, "__x", "__ex", "__rx")
-    d = _ranks(d, by, "__y", "__ey", "__ry")
-    from assayflow.session import materialize
-
-    d = materialize(d)
-    conc = dominance_pairs(d.withColumn("__all", F.lit(1)).withColumn("__qq", (F.col("__ex") == 1) & (F.col("__ey") == 1)),
-                           by, "__rx", "__ry", "__all", "__qq", target_block, max_blocks).withColumnRenamed("pairs", "concordant")
-    disc = dominance_pairs(d, by, "__rx_rev", "__ry", "__ex", "__ey", target_block, max_blocks).withColumnRenamed("pairs", "discordant")
-    comp = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("__ex") == 1, F.col("__rx")).otherwise(0)).alias("__nx"),
-        F.sum(F.when(F.col("__ey") == 1, F.col("__ry")).otherwise(0)).alias("__ny"),
+    d = attach(df.select(*by, x, mx, y, my), dirs, by)
+    keys = {"__x": F.col(x) * F.col("__fx"), "__ex": (F.col(mx) == "=").cast("int"), "__y": F.col(y) * F.col("__fy"), "__ey": (F.col(my) == "=").cast("int")}
+    cells = d.groupBy(*by, *[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("__c"), F.first(F.col("__fx") * F.col("__fy")).alias("__sign"))
+    cells = _ranks(_ranks(materialize(cells), by, "__x", "__ex", "__rx"), by, "__y", "__ey", "__ry")
+    cells = materialize(cells.withColumn("__all", F.lit(1)).withColumn("__both", F.col("__ex") * F.col("__ey")))
+    conc = dominance_pairs(cells, by, "__rx", "__ry", "__all", "__both", digit_bits).withColumnRenamed("pairs", "concordant")
+    disc = dominance_pairs(cells, by, "__rx_rev", "__ry", "__ex", "__ey", digit_bits).withColumnRenamed("pairs", "discordant")
+    comp = cells.groupBy(*by).agg(
+        F.sum("__c").alias("n"),
+        F.sum(F.col("__ex") * F.col("__rx") * F.col("__c")).alias("__nx"),
+        F.sum(F.col("__ey") * F.col("__ry") * F.col("__c")).alias("__ny"),
         F.first("__sign").alias("__sign"),
     )
     j = keyed_join(keyed_join(comp, conc, by), disc, by) if by else with_row(with_row(comp, conc), disc)

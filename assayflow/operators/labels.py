@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.operators import metrics as M
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import keyed_join
+from assayflow.operators.ordered import attach, average_rank, keyed_join, with_row
 from assayflow.operators.summaries import percentiles
+from assayflow.session import materialize
 
 
 def threshold(value: Column, cut: Column | float, greater_better: bool = True) -> Column:
@@ -28,7 +29,7 @@ def threshold_table(df: DataFrame, by: Sequence[str], value: str, cut, out: str,
     t = df.withColumn(out, threshold(F.col(value), cut, greater_better))
     if by:
         n = t.groupBy(*by).agg(F.countDistinct(out).alias("__k"))
-        t = keyed_join(t, n, by)
+        t = attach(t, n, by)
         return t.withColumn(out, checked(F.col(out), F.col("__k") == 2, "thresholding gives a single class")).drop("__k")
     k = t.agg(F.countDistinct(out)).scalar()
     return t.withColumn(out, checked(F.col(out), k == 2, "thresholding gives a single class"))
@@ -95,7 +96,7 @@ def is_binary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def binarize_common(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """The rarer side of the midpoint between the two commonest values becomes 1 (only where is_binary)."""
     b = is_binary(df, by, value).filter("is_binary").select(*by, "v1", "v2")
-    j = keyed_join(df, b, by)
+    j = attach(df, b, by)
     mid = (F.col("v1") + F.col("v2")) / 2.0
     high = F.col(value) > mid
     common_higher = F.col("v1") > F.col("v2")
@@ -107,9 +108,8 @@ def binarize_common(df: DataFrame, by: Sequence[str], value: str, out: str) -> D
 
 def inactive_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """A repeated maximum (more than 10 rows and over 5 %) marks 'inactive'; null otherwise."""
-    mx = df.groupBy(*by).agg(F.max(value).alias("__mx"), F.count(value).alias("__n"))
-    j = keyed_join(df.select(*by, value), mx, by)
-    g = j.groupBy(*by).agg(F.first("__mx").alias("__mx"), F.first("__n").alias("__n"), F.count_if(F.col(value) == F.col("__mx")).alias("__mc"))
+    vc = df.groupBy(*by, value).agg(F.count(value).alias("__c"))
+    g = vc.groupBy(*by).agg(F.max(value).alias("__mx"), F.sum("__c").alias("__n"), F.coalesce(F.max_by("__c", value), F.lit(0)).alias("__mc"))
     return g.select(*by, F.when((F.col("__mc") > 10) & (F.col("__mc") * 20 > F.col("__n")), F.col("__mx")).alias("inactive_value"))
 
 
@@ -125,7 +125,7 @@ def distribution_info(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
 def log_table(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     """Groups whose labels are all > 0 get ``log_<label>`` = ln(label); the old label is kept as ``arithmetic_<label>``."""
     ok = df.groupBy(*by).agg(F.min(label).alias("__mn")).filter(F.col("__mn") > 0).select(*by)
-    j = df.join(ok, list(by), "left_semi") if by else df.filter(df.agg(F.min(label)).scalar() > 0)
+    j = attach(df, ok, by) if by else df.filter(df.agg(F.min(label)).scalar() > 0)
     return j.withColumnRenamed(label, f"arithmetic_{label}").withColumn(f"log_{label}", F.ln(F.col(f"arithmetic_{label}")))
 
 
@@ -162,7 +162,7 @@ def regression_to_class(df: DataFrame, by: Sequence[str], label: str, pred: str,
     )
     st = t.groupBy(*by).agg(F.sum(label).alias("__np"), F.count(F.lit(1)).alias("__n"))
     keep = st.filter((F.col("__np") >= min_count) & (F.col("__np") / F.col("__n") >= min_proportion)).select(*by)
-    return t.join(keep, list(by), "left_semi") if by else t
+    return attach(t, keep, by) if by else t
 
 
 def direct_threshold_rule(name: Column, rules: Sequence[tuple[str, float, bool]]) -> tuple[Column, Column]:
@@ -187,38 +187,53 @@ def binary_category(cat: Column, both_is: float = 1.0) -> Column:
 
 
 def cutoff_sweep(df: DataFrame, by: Sequence[str], label: str, pred: str, percents: Sequence[int] = tuple(range(1, 50)),
-                 min_positives: int = 10, min_percent: float = 5.0, min_f1: float = 0.5) -> tuple[DataFrame, DataFrame]:
+                 min_positives: int = 10, min_percent: float = 5.0, min_f1: float = 0.5, n_steps: int = 100) -> tuple[DataFrame, DataFrame]:
     """Regression -> classification sweep over label percents.
 
     For each group and percent: label threshold and direction from
     ``percent_active``; label and prediction thresholded; the prediction
-    cutoff re-tuned for F1 over 100 linear steps (``p >= cutoff``); ROC AUC on
-    the raw prediction.  Returns (detail, best): detail has every (group,
-    percent); best keeps per group the highest AUC among rows with
+    cutoff re-tuned for F1 over ``n_steps`` linear steps (``p >= cutoff``); ROC
+    AUC on the raw prediction.  Returns (detail, best): detail has every (group,
+    percent) with a positive; best keeps per group the highest AUC among rows with
     positives >= 10, percent >= 5 and f1 >= 0.5.
+
+    A row that is positive at one percent is so at all larger ones, so it is
+    kept once, with the first percent at which it is positive, its prediction's
+    step and its prediction's rank.  Counts and rank sums per (first percent,
+    step), added up along both, give every confusion matrix; the rank sums of
+    the positives give the AUCs.
     """
-    by = list(by)
-    sweep = F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent")
-    thr = percent_active_many(df, by, label, [float(p) for p in percents])
-    rows = df.select(*by, label, pred, sweep)
-    keys = [*by, "percent"]
-    j = keyed_join(rows, thr.select(*keys, "threshold", "direction"), keys)
-    up = F.col("direction") == "UP"
-    from assayflow.session import materialize
-
-    c = materialize(regression_to_class(j, keys, label, pred, F.col("threshold"), up).select(*keys, label, pred, "probability"))
-    opt = M.optimize_linspace(c, keys, label, "probability", "f1", 100)
-    best_cut = M.best_linspace(opt, keys)
-    scored = keyed_join(c, best_cut.select(*keys, F.col("cutoff").alias("__cut")), keys)
-    scored = scored.withColumn(pred, (F.col("probability") >= F.col("__cut")).cast("double"))
-    stats = M.class_stats(M.confusion(scored, keys, label, pred))
-    auc = M.roc_auc(scored, keys, label, "probability")
-    acc = M.accuracy(scored, keys, label, pred)
-    det = keyed_join(keyed_join(keyed_join(stats, auc, keys), acc, keys), thr.select(*keys, "threshold", "direction"), keys)
-    det = det.withColumn("positives", F.col("tp") + F.col("fn")).withColumn(
-        "pct_positive", F.col("positives") * 100.0 / (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))
-    )
+    by, k = list(by), len(percents)
+    thr = materialize(percent_active_many(df, by, label, [float(p) for p in percents]).select(*by, "percent", "threshold", "direction"))
+    listed = thr.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("percent", "threshold", "direction"))).alias("__t"))  # an entry per percent
+    known = df.select(*by, label, pred).filter(F.col(pred).isNotNull())
+    rng = known.groupBy(*by).agg(F.min(pred).alias("__mn"), F.max(pred).alias("__mx"))
+    group = materialize(keyed_join(listed, rng, by) if by else with_row(listed, rng))
+    positive = lambda t: F.coalesce(F.when(t["direction"] == "UP", F.col(label) >= t["threshold"]).otherwise(F.col(label) <= t["threshold"]), F.lit(False))
+    rows = attach(known, group, by, ready=True).select(
+        *by, pred, F.size(F.filter("__t", lambda t: ~positive(t))).alias("__first"), M.linspace_step(F.col(pred), F.col("__mn"), F.col("__mx"), n_steps).alias("step"))
+    cells = average_rank(rows, by, pred, "__rank").groupBy(*by, "__first", "step").agg(F.count(F.lit(1)).alias("__c"), F.sum("__rank").alias("__r"))
+
+    # k + 1 by n_steps cells per group, from here on
+    grid = group.select(*by, "__mn", "__mx", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("__first"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
+    g = keyed_join(grid, cells, [*by, "__first", "step"], "left").na.fill(0, ["__c", "__r"])
+    above = Window.partitionBy(*by, "__first").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*by, "step").orderBy("__first").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.select("*", F.sum("__c").over(above).alias("__ca"), F.sum("__r").over(above).alias("__ra"))
+    g = g.select("*", F.sum("__ca").over(upto).alias("tp"), F.sum("__ra").over(upto).alias("__rs"), F.sum("__ca").over(Window.partitionBy(*by, "step")).alias("__at"))
+    whole = Window.partitionBy(*by, "__first")
+    g = g.select("*", F.max("tp").over(whole).alias("positives"), F.max("__rs").over(whole).alias("__rp"), F.max("__at").over(whole).alias("__n"))
+    g = g.filter((F.col("__first") < k) & (F.col("positives") > 0)).withColumn("fp", F.col("__at") - F.col("tp"))
+    g = g.withColumn("fn", F.col("positives") - F.col("tp")).withColumn("tn", F.col("__n") - F.col("positives") - F.col("fp"))
+    g = g.withColumn("cutoff", F.col("__mn") + F.col("step") * (F.col("__mx") - F.col("__mn")) / F.lit(float(n_steps - 1)))
+    kept = ["tp", "tn", "fp", "fn", "positives", "cutoff", "__rp", "__n"]
+    best_cut = g.groupBy(*by, "__first").agg(F.max_by(F.struct(*kept), F.struct(M.metric_expr("f1"), -F.col("step"))).alias("b")).select(*by, "__first", "b.*")
+    pos, neg = F.col("positives").cast("double"), (F.col("__n") - F.col("positives")).cast("double")
+    auc = F.when(neg == 0, F.lit(float("nan"))).otherwise((F.col("__rp") - pos * (pos + 1) / 2) / (pos * F.when(neg > 0, neg)))
+    det = M.class_stats(best_cut).withColumn("roc_auc", auc).withColumn("accuracy", M.metric_expr("accuracy"))
+    det = det.withColumn("percent", F.element_at(F.array(*[F.lit(float(p)) for p in sorted(percents)]), F.col("__first") + 1)).withColumn("pct_positive", pos * 100.0 / F.col("__n"))
+    det = keyed_join(det, thr, [*by, "percent"]).drop("__first", "__rp", "__n", "cutoff")
     ok = (F.col("positives") >= min_positives) & (F.col("pct_positive") >= min_percent) & (F.col("f1") >= min_f1)
-    cand = det.filter(ok)
-    best = cand.groupBy(*by).agg(F.max_by(F.struct(*[c for c in det.columns if c not in by]), F.struct("roc_auc", -F.col("percent"))).alias("b"))
+    best = det.filter(ok).groupBy(*by).agg(F.max_by(F.struct(*[c for c in det.columns if c not in by]), F.struct("roc_auc", -F.col("percent"))).alias("b"))
     return det, best.select(*by, "b.*")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.operators.ordered import average_rank, neighbours, running_sums, with_row
+from assayflow.operators.ordered import Down, average_rank, neighbours, running_sums, with_row
 
 
 def safe_div(num: Column, den: Column, zero: float | None = 0.0) -> Column:
@@ -175,7 +175,7 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
     """
     counts = _prob_counts(df, by, label, prob)
     totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
-    cum = running_sums(counts, by, [F.col(prob).desc()], ["__pos", "__neg"], ["cum_tp", "cum_fp"])
+    cum = running_sums(counts, by, [Down(prob)], ["__pos", "__neg"], ["cum_tp", "cum_fp"])
     cond = [cum[c].eqNullSafe(totals[c]) for c in by]
     j = cum.join(totals, cond, "inner") if by else with_row(cum, totals)
     return j.select(
@@ -215,7 +215,7 @@ def optimize_midpoint(
     Output: by..., cutoff, score (null when a group has a single distinct probability).
     """
     pts = points if points is not None else roc_curve(df, by, label, prob)
-    ranked = running_sums(pts, by, [F.col(prob).asc()], [F.lit(1).cast("long")], ["__rn"])
+    ranked = running_sums(pts, by, [prob], [F.lit(1).cast("long")], ["__rn"])
     prev = neighbours(ranked, by, "__rn", [prob], offset=-1, prefix="prev_")
     cand = prev.filter(F.col(f"prev_{prob}").isNotNull()).select(
         *by,
@@ -232,6 +232,15 @@ def optimize_midpoint(
     return best.select(*by, "b.*")
 
 
+def linspace_step(x: Column, lo: Column, hi: Column, n_steps: int) -> Column:
+    """The highest of ``n_steps`` equally spaced values from lo to hi that is at most x."""
+    cut = lambda s: lo + s * (hi - lo) / F.lit(float(n_steps - 1))
+    guess = F.when(hi == lo, F.lit(n_steps - 1)).otherwise(F.floor((x - lo) / F.when(hi != lo, hi - lo) * (n_steps - 1))).cast("int")
+    # the guess can be off by one because of rounding: hold it against the exact cutoff formula
+    down = F.when(x < cut(guess), guess - 1).otherwise(guess)
+    return F.when((down < n_steps - 1) & (x >= cut(down + 1)), down + 1).otherwise(down)
+
+
 def optimize_linspace(
     df: DataFrame, by: Sequence[str], label: str, prob: str, metric: str | Column = "f1", n_steps: int = 100
 ) -> DataFrame:
@@ -255,23 +264,7 @@ def optimize_linspace(
     counts = _prob_counts(df, by, label, prob)
     cond = [counts[c].eqNullSafe(rng[c]) for c in by]
     b = (counts.join(rng, cond, "inner") if by else with_row(counts, rng)).select(
-        *[counts[c] for c in by],
-        prob,
-        "__pos",
-        "__neg",
-        F.when(F.col("__mx") == F.col("__mn"), F.lit(n_steps - 1))
-        .otherwise(F.floor((F.col(prob) - F.col("__mn")) / (F.col("__mx") - F.col("__mn")) * (n_steps - 1)))
-        .cast("int")
-        .alias("__b"),
-        "__mn",
-        "__mx",
-    )
-    # the bucket guess can be off by one because of rounding: fix it against the exact cutoff formula
-    cut = lambda s: F.col("__mn") + s * (F.col("__mx") - F.col("__mn")) / F.lit(float(n_steps - 1))
-    b = b.withColumn("__b", F.when(F.col(prob) < cut(F.col("__b")), F.col("__b") - 1).otherwise(F.col("__b")))
-    b = b.withColumn(
-        "__b",
-        F.when((F.col("__b") < n_steps - 1) & (F.col(prob) >= cut(F.col("__b") + 1)), F.col("__b") + 1).otherwise(F.col("__b")),
+        *[counts[c] for c in by], "__pos", "__neg", linspace_step(F.col(prob), F.col("__mn"), F.col("__mx"), n_steps).alias("__b")
     )
     per_step = b.groupBy(*by, "__b").agg(F.sum("__pos").alias("__sp"), F.sum("__neg").alias("__sn"))
     cond = [grid[c].eqNullSafe(per_step[c]) for c in by] + [grid["step"] == per_step["__b"]]

@@ -1,9 +1,7 @@
 """§2.13 models, ensembles and persistence on MLlib.
 
-Estimators are MLlib's own (distributed training).  The kernel SVM/SVR of
-the workbench (single-machine solvers) is re-aimed as an explicit kernel
-map against a bounded landmark sample (Nystroem-style features) followed by
-MLlib's distributed linear solvers.
+Estimators are MLlib's own (distributed training); kernel machines are in
+``kernels``.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions import scalar as S
+from assayflow.operators.kernels import as_array, kernel_svm, svd_project  # noqa: F401
 
 
 # --------------------------------------------------------------- estimators
@@ -94,22 +93,6 @@ def sample_landmarks(df: DataFrame, col: str, m: int = 50, seed: int = 1234) ->
     return [list(r["a"]) for r in rows]
 
 
-def kernel_svm(kind: str, landmarks: list[list[float]], input_col: str, label: str = "label", regression: bool = False,
-               gamma: float = 1.0, epsilon: float | None = None, max_iter: int = 50):
-    """Kernel SVM (classification) / SVR (regression) as KernelMap + distributed linear solver."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.regression import LinearRegression
-
-    km = KernelMap(inputCol=input_col, outputCol="kernel_features", landmarks=landmarks, kernel=kind, gamma=gamma)
-    if regression:
-        lr = LinearRegression(featuresCol="kernel_features", labelCol=label, loss="huber", maxIter=max_iter,
-                              epsilon=1.35 if epsilon is None else max(1.0 + epsilon, 1.000001))
-    else:
-        lr = LinearSVC(featuresCol="kernel_features", labelCol=label, maxIter=max_iter)
-    return Pipeline(stages=[km, lr])
-
-
 # ------------------------------------------------------------ ensembles
 
 def majority_vote(preds: DataFrame, id_col: str, pred: str = "prediction", tie_positive: bool = True) -> DataFrame:
@@ -137,21 +120,6 @@ def probability_of_positive(col: str = "probability") -> Column:
     return vector_to_array(F.col(col))[1]
 
 
-# ------------------------------------------------------------------ SVD
-
-def svd_project(df: DataFrame, id_col: str, col: str, k: int = 10) -> DataFrame:
-    """Project rows onto the first k right singular vectors (uncentered) of the distributed row matrix."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = df.select(F.col(col).cast("array<double>")).rdd.map(lambda r: MV.dense(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    v = svd.V.toArray()  # d x k, feature-width sized
-    a = F.col(col).cast("array<double>")
-    comps = [S.dot(a, F.array(*[F.lit(float(v[i, j])) for i in range(v.shape[0])])) for j in range(v.shape[1])]
-    return df.select(id_col, F.array(*comps).alias("svd"))
-
-
 class LinearRowModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Row transformer ``features -> w.x + b`` written as a Column expression (no per-row Python)."""
 
@@ -166,5 +134,5 @@ class LinearRowModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadab
 
     def _transform(self, df: DataFrame) -> DataFrame:
         w = F.array(*[F.lit(float(x)) for x in self.getOrDefault(self.weights)])
-        x = F.col(self.getInputCol()).cast("array<double>")
+        x = as_array(df, self.getInputCol())
         return df.withColumn(self.getOutputCol(), S.dot(x, w) + F.lit(self.getOrDefault(self.intercept)))

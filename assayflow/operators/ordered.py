@@ -7,45 +7,126 @@ whole group to one task -- fatal when one group holds a third of the rows.
 
 ``running_sums`` is the one scalable building block used instead:
 
-1. range-partition the rows on ``(group, order)`` -- a hot group is split
-   over many partitions of bounded size;
-2. running sums inside each ``(group, partition)`` chunk (bounded window);
-   The range-partitioned frame is materialized once with a reliable
-   ``checkpoint()`` (shared ``spark.checkpoint.dir``): both consumers below
-   then see the same partition ids even if an executor is lost and the
-   range bounds would be re-sampled differently.
-3. chunk totals per ``(group, partition)``; the offset of a chunk is the sum
-   of the totals of the same group in earlier partitions.  Only the first
-   group of a partition can continue from an earlier partition, so the
-   offset table has at most one row per partition and is broadcast with a
-   proven size bound.
+1. splitters are picked from a bounded sample of the keys (group, order); the
+   bucket of a row is the number of splitters at or below its key, a plain
+   expression that gives the same answer wherever and whenever it is computed;
+2. running sums inside each (group, bucket): one shuffle, in which a hot group
+   is spread over many buckets;
+3. bucket totals, added up on the map side; the offset of a bucket is the sum
+   of the totals of the same group in earlier buckets.  A group continues from
+   an earlier bucket only where a splitter cuts it, so the offset table has at
+   most as many rows as there are splitters and is broadcast.
+
+Frames of at most ``PLAIN_ROWS`` rows (grids, value counts of few values) need
+no splitters: there a window over the group is bounded by that number.
 
 Positions, average ranks, lag/lead by position, cumulative ROC counts and
 percentile positions are all derived from it.  Order keys must be total
-(append a unique key) so that results are deterministic.
+(append a unique key) and reproducible: a key that is itself a sum of floating
+point numbers is to be written down first (``materialize``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayflow.session import ensure_checkpoint_dir
+from assayflow.session import materialize
+
+#: Rows up to which an ordered window over a whole group is used as it is.
+PLAIN_ROWS = 20_000
+#: Splitters at most, and sampled keys for each of them.
+MAX_BUCKETS = 2048
+KEYS_PER_BUCKET = 24
+#: Rows of group statistics that are broadcast; beyond it they are joined by shuffle, salted.
+BROADCAST_GROUPS = 500_000
+SALTS = 16
+
+
+@dataclass(frozen=True)
+class Down:
+    """An order key from the largest value to the smallest, NaN first and nulls last."""
+
+    key: Column | str
+
+
+OrderSpec = Column | str | Down
+
+
+def _col(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _descends(df: DataFrame, key: Column) -> list[Column]:
+    """Columns whose ascending order is the descending order of ``key``."""
+    kind = df.select(key.alias("k")).schema[0].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        turned = [F.bitwise_not(key)]
+    elif kind in ("float", "double"):
+        turned = [~F.coalesce(F.isnan(key), F.lit(False)), -key]
+    elif kind.startswith("decimal"):
+        turned = [-key]
+    elif kind == "boolean":
+        turned = [~key]
+    elif kind == "date":
+        turned = [-F.unix_date(key)]
+    elif kind == "timestamp":
+        turned = [-F.unix_micros(key)]
+    else:
+        raise TypeError(f"no descending order for keys of type {kind}")
+    return [key.isNull(), *turned]
+
+
+def _ascending(df: DataFrame, order: Sequence[OrderSpec]) -> list[Column]:
+    """Columns whose ascending order, nulls first, is ``order``.  ``F.col(name).desc()`` and its kin count as well."""
+    out: list[Column] = []
+    for o in order:
+        sorted_by = re.fullmatch(r"Column<'(\w+) (ASC|DESC) NULLS (FIRST|LAST)'>", str(o)) if isinstance(o, Column) else None
+        if sorted_by:
+            key, way, nulls = F.col(sorted_by[1]), *sorted_by.groups()[1:]
+            out += [key.isNull() if nulls == "LAST" else key.isNotNull(), *(_descends(df, key)[1:] if way == "DESC" else [key])]
+        else:
+            out += _descends(df, _col(o.key)) if isinstance(o, Down) else [_col(o)]
+    return out
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (reads no more than one row beyond)."""
+    return df.limit(rows + 1).count() <= rows
 
-OrderSpec = Column | str
 
+def _comparable(df: DataFrame, keys: Sequence[Column]) -> Column:
+    """The keys as one struct, in types whose JSON is exact."""
+    kinds = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).schema
+    plain = {"date": F.unix_date, "timestamp": F.unix_micros}
+    return F.struct(*[plain.get(f.dataType.simpleString(), lambda c: c)(k).alias(f.name) for k, f in zip(keys, kinds)])
 
-def _cols(xs: Sequence[OrderSpec]) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
 
+def _splitters(key: DataFrame, buckets: int) -> list[str]:
+    """At most ``buckets`` - 1 keys (as JSON) of a bounded sample, in order, evenly spaced."""
+    share = min(1.0, buckets * KEYS_PER_BUCKET / max(1, key.count()))
+    sample = key.sample(share, seed=11) if share < 1.0 else key
+    rows = [r[0] for r in sample.orderBy("key").select(F.to_json("key")).collect()]
+    cuts = [rows[len(rows) * i // buckets] for i in range(1, buckets)] if rows else []
+    return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
 
-def _range_partition(df: DataFrame, cols: Sequence[Column], num_partitions: int | None) -> DataFrame:
-    """Range partitioning; without an explicit count AQE may coalesce small partitions (sizes follow the data)."""
-    if num_partitions:
-        return df.repartitionByRange(num_partitions, *cols)
-    return df.repartitionByRange(*cols)
+
+def _bucket(key: DataFrame, buckets: int) -> Callable[[Column], Column]:
+    """Number of splitters at or below a key, by binary search in a constant array."""
+    cuts = _splitters(key, buckets)
+    if not cuts:
+        return lambda _: F.lit(0)
+    listed = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<{key.schema['key'].dataType.simpleString()}>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def bucket(of: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= len(cuts)) & (F.get(listed, at + by - 1) <= of), at + by).otherwise(at))
+
+    return bucket
 
 
 def running_sums(
@@ -56,38 +137,33 @@ def running_sums(
     names: Sequence[str],
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of ``values`` within ``by`` groups, ordered by ``order``."""
-    by = list(by)
-    order_cols = _cols(order)
-    vals = _cols(values)
-    keyed = df.select("*", *[v.alias(f"__v{i}") for i, v in enumerate(vals)])
-    ensure_checkpoint_dir(df.sparkSession)
-    # partition ids are read after any AQE coalescing and frozen by the checkpoint
-    s = (
-        _range_partition(keyed, [F.col(c) for c in by] + order_cols, num_partitions)
-        .withColumn("__pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
-    chunk = Window.partitionBy(*by, "__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = s.select("*", *[F.sum(f"__v{i}").over(chunk).alias(f"__loc{i}") for i in range(len(vals))])
+    """Add inclusive running sums of ``values`` within ``by`` groups, ordered by ``order`` (nulls first).
 
-    totals = s.groupBy(*by, "__pid").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(vals))])
-    earlier = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    ``num_partitions`` sets the number of buckets; without it frames of at most ``PLAIN_ROWS`` rows get none.
+    """
+    by, vals = list(by), [_col(v) for v in values]
+    ordered = _ascending(df, order)
+    key = _comparable(df, [*map(F.col, by), *ordered])
+    bare = df.select(key.alias("key"))
+    if num_partitions is None and at_most(bare, PLAIN_ROWS):
+        w = Window.partitionBy(*by).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(v).over(w).alias(n) for v, n in zip(vals, names)])
+    buckets = num_partitions or min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select("*", *[v.alias(f"__v{i}") for i, v in enumerate(vals)], _bucket(bare, buckets)(key).alias("__b"))
+    w = Window.partitionBy(*by, "__b").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.select("*", *[F.sum(f"__v{i}").over(w).alias(f"__loc{i}") for i in range(len(vals))])
+    totals = dealt.groupBy(*by, "__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(vals))], F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = totals.select(
         *[F.col(c).alias(f"__k{j}") for j, c in enumerate(by)],
-        F.col("__pid").alias("__opid"),
+        F.col("__b").alias("__ob"),
         *[F.sum(f"__t{i}").over(earlier).alias(f"__o{i}") for i in range(len(vals))],
-    ).filter(F.col("__o0").isNotNull())  # only groups continuing from an earlier partition: <= n rows
-
-    cond = [local[c].eqNullSafe(offsets[f"__k{j}"]) for j, c in enumerate(by)] + [
-        local["__pid"] == offsets["__opid"]
-    ]
+        F.sum("__n").over(earlier).alias("__before"),
+    ).filter("__before > 0")  # only groups that a splitter cuts: at most a row per splitter
+    cond = [local[c].eqNullSafe(offsets[f"__k{j}"]) for j, c in enumerate(by)] + [local["__b"] == offsets["__ob"]]
     joined = local.join(F.broadcast(offsets), cond, "left")
-    out = joined.select(
-        *[local[c] for c in df.columns],
-        *[(F.col(f"__loc{i}") + F.coalesce(F.col(f"__o{i}"), F.lit(0))).alias(names[i]) for i in range(len(vals))],
-    )
-    return out
+    both = lambda i: F.when(F.col(f"__loc{i}").isNull(), F.col(f"__o{i}")).otherwise(F.col(f"__loc{i}") + F.coalesce(F.col(f"__o{i}"), F.lit(0)))
+    return joined.select(*[local[c] for c in df.columns], *[both(i).alias(names[i]) for i in range(len(vals))])
 
 
 def add_position(
@@ -98,10 +174,34 @@ def add_position(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """0-based row position (within ``by`` groups) in ``order``; order must be total."""
+    text_down = any(isinstance(o, Down) and df.select(_col(o.key)).schema[0].dataType.simpleString() == "string" for o in order)
+    if text_down:  # text has no descending expression: count from the other end
+        turned = [_col(o.key) if isinstance(o, Down) else Down(o) for o in order]
+        out = running_sums(df, by, turned, [F.lit(1).cast("long")], [name], num_partitions)
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        return attach(out, sizes, by).withColumn(name, F.col("__n") - F.col(name)).drop("__n")
     out = running_sums(df, by, order, [F.lit(1).cast("long")], [name], num_partitions)
     return out.withColumn(name, F.col(name) - 1)
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", ready: bool = False) -> DataFrame:
+    """Per-group statistics (one row per ``keys``, null-safe) next to the rows they describe.
+
+    The statistics are computed once and their number of rows is looked at: up to ``BROADCAST_GROUPS`` they are
+    broadcast, so the rows of ``df`` stay where they are; beyond it both sides are shuffled on the keys and a salt,
+    which deals a hot group over ``SALTS`` tasks.  ``ready``: the statistics are materialized already.
+    """
+    keys = list(keys)
+    if not keys:
+        return with_row(df, stats)
+    stats = stats if ready else materialize(stats)
+    if at_most(stats, BROADCAST_GROUPS):
+        return keyed_join(df, F.broadcast(stats), keys, how)
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    spread = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return keyed_join(salted, spread, [*keys, "__salt"], how).drop("__salt")
+
+
 def average_rank(
     df: DataFrame,
     by: Sequence[str],
@@ -114,14 +214,9 @@ def average_rank(
     Works on the distinct (group, value) counts: rank = rows before + (ties + 1) / 2.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running_sums(counts, by, [F.col(value).asc_nulls_first()], ["__n"], ["__cum"], num_partitions)
-    keys = [*by, value]
-    ranks = cum.select(
-        *[F.col(c).alias(f"__r{j}") for j, c in enumerate(keys)],
-        ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name),
-    )
-    cond = [df[c].eqNullSafe(ranks[f"__r{j}"]) for j, c in enumerate(keys)]
-    return df.join(ranks, cond, "left").select(*[df[c] for c in df.columns], ranks[name])
+    cum = running_sums(counts, by, [value], ["__n"], ["__cum"], num_partitions)
+    ranks = cum.select(*by, value, ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name))
+    return attach(df, ranks, [*by, value], "left")
 
 
 def neighbours(

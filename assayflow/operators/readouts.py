@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayflow.functions import scalar as S
 from assayflow.operators import labels as L
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import keyed_join
+from assayflow.operators.ordered import attach, keyed_join
 
 
 def classification_table(df: DataFrame, by: Sequence[str], value: str, percent: float, direction: str | None = None,
@@ -106,18 +106,46 @@ def common_terms(terms_long: DataFrame, group: Sequence[str], member: Sequence[s
 
 # ------------------------------------------------------------ tables
 
+def _proven_copies(members: DataFrame, sig: DataFrame, protocol: str, row_id: str) -> DataFrame:
+    """Splits (``table_key``) whose members are those of an earlier split of their signature class.
+
+    A class is compared member by member with its first split: a split of as many members, all of which agree, is a copy.
+    The others (different sets of one signature) are compared among themselves in the next round, if there are any.
+    """
+    from assayflow.session import materialize
+
+    copies = None
+    while True:
+        first = sig.groupBy(protocol, "__n", "__h1", "__h2").agg(F.min("table_key").alias("__first"), F.count(F.lit(1)).alias("__k")).filter("__k > 1")
+        pairs = materialize(keyed_join(sig, first.drop("__k"), [protocol, "__n", "__h1", "__h2"]).filter("table_key <> __first"))
+        if pairs.isEmpty():
+            break
+        later = keyed_join(members, pairs.select("table_key", "__first"), ["table_key"])
+        of_first = members.select(F.col("table_key").alias("__first"), row_id, F.lit(1).alias("__agrees"))
+        same = keyed_join(later, of_first, ["__first", row_id], "left").groupBy("table_key").agg(F.count("__agrees").alias("__same"))
+        proven = materialize(keyed_join(pairs, same, ["table_key"]).filter(F.col("__same") == F.col("__n")).select("table_key"))
+        copies = proven if copies is None else copies.unionByName(proven)
+        sig = materialize(pairs.join(proven, "table_key", "left_anti").drop("__first"))
+    return sig.select("table_key").limit(0) if copies is None else copies
+
+
 def group_tables(rows: DataFrame, protocol: str, split_cols: Sequence[str], label_readout: str, row_id: str) -> DataFrame:
     """Table key per measurement row: md5(protocol : label readout : split values); only observed
-    combinations exist.  Splits whose member rows equal those of an earlier split are dropped
-    (membership compared by count and two order-free hashes of the row ids)."""
+    combinations exist.  Splits whose member rows equal those of an earlier split (by key) are dropped.
+
+    Equal splits have equal signatures (number of members and two order-free hashes); what shares one is compared
+    member by member before it is dropped, so different splits never go.
+    """
+    from assayflow.session import materialize
+
     key = S.table_md5(F.col(protocol), F.lit(label_readout), *[F.coalesce(F.col(c), F.lit("NA")) for c in split_cols])
     t = rows.withColumn("table_key", key)
-    sig = t.groupBy(protocol, "table_key").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(F.xxhash64(row_id).cast("decimal(38,0)")).alias("__h1"),
-        F.sum(F.hash(row_id).cast("long")).alias("__h2"),
-    )
-    first = sig.groupBy(protocol, "__n", "__h1", "__h2").agg(F.min("table_key").alias("table_key"))
-    return t.join(first.select("table_key"), "table_key", "left_semi")
+    members = t.select(protocol, "table_key", row_id).distinct()
+    sig = materialize(members.groupBy(protocol, "table_key").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.xxhash64(row_id).cast("decimal(38,0)")).alias("__h1"), F.sum(F.hash(row_id).cast("long")).alias("__h2")))
+    copies = _proven_copies(members.drop(protocol), sig, protocol, row_id)
+    kept = sig.select("table_key").join(copies, "table_key", "left_anti")
+    return attach(t, kept, ["table_key"])
 
 
 def data_tables(rows: DataFrame, table_key: str, molecule: str, features: DataFrame, terms: DataFrame | None = None,
@@ -189,7 +217,7 @@ def validation_log(lines: DataFrame, line_no: str, text: str, name_re: str, cat_
     t = lines.select(line_no, F.regexp_extract(text, name_re, 1).alias("__name"), F.regexp_extract(text, cat_re, 1).alias("category"),
                      F.regexp_extract(text, cat_re, 2).alias("result_file"))
     t = t.withColumn("__isname", (F.col("__name") != "").cast("long"))
-    seg = running_sums(t, [], [F.col(line_no).asc()], ["__isname"], ["__seg"])
+    seg = running_sums(t, [], [line_no], ["__isname"], ["__seg"])
     names = seg.filter(F.col("__isname") == 1).select("__seg", F.col("__name").alias("name"))
     cats = seg.filter(F.col("category") != "")
     return cats.join(names, "__seg").select("name", "category", "result_file", line_no)

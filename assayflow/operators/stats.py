@@ -15,15 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions import scalar as S
-from assayflow.operators.ordered import add_position, keyed_join, running_sums, with_row
+from assayflow.operators.ordered import add_position, attach, keyed_join, neighbours, running_sums, with_row
+from assayflow.session import materialize
 
 N_GRID = 100
 
 
 def _join(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two small frames (a few rows per group) side by side; statistics go next to data rows with ``attach``."""
     return keyed_join(df, small, by) if by else with_row(df, small)
 
 
+def _beside(grid: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], offset: int, prefix: str) -> DataFrame:
+    """Columns of the following (1) or preceding (-1) row of a grid, which has a bounded number of rows per group."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return grid.select("*", *[F.lead(c, offset).over(w).alias(f"{prefix}{c}") for c in cols])
+
+
 # ------------------------------------------------------------- histograms
 
 def bounds(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -32,14 +40,14 @@ def bounds(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def normalize_range(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """(v - min) / (max - min) per group (max > min required)."""
-    j = _join(df, bounds(df, by, value), by)
+    j = attach(df, bounds(df, by, value), by)
     return j.withColumn(out, (F.col(value) - F.col("min")) / (F.col("max") - F.col("min"))).drop("min", "max")
 
 
 def frequency(df: DataFrame, by: Sequence[str], value: str, n_bins: int = 10, normalize: bool = False) -> DataFrame:
     """Equal-width histogram over [min, max], last bin closed, zero-filled; density when ``normalize``."""
-    b = bounds(df, by, value).withColumn("__w", (F.col("max") - F.col("min")) / F.lit(float(n_bins)))
-    j = _join(df.select(*by, value), b, by)
+    b = materialize(bounds(df, by, value).withColumn("__w", (F.col("max") - F.col("min")) / F.lit(float(n_bins))))
+    j = attach(df.select(*by, value), b, by, ready=True)
     idx = F.least(F.floor((F.col(value) - F.col("min")) / F.col("__w")).cast("int"), F.lit(n_bins - 1))
     counts = j.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("__c"))
     grid = b.select(*by, "__w", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
@@ -54,10 +62,9 @@ def value_cdf(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFra
     """Value-weighted cumulative curve over sorted values (x rescaled to [0,1], y = running sum / total),
     preceded by the seed point (0,0) whose x is rescaled like the others; ``key`` orders ties."""
     b = df.groupBy(*by).agg(F.min(value).alias("__mn"), F.max(value).alias("__mx"), F.sum(value).alias("__s"))
-    cum = running_sums(df.select(*by, value, key), by, [F.col(value).asc(), F.col(key).asc()], [value], ["__cs"])
-    pos = add_position(df.select(*by, value, key), [F.col(value).asc(), F.col(key).asc()], by, "__p")
-    cum = keyed_join(cum, pos.select(*by, key, "__p"), [*by, key])
-    pts = _join(cum, b, by).select(*by, (F.col("__p") + 1).alias("point"), ((F.col(value) - F.col("__mn")) / (F.col("__mx") - F.col("__mn"))).alias("x"),
+    b = materialize(b)
+    cum = running_sums(df.select(*by, value, key), by, [value, key], [value, F.lit(1).cast("long")], ["__cs", "__p"])
+    pts = attach(cum, b, by, ready=True).select(*by, F.col("__p").alias("point"), ((F.col(value) - F.col("__mn")) / (F.col("__mx") - F.col("__mn"))).alias("x"),
                                    (F.col("__cs") / F.col("__s")).alias("y"))
     seed = b.select(*by, F.lit(0).cast("long").alias("point"), ((F.lit(0.0) - F.col("__mn")) / (F.col("__mx") - F.col("__mn"))).alias("x"), F.lit(0.0).alias("y"))
     return pts.unionByName(seed)
@@ -65,8 +72,6 @@ def value_cdf(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFra
 
 def step_cdf(points: DataFrame, by: Sequence[str], point: str = "point") -> DataFrame:
     """Step-line coordinates: for each point after the first, (x_i, y_{i-1}) then (x_i, y_i)."""
-    from assayflow.operators.ordered import neighbours
-
     prev = neighbours(points, by, point, ["y"], offset=-1, prefix="prev_").filter(F.col("prev_y").isNotNull())
     return prev.select(*by, point, F.explode(F.array(
         F.struct(F.lit(0).alias("k"), F.col("x"), F.col("prev_y").alias("y")), F.struct(F.lit(1).alias("k"), F.col("x"), F.col("y")))).alias("s")
@@ -97,7 +102,8 @@ def kde_grid(df: DataFrame, by: Sequence[str], value: str, n_points: int = N_GRI
     default is the group's rule-of-thumb bandwidth.
     """
     p = params if params is not None else kde_params(df, by, value)
-    j = _join(df.select(*by, value, *([bandwidth] if bandwidth else [])), p.select(*by, "n", "min", "max", "h"), by)
+    p = materialize(p.select(*by, "n", "min", "max", "h"))
+    j = attach(df.select(*by, value, *([bandwidth] if bandwidth else [])), p, by, ready=True)
     h = F.col(bandwidth) if bandwidth else F.col("h")
     # explode a plain index sequence (whole-stage codegen) rather than an array of structs from a lambda
     e = j.select(*by, h.alias("__h"), "min", "max", value, F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i"))
@@ -127,7 +133,7 @@ def binned_pilot(df: DataFrame, by: Sequence[str], value: str, params: DataFrame
     """Fixed-bandwidth density on a fine grid from linearly binned data: the data pass only spreads each value over its
     two nearest bins.  Bins that hold something reach the grid points within 8 bandwidths, so empty stretches of a
     heavy-tailed group cost nothing; ``params`` carries ``bins`` and ``step`` (``_pilot_steps``)."""
-    j = _join(df.select(*by, value), params.select(*by, "min", "bins", "step"), by)
+    j = attach(df.select(*by, value), params.select(*by, "min", "bins", "step"), by)
     pos = F.when(F.col("step") > 0, (F.col(value) - F.col("min")) / F.col("step")).otherwise(F.lit(0.0))
     lo = F.least(F.floor(pos), F.col("bins") - 1)
     j = j.select(*by, lo.alias("__lo"), (pos - lo).alias("__t"))
@@ -151,20 +157,18 @@ def kde_adaptive_bandwidths(df: DataFrame, by: Sequence[str], value: str, pilot_
     sample -- no pairs are formed; error O(step^2 / h^2) whatever the range
     (checked against brute force in the tests).
     """
-    from assayflow.session import materialize
-
     p = materialize(_pilot_steps(kde_params(df, by, value), pilot_points))
     pilot = materialize(binned_pilot(df, by, value, p))
-    j = _join(df, p.select(*by, "n", "min", "h", "bins", "step"), by)
+    j = attach(df, p.select(*by, "n", "min", "h", "bins", "step"), by)
     pos = F.when(F.col("step") > 0, (F.col(value) - F.col("min")) / F.col("step")).otherwise(F.lit(0.0))
     j = j.withColumn("__lo", F.least(F.floor(pos), F.col("bins") - 1)).withColumn("__t", pos - F.col("__lo"))
     lo = pilot.select(*by, F.col("i").alias("__lo"), F.col("density").alias("__d0"))
     hi = pilot.select(*by, (F.col("i") - 1).alias("__lo"), F.col("density").alias("__d1"))
-    j = keyed_join(keyed_join(j, lo, [*by, "__lo"]), hi, [*by, "__lo"])
+    j = attach(j, keyed_join(lo, hi, [*by, "__lo"]), [*by, "__lo"])
     dens = F.col("__d0") + F.col("__t") * (F.col("__d1") - F.col("__d0"))
     j = j.withColumn("__b", F.col("h") / (dens * F.col("n")))
     gm = j.groupBy(*by).agg(F.exp(F.avg(F.ln("__b"))).alias("__gm"))
-    j = _join(j, gm, by)
+    j = attach(j, gm, by)
     out = j.withColumn("bandwidth", F.col("__b") * F.col("h") / F.col("__gm")).drop("__lo", "__t", "__d0", "__d1", "__b", "__gm", "n", "min", "h", "bins", "step")
     return materialize(out)
 
@@ -178,7 +182,7 @@ def kde_cdf_at(df: DataFrame, by: Sequence[str], value: str, xs: DataFrame, band
     """Kernel CDF at a few x per group (``xs``: by..., __k, x); each value contributes to each x, partially aggregated."""
     p = kde_params(df, by, value).select(*by, "h")
     cand = xs.groupBy(*by).agg(F.collect_list(F.struct("__k", "x")).alias("__xs"))  # bounded: candidates per group
-    j = _join(_join(df.select(*by, value, *([bandwidth] if bandwidth else [])), p, by), cand, by)
+    j = attach(df.select(*by, value, *([bandwidth] if bandwidth else [])), _join(p, cand, by), by)
     h = F.col(bandwidth) if bandwidth else F.col("h")
     e = j.select(*by, F.explode(F.transform("__xs", lambda c: F.struct(c["__k"].alias("k"), S.normal_cdf((c["x"] - F.col(value)) / h).alias("c")))).alias("e"))
     return e.groupBy(*by, F.col("e.k").alias("__k")).agg(F.avg("e.c").alias("cdf"))
@@ -191,10 +195,8 @@ def proportion(cdf: Column) -> Column:
 
 def invert_cdf(grid: DataFrame, by: Sequence[str], y: Column | float, name: str = "x_at") -> DataFrame:
     """x where the CDF grid crosses ``y``: the two grid rows around y, linear interpolation."""
-    from assayflow.operators.ordered import neighbours
-
     yy = y if isinstance(y, Column) else F.lit(y)
-    nb = neighbours(grid.select(*by, "i", "x", "cdf"), by, "i", ["x", "cdf"], offset=1, prefix="n_")
+    nb = _beside(grid.select(*by, "i", "x", "cdf"), by, ["i"], ["x", "cdf"], 1, "n_")
     seg = nb.filter((F.col("cdf") <= yy) & (F.col("n_cdf") >= yy) & (F.col("n_cdf") > F.col("cdf")))
     x = F.col("x") + (yy - F.col("cdf")) * (F.col("n_x") - F.col("x")) / (F.col("n_cdf") - F.col("cdf"))
     return seg.groupBy(*by).agg(F.min_by(x, F.col("i")).alias(name))
@@ -202,9 +204,7 @@ def invert_cdf(grid: DataFrame, by: Sequence[str], y: Column | float, name: str
 
 def derivative_points(grid: DataFrame, by: Sequence[str]) -> DataFrame:
     """Minima, maxima and inflection points where the first / second derivative changes sign between grid points."""
-    from assayflow.operators.ordered import neighbours
-
-    g = neighbours(grid, by, "i", ["d1", "d2"], offset=-1, prefix="p_")
+    g = _beside(grid, by, ["i"], ["d1", "d2"], -1, "p_")
     g = g.filter(F.col("p_d1").isNotNull())
     kinds = F.array(
         F.when((F.col("d1") >= 0) & (F.col("p_d1") < 0), F.lit("Minimum")).when((F.col("d1") <= 0) & (F.col("p_d1") > 0), F.lit("Maximum")),
@@ -215,21 +215,15 @@ def derivative_points(grid: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def minima_between_maxima(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Minima whose neighbouring extrema (minima and maxima only, ordered by x) are both maxima."""
-    from assayflow.operators.ordered import neighbours
-
     ext = points.filter(F.col("point_type").isin("Minimum", "Maximum"))
-    ext = add_position(ext, [F.col("x").asc(), F.col("point_type").asc()], by, "__k")
-    a = neighbours(ext, by, "__k", ["point_type", "y", "x"], offset=-1, prefix="prev_")
-    a = neighbours(a, by, "__k", ["point_type", "y", "x"], offset=1, prefix="next_")
+    a = _beside(ext, by, ["x", "point_type"], ["point_type", "y", "x"], -1, "prev_")
+    a = _beside(a, by, ["x", "point_type"], ["point_type", "y", "x"], 1, "next_")
     return a.filter((F.col("point_type") == "Minimum") & (F.col("prev_point_type") == "Maximum") & (F.col("next_point_type") == "Maximum"))
 
 
 def inflection_pairs(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adjacent inflection points (in the full x-ordered list of derivative points)."""
-    from assayflow.operators.ordered import neighbours
-
-    ordered = add_position(points, [F.col("x").asc(), F.col("point_type").asc()], by, "__k")
-    a = neighbours(ordered, by, "__k", ["point_type", "y", "x"], offset=1, prefix="next_")
+    a = _beside(points, by, ["x", "point_type"], ["point_type", "y", "x"], 1, "next_")
     return a.filter((F.col("point_type") == "InflectionPoint") & (F.col("next_point_type") == "InflectionPoint"))
 
 
@@ -243,8 +237,6 @@ def cut_point(df: DataFrame, by: Sequence[str], value: str, pic50: bool = False,
     """
     from assayflow.operators.labels import skewness_g1
 
-    from assayflow.session import materialize
-
     norm = materialize(normalize_range(df, by, value, "__z"))
     bw = kde_adaptive_bandwidths(norm, by, "__z")
     grid = materialize(kde_grid(bw, by, "__z", N_GRID, bandwidth="bandwidth"))
@@ -295,9 +287,7 @@ def cut_point(df: DataFrame, by: Sequence[str], value: str, pic50: bool = False,
 
 
 def _invert_with_target(grid: DataFrame, by: Sequence[str]) -> DataFrame:
-    from assayflow.operators.ordered import neighbours
-
-    nb = neighbours(grid.select(*by, "i", "x", "cdf", "__t"), by, "i", ["x", "cdf"], offset=1, prefix="n_")
+    nb = _beside(grid.select(*by, "i", "x", "cdf", "__t"), by, ["i"], ["x", "cdf"], 1, "n_")
     yy = F.col("__t")
     seg = nb.filter((F.col("cdf") <= yy) & (F.col("n_cdf") >= yy) & (F.col("n_cdf") > F.col("cdf")))
     x = F.col("x") + (yy - F.col("cdf")) * (F.col("n_x") - F.col("x")) / (F.col("n_cdf") - F.col("cdf"))
@@ -322,20 +312,21 @@ def kaplan_meier(df: DataFrame, by: Sequence[str], value: str, modifier: str) ->
     )
     kind = kind.select(*by, "__n", F.when(F.col("__nl") > 0, F.when(F.col("__nr") == 0, F.lit(-1.0)).otherwise(
         F.raise_error(F.lit("left and right censored values in one group")).cast("double"))).otherwise(F.lit(1.0)).alias("__dir"))
-    j = _join(df.select(*by, value, modifier), kind, by)
+    kind = materialize(kind)
+    j = attach(df.select(*by, value, modifier), kind, by, ready=True)
     # sign-flip the value so that KM order (descending for left-censored) is ascending in __s
     j = j.withColumn("__s", F.col(value) * F.col("__dir"))
     per = j.groupBy(*by, "__s", value).agg(F.count(F.lit(1)).alias("__c"), F.count_if(F.col(modifier) == "=").alias("exact"))
     # total at risk = readings at or after this value in KM order = n - readings strictly before it
-    before = running_sums(per, by, [F.col("__s").asc()], ["__c"], ["__cum"])
+    before = running_sums(per, by, ["__s"], ["__c"], ["__cum"])
     before = _join(before, kind.select(*by, "__n"), by)
     ent = before.filter(F.col("exact") > 0).select(*by, "__s", value, "exact", (F.col("__n") - (F.col("__cum") - F.col("__c"))).alias("total"))
     r = (F.col("total") - F.col("exact")) / F.col("total")
     ent = ent.withColumn("__lr", F.when(r > 0, F.ln(r)).otherwise(F.lit(0.0))).withColumn("__z", (r <= 0).cast("long"))
-    cum = running_sums(ent, by, [F.col("__s").asc()], ["__lr", "__z"], ["__slr", "__sz"])
+    cum = running_sums(ent, by, ["__s"], ["__lr", "__z"], ["__slr", "__sz"])
     f = F.when(F.col("__sz") - F.col("__z") > 0, F.lit(0.0)).otherwise(F.exp(F.col("__slr") - F.col("__lr")))
     tab = cum.withColumn("f", f)
-    tab = add_position(tab, [F.col("__s").asc()], by, "index")
+    tab = add_position(tab, ["__s"], by, "index")
     last = tab.groupBy(*by).agg(F.max("index").alias("__last"))
     tab = _join(tab, last, by)
     step = F.when(F.col("index") == F.col("__last"), F.col("f")).otherwise(F.col("f") * (F.lit(1.0) - r))
@@ -351,8 +342,8 @@ def kaplan_meier(df: DataFrame, by: Sequence[str], value: str, modifier: str) ->
 def ks_statistic(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of standardized values to N(0,1) and its asymptotic p-value, per group."""
     st = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__sd"), F.count(value).alias("n"))
-    pos = add_position(df.select(*by, value, key).filter(F.col(value).isNotNull()), [F.col(value).asc(), F.col(key).asc()], by, "__p")
-    j = _join(pos, st, by)
+    pos = add_position(df.select(*by, value, key).filter(F.col(value).isNotNull()), [value, key], by, "__p")
+    j = attach(pos, st, by)
     cdf = S.normal_cdf((F.col(value) - F.col("__m")) / F.col("__sd"))
     d = F.greatest((F.col("__p") + 1) / F.col("n") - cdf, cdf - F.col("__p") / F.col("n"))
     g = j.groupBy(*by).agg(F.max(d).alias("ks"), F.first("n").alias("n"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import add_position, keyed_join, with_row
+from assayflow.operators.ordered import Down, add_position, attach, keyed_join, running_sums, with_row
+from assayflow.session import materialize
+
+#: Bins of the histogram that narrows a percentile down.
+BINS = 1024
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], value: str, n_rows: Column | None = None) -> DataFrame:
@@ -45,56 +49,59 @@ def summary_stats(df: DataFrame, by: Sequence[str], value: str, n_rows: Column |
     )
 
 
+def _bin(x: Column, lo: Column, hi: Column) -> Column:
+    """Equal-width bin of ``x`` in [lo, hi]; never decreasing in ``x`` (groups with NaN or infinite bounds have one bin)."""
+    at = (x - lo) / (hi - lo)
+    return F.when(hi > lo, F.when(F.isnan(at), F.lit(BINS - 1)).otherwise(F.least(F.floor(at * BINS), F.lit(BINS - 1)))).otherwise(F.lit(0)).cast("int")
+
+
 def percentiles(
     df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float], method: str = "n+1", names: Sequence[str] | None = None,
     long: bool = False,
 ) -> DataFrame:
-    """Exact percentiles per group without collecting a group into one task.
+    """Exact percentiles per group without sorting rows or collecting a group into one task.
 
     ``method="n+1"``: position p(n+1)/100 (1-based), below 1 -> min, at or
     above n -> max, linear interpolation (commons-math default).
     ``method="n-1"``: position 1 + p(n-1)/100 (numpy/pandas linear).
-    Rows are numbered with the range-partitioned ``add_position``; only the
-    two rows around each target position are kept.
+
+    A histogram per group tells which bins hold the wanted positions.  Rows of
+    those bins become (group, value) counts, added up on the map side, so rows
+    of one value travel as one; running sums of the counts give each value the
+    positions it fills.  The rows themselves are not shuffled.
     """
+    by = list(by)
     names = list(names or [f"p{str(p).replace('.', '_')}" for p in ps])
     clean = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    numbered = add_position(clean, ["__x"], by, "__pos")
-    counts = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    targets = []
-    for p in ps:
-        if method == "n+1":
-            t = F.lit(p / 100.0) * (F.col("__n") + 1)
-        else:
-            t = F.lit(1.0) + F.lit(p / 100.0) * (F.col("__n") - 1)
-        targets.append(t)
-    tg = counts.select(
-        *by,
-        "__n",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(targets)])).alias("__tg"),
-    ).select(*by, "__n", "__tg.i", "__tg.t")
-    tg = tg.select(
-        *by,
-        "i",
-        F.when(F.col("t") < 1, F.lit(0)).when(F.col("t") >= F.col("__n"), F.col("__n") - 1).otherwise(F.floor("t") - 1).cast("long").alias("__lo"),
-        F.when((F.col("t") < 1) | (F.col("t") >= F.col("__n")), F.lit(0.0)).otherwise(F.col("t") - F.floor("t")).alias("__d"),
-    )
-    # targets per group as one bounded array (one entry per requested percentile); each numbered row keeps
-    # only the entries it serves -- no row x target product
-    tga = tg.groupBy(*by).agg(F.collect_list(F.struct("i", "__lo", "__d")).alias("__tg"))
-    j = keyed_join(numbered, tga, by)
-    hit = F.filter("__tg", lambda t: (F.col("__pos") == t["__lo"]) | ((F.col("__pos") == t["__lo"] + 1) & (t["__d"] > 0)))
-    near = j.select(*by, "__x", "__pos", F.explode(hit).alias("t")).select(*by, "__x", "__pos", "t.i", "t.__lo", "t.__d")
-    vals = near.groupBy(*by, "i").agg(
-        F.max_by("__x", -F.col("__pos")).alias("__a"),
-        F.max_by("__x", F.col("__pos")).alias("__b"),
-        F.first("__d").alias("__d"),
-    )
-    vals = vals.select(*by, "i", (F.col("__a") + F.col("__d") * (F.col("__b") - F.col("__a"))).alias("__v"))
+    x = F.col("__x")
+    stats = materialize(clean.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx")))
+    n = F.col("__n")
+    wanted = []
+    for i, p in enumerate(ps):
+        t = F.lit(p / 100.0) * (n + 1) if method == "n+1" else F.lit(1.0) + F.lit(p / 100.0) * (n - 1)
+        edge = (t < 1) | (t >= n)
+        lo = F.when(t < 1, F.lit(0)).when(t >= n, n - 1).otherwise(F.floor(t) - 1).cast("long")
+        wanted.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), F.when(edge, F.lit(0.0)).otherwise(t - F.floor(t)).alias("d")))
+    targets = stats.select(*by, F.array(*wanted).alias("__tg"))  # an entry per percentile
+    serves = lambda first, end: F.filter("__tg", lambda t: ((t["lo"] >= first) & (t["lo"] < end)) | ((t["d"] > 0) & (t["lo"] + 1 >= first) & (t["lo"] + 1 < end)))
+
+    placed = attach(clean, stats.select(*by, "__mn", "__mx"), by).select(*by, "__x", _bin(x, F.col("__mn"), F.col("__mx")).alias("__bin"))
+    bins = placed.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS rows
+    bins = keyed_join(bins.withColumn("__end", F.sum("__c").over(upto)), targets, by)
+    held = bins.filter(F.size(serves(F.col("__end") - F.col("__c"), F.col("__end"))) > 0).select(*by, "__bin", (F.col("__end") - F.col("__c")).alias("__before"))
+
+    counts = attach(placed, held, [*by, "__bin"]).groupBy(*by, "__bin", "__before", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    cum = running_sums(counts, [*by, "__bin"], ["__x"], ["__c"], ["__cum"])
+    end = F.col("__before") + F.col("__cum")
+    hits = keyed_join(cum, targets, by).select(*by, "__x", (end - F.col("__c")).alias("__first"), end.alias("__end"), F.explode(serves(end - F.col("__c"), end)).alias("t"))
+    at = lambda pos: F.max(F.when((pos >= F.col("__first")) & (pos < F.col("__end")), x))
+    vals = hits.groupBy(*by, "t.i").agg(at(F.col("t.lo")).alias("__a"), at(F.col("t.lo") + 1).alias("__b"), F.first("t.d").alias("__d"))
+    step = F.when(F.col("__d") > 0, F.col("__d") * (F.col("__b") - F.col("__a"))).otherwise(F.lit(0.0))
+    vals = vals.select(*by, "i", (F.col("__a") + step).alias("__v"))
     if long:  # (by..., i, value) with i the index into ps
         return vals.withColumnRenamed("__v", "value")
-    wide = vals.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("__v"))).alias(n) for i, n in enumerate(names)])
-    return wide
+    return vals.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("__v"))).alias(name) for i, name in enumerate(names)])
 
 
 def descriptive(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -160,10 +167,9 @@ def top_values(df: DataFrame, value: str, k: int = 10, by: Sequence[str] = ()) -
     many tasks.
     """
     vc = value_counts(df.filter(F.col(value).isNotNull()), by, value)
-    order = [F.col("count").desc(), F.col(value).asc()]
     if not by:  # TakeOrderedAndProject: per-partition top-k, then a k-row merge
-        vc = vc.orderBy(*order).limit(k)
-    ranked = add_position(vc, order, by, "rank").withColumn("rank", F.col("rank") + 1)
+        vc = vc.orderBy(F.col("count").desc(), F.col(value).asc()).limit(k)
+    ranked = add_position(vc, [Down("count"), value], by, "rank").withColumn("rank", F.col("rank") + 1)
     return ranked.filter(F.col("rank") <= k)
 
 

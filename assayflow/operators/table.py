@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
-from assayflow.operators.ordered import OrderSpec, add_position, keyed_join
+from assayflow.operators.ordered import Down, OrderSpec, add_position, keyed_join
 
 
 # ------------------------------------------------------------- projections
@@ -150,12 +150,12 @@ def filter_dataset_protocol(df: DataFrame, dataset_col: str, protocol_col: str,
 
 def sort_default(df: DataFrame, col: str, tie: Sequence[str], pos: str = "pos") -> DataFrame:
     """Descending, nulls last (the workbench default); ``pos`` is the 0-based sorted position."""
-    return add_position(df, [F.col(col).desc_nulls_last(), *[F.col(t).asc() for t in tie]], (), pos)
+    return add_position(df, [Down(col), *tie], (), pos)
 
 
 def sort_reverse(df: DataFrame, col: str, tie: Sequence[str], pos: str = "pos") -> DataFrame:
     """Ascending with nulls first; ties in reversed input order."""
-    return add_position(df, [F.col(col).asc_nulls_first(), *[F.col(t).desc() for t in tie]], (), pos)
+    return add_position(df, [col, *map(Down, tie)], (), pos)
 
 
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 1234, pos: str = "pos") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayflow.operators.ordered import attach
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -39,7 +41,7 @@ class Tables:
         """labels ⋈ documents: label = quality, probability = n_chars min-max scaled per lang."""
         j = self.labels.join(self.documents.select("doc_id", "lang", "n_chars"), "doc_id")
         rng = j.groupBy("lang").agg(F.min("n_chars").alias("__mn"), F.max("n_chars").alias("__mx"))
-        return j.join(rng, "lang").select(
+        return attach(j, rng, ["lang"]).select(
             "doc_id",
             "lang",
             F.col("quality").cast("double").alias("label"),

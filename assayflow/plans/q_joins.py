@@ -31,12 +31,13 @@ def q_merge_check(spark, sf):
     return J.merge_check(a, b, "no", ["t"])
 
 
-@query("join_mismatch_audit", "SELECT round(avg(CASE WHEN o.o_custkey % 2 = c.c_nationkey % 2 THEN 0.0 ELSE 1.0 END), 6) AS mismatch_rate FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+@query("join_mismatch_audit", "SELECT round(avg(CASE WHEN o.o_totalprice > c.c_acctbal THEN 0.0 ELSE 1.0 END), 6) AS mismatch_rate FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
 def q_mismatch_audit(spark, sf):
+    """Orders are worth more than what their customer has on account, but for a few; above 5 % the audit stops the job."""
     t = Tables(spark, sf)
-    o = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey")
-    c = t.customer.select(F.col("c_custkey").alias("k"), "c_nationkey")
-    m = J.mismatch_rate(o, c, "k", F.pmod(F.col("k"), F.lit(2)) == F.pmod(F.col("c_nationkey"), F.lit(2)), limit=1.0)  # unrelated columns: about half differ
+    o = t.orders.select(F.col("o_custkey").alias("k"), "o_totalprice")
+    c = t.customer.select(F.col("c_custkey").alias("k"), "c_acctbal")
+    m = J.mismatch_rate(o, c, "k", F.col("o_totalprice") > F.col("c_acctbal"))
     return m.select(r6(F.col("mismatch_rate")).alias("mismatch_rate"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayflow.operators import metrics as M
+from assayflow.operators.ordered import attach
 from assayflow.plans.inputs import Tables
 from assayflow.plans.registry import query
 from assayflow.plans.sql_inputs import REGRESSION, SCORED, ba, f1, prec, rec, spec
@@ -26,7 +27,7 @@ def eval_report(t: Tables, metric: str = "f1"):
     by = ["lang"]
     pts = materialize(M.roc_curve(s, by, "label", "probability"))  # one ROC pass feeds cutoff and AUC
     best = M.optimize_midpoint(s, by, "label", "probability", metric, points=pts).select("lang", "cutoff")
-    pred = s.join(best, "lang").withColumn("prediction", (F.col("probability") > F.col("cutoff")).cast("double"))
+    pred = attach(s, best, by).withColumn("prediction", (F.col("probability") > F.col("cutoff")).cast("double"))
     counts = M.class_stats(M.confusion(pred, by, "label", "prediction"))
     auc = M.roc_auc(s, by, "label", "probability", points=pts)
     out = counts.join(auc, "lang").join(best, "lang")

@@ -78,7 +78,7 @@ n AS (SELECT lang, probability, lead(probability) OVER (PARTITION BY lang ORDER
 SELECT lang, round((probability + nxt) / 2, 6) AS midpoint FROM n WHERE nxt IS NOT NULL""")
 def q_midpoints(spark, sf):
     s = Tables(spark, sf).scored_documents().select("lang", "probability").distinct()
-    p = add_position(s, [F.col("probability").asc()], ["lang"], "pos")
+    p = add_position(s, ["probability"], ["lang"], "pos")
     n = neighbours(p, ["lang"], "pos", ["probability"], offset=1, prefix="next_")
     return n.filter(F.col("next_probability").isNotNull()).select("lang", r6((F.col("probability") + F.col("next_probability")) / 2.0).alias("midpoint"))
 

@@ -14,6 +14,7 @@ from assayflow.operators import models as MD
 from assayflow.operators import screening as SC
 from assayflow.operators.features import descriptors, to_ml_vector
 from assayflow.operators.metrics import checked
+from assayflow.operators.ordered import attach
 from assayflow.plans.inputs import Tables
 from assayflow.plans.q_metrics import MIDPOINT_SQL, r6
 from assayflow.plans.registry import query
@@ -199,7 +200,7 @@ SELECT s.doc_id, CAST(CASE WHEN s.probability > b.cutoff THEN 1 ELSE 0 END AS DO
 def q_prob_to_pred(spark, sf):
     s = Tables(spark, sf).scored_documents()
     best = M.optimize_midpoint(s, ["lang"], "label", "probability").select("lang", "cutoff")
-    return M.apply_cutoff(s.join(best, "lang"), "probability", F.col("cutoff")).select("doc_id", "prediction")
+    return M.apply_cutoff(attach(s, best, ["lang"]), "probability", F.col("cutoff")).select("doc_id", "prediction")
 
 
 def _doc_features(t):

@@ -96,10 +96,23 @@ def _grouped(spark, sf):
     return RD.group_tables(r, "protocol", ["target", "units"], "activity", "row")
 
 
-@query("rd_group_tables", f"WITH {GROUP_SQL} SELECT table_key, protocol, target, units, count(*) AS n_rows FROM gt GROUP BY ALL")
+SPLITS_SQL = f"""{MEAS}, sp AS (SELECT row, protocol, s.target AS target, s.units AS units, md5(concat_ws(':', protocol, 'activity', s.target, s.units)) AS table_key
+  FROM (SELECT row, protocol, unnest([{{'target': target, 'units': units}}, {{'target': 'NA', 'units': units}}, {{'target': target, 'units': 'NA'}}]) AS s FROM meas)),
+members AS (SELECT protocol, table_key, list(row ORDER BY row) AS m FROM sp GROUP BY ALL),
+kept AS (SELECT min(table_key) AS table_key FROM members GROUP BY protocol, m)"""
+
+
+@query("rd_group_tables", f"WITH {SPLITS_SQL} SELECT table_key, protocol, target, units, count(*) AS n_rows FROM sp WHERE table_key IN (SELECT table_key FROM kept) GROUP BY ALL")
 def q_group_tables(spark, sf):
-    g = _grouped(spark, sf)
-    return g.groupBy("table_key", "protocol", "target", "units").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Splits by target and units, by units alone and by target alone; units tell the target, so half of the splits are equal to others."""
+    r = Tables(spark, sf).measurement_rows()
+    none = F.lit(None).cast("string")
+    variants = [F.struct(F.col("target").alias("target"), F.col("units").alias("units")), F.struct(none.alias("target"), F.col("units").alias("units")),
+                F.struct(F.col("target").alias("target"), none.alias("units"))]
+    split = r.select("row", "protocol", F.explode(F.array(*variants)).alias("s")).select("row", "protocol", "s.*")
+    g = RD.group_tables(split, "protocol", ["target", "units"], "activity", "row")
+    named = [F.coalesce(c, F.lit("NA")).alias(c) for c in ("target", "units")]
+    return g.groupBy("table_key", "protocol", *named).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _features(t):

@@ -1,11 +1,16 @@
 """Survey test kinds: similarity self-test, CV equivalence with MLlib's CrossValidator."""
 
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayflow.operators import cv as CV
 from assayflow.operators import joins as J
 from assayflow.operators import models as MD
+from assayflow.operators import similarity as S
 from assayflow.operators.features import to_ml_vector, word_split
 
 from .conftest import SF_SMALL
@@ -33,18 +38,73 @@ def test_cv_metric_equals_crossvalidator(spark):
     assert sum(per_fold) / 3 == pytest.approx(cvm.avgMetrics[0], abs=1e-8)
 
 
-def test_shuffle_join_path_matches_broadcast_path(spark, monkeypatch):
+def test_index_blocks_and_sides_agree(spark, monkeypatch):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang", "text")
     b = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text")
     dp = J.postings(d, "doc_id", word_split(F.col("text")), keep=["lang"])
     bp = J.postings(b, "item_id", word_split(F.col("text")))
+    langs = ["de", "en", "es", "fr"]
     fast = {r[0]: r[1] for r in J.nearest_similarity(dp.drop("lang"), "doc_id", bp, "item_id").collect()}
-    prof_fast = {r[0]: tuple(r[1:]) for r in J.similarity_profile(bp, "item_id", dp, "doc_id", "lang", ["de", "en", "es", "fr"]).collect()}
-    monkeypatch.setattr(J, "BROADCAST_MAX_ROWS", 0)
+    prof_fast = {r[0]: tuple(r[1:]) for r in J.similarity_profile(bp, "item_id", dp, "doc_id", "lang", langs).collect()}
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 300)
     slow = {r[0]: r[1] for r in J.nearest_similarity(dp.drop("lang"), "doc_id", bp, "item_id").collect()}
-    prof_slow = {r[0]: tuple(r[1:]) for r in J.similarity_profile(bp, "item_id", dp, "doc_id", "lang", ["de", "en", "es", "fr"]).collect()}
+    prof_slow = {r[0]: tuple(r[1:]) for r in J.similarity_profile(bp, "item_id", dp, "doc_id", "lang", langs).collect()}
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 20_000)
+    found = J.nearest_similarity(bp, "item_id", dp, "doc_id", ds_groups=["lang"]).collect()
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in fast)
     assert prof_fast.keys() == prof_slow.keys() and all(prof_fast[k] == pytest.approx(prof_slow[k]) for k in prof_fast)
+    for item, lang, best in found:
+        assert best == pytest.approx(prof_fast[item][langs.index(lang)])
+
+
+def tanimoto(a, b):
+    dot = sum(n * b.get(f, 0) for f, n in a.items())
+    return dot / (sum(n * n for n in a.values()) + sum(n * n for n in b.values()) - dot)
+
+
+def bags(seed, n):
+    """Vectors with a few common heavy features, many rare ones and some near copies."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        bag = Counter({f"c{rng.randint(0, 5)}": rng.randint(1, 4) for _ in range(3)} | {f"r{rng.randint(0, 4000)}": rng.randint(1, 3) for _ in range(25)})
+        if i % 4 == 3:
+            bag = out[rng.randrange(len(out))].copy()
+            bag[f"n{i}"] = 1
+        out.append(bag)
+    return out
+
+
+@pytest.mark.parametrize("ids", ["string", "long"])
+def test_search_is_exact_for_ids_of_any_type(spark, monkeypatch, ids):
+    left, right = bags(1, 60), bags(2, 50) + bags(1, 60)[:20]
+    name = (lambda k, i: f"{k}-{i}") if ids == "string" else (lambda k, i: i)
+    frame = lambda key, kind, vectors: spark.createDataFrame([(name(kind, i), f"g{i % 3}", f, float(c)) for i, v in enumerate(vectors) for f, c in v.items()], f"{key} {ids}, g string, feature string, count double")
+    a, b = frame("a", "left", left), frame("b", "right", right)
+    want = {name("left", i): max(tanimoto(x, y) for y in right) for i, x in enumerate(left)}
+    per_group = {(name("left", i), g): max(tanimoto(x, y) for j, y in enumerate(right) if f"g{j % 3}" == g) for i, x in enumerate(left) for g in ("g0", "g1", "g2")}
+    for block in (200, 1_000_000):
+        monkeypatch.setattr(S, "BLOCK_POSTINGS", block)
+        got = J.nearest_similarity(a.drop("g"), "a", b.drop("g"), "b")
+        assert got.schema["a"].dataType == a.schema["a"].dataType
+        assert {r[0]: pytest.approx(r[1]) for r in got.collect()} == want
+        wide = J.similarity_profile(a.drop("g"), "a", b, "b", "g", ["g0", "g1", "g2"]).collect()
+        assert {(r["a"], g): pytest.approx(r[g]) for r in wide for g in ("g0", "g1", "g2")} == per_group
+
+
+def test_few_of_the_pairs_that_share_a_feature_are_scored():
+    vectors = bags(4, 3000)
+    numbers = {f: i for i, f in enumerate(sorted({f for v in vectors for f in v}))}
+    item, feature, count = (np.array(x) for x in zip(*[(i, numbers[f], float(c)) for i, v in enumerate(vectors) for f, c in v.items()]))
+    index = S.Index(item, feature, count, len(vectors), len(numbers), np.zeros(len(vectors), np.int64), 1)
+    sharing, dense = 0, np.zeros(len(numbers))
+    for v in vectors[:200]:
+        f, c = np.array([numbers[k] for k in v]), np.array([float(x) for x in v.values()])
+        best = np.zeros(1)
+        items, found = index.winners(f, c, float((c * c).sum()), best, dense, alone=True)
+        assert max(best[0], *found) == pytest.approx(1.0)
+        sharing += sum(1 for other in vectors if v.keys() & other.keys())
+    assert index.scored < sharing / 50
 
 
 def test_fold_report_has_overall_train_and_test_metrics(spark):
