@@ -309,3 +309,36 @@ def text_to_sparse(s) -> Column:
     idx = F.when(parts[1] == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(parts[1], r"\|"), lambda x: x.cast("int")))
     val = F.when(parts[2] == "", F.array().cast("array<double>")).otherwise(F.transform(F.split(parts[2], r"\|"), lambda x: x.cast("double")))
     return F.struct(parts[0].cast("int").alias("length"), idx.alias("indices"), val.alias("values"))
+
+
+def half_beta(x, a) -> Column:
+    """Regularised incomplete beta function I_x(a, 1/2), by its continued fraction with a bounded number of terms."""
+    x, a = _c(x), _c(a)
+    half = F.lit(0.5)
+    # ln (gamma(a + 1/2) / gamma(a)): the series for large arguments, reached from a by 16 steps of the recurrence
+    up = a + 16
+    ratio = 0.5 * F.ln(up) - 1 / (8 * up) + 1 / (192 * F.pow(up, F.lit(3.0))) - 1 / (640 * F.pow(up, F.lit(5.0)))
+    for i in range(16):
+        ratio = ratio + F.ln((a + i) / (a + (i + 0.5)))
+    front = F.exp(a * F.ln(x) + half * F.ln(1 - x) + ratio) / F.sqrt(F.lit(math.pi))
+
+    def fraction(p: Column, q: Column, z: Column) -> Column:
+        terms = F.least(F.lit(20_000.0), 100 + 8 * F.sqrt(F.greatest(p, q))).cast("int")
+
+        def step(f: Column, k: Column) -> Column:
+            m = F.floor(k / 2)
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            return 1 + F.when(k % 2 == 0, even).otherwise(odd) / f
+
+        return F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), step)
+
+    near = front / (a * fraction(a, half, x))
+    far = 1 - front / (half * fraction(half, a, 1 - x))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(x < (a + 1) / (a + 2.5), near).otherwise(far)
+
+
+def t_two_sided(t, dof) -> Column:
+    """Two-sided p-value of Student's t with ``dof`` degrees of freedom."""
+    t, dof = _c(t), _c(dof).cast("double")
+    return half_beta(dof / (dof + t * t), dof / 2)

@@ -110,6 +110,26 @@ def best_params(results: DataFrame, params: Sequence[str], metric: str) -> dict:
     return row.asDict()
 
 
+def apply_best(results: DataFrame, params: Sequence[str], metric: str, make: Callable[[dict], Estimator], df: DataFrame) -> tuple[DataFrame, dict]:
+    """Best row of a stored tuning table -> estimator with those parameters -> fitted on and applied to ``df``; and the parameters."""
+    best = best_params(results, params, metric)
+    return make(best).fit(df).transform(df), best
+
+
+def tune_system(spark: SparkSession, df: DataFrame, system: str, mapping: dict[str, str], key: Sequence[str], make: Callable[[dict], Estimator],
+                grid: list[dict], k: int, metric: str, path: str, method: str, classification: bool = False, seed: int = 1234) -> None:
+    """Tune one system: columns mapped to their standard names, rows with nulls left out, the rest shuffled by seed and
+    dealt into folds by position; the results are appended to ``path`` once, and a system that is there already is skipped."""
+    from assayflow.operators.table import model_input, shuffle_rows
+    from assayflow.sources import tables as IO
+
+    if not IO.skip_done(spark, spark.createDataFrame([(system,)], "NAME string"), path).count():
+        return
+    rows = shuffle_rows(model_input(df, mapping), key, seed)
+    folded = rows.withColumn("fold", cv_fold(F.col("pos"), k)).drop("pos")
+    IO.append_once(spark, optimize(spark, make, grid, folded, k, metric, classification=classification, name=system, method=method), path)
+
+
 def leaderboard(estimators: dict[str, Estimator], df: DataFrame, k: int, metric: str, label: str = "label",
                 classification: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Cross-validate several estimators; returns (long predictions with ``estimator``, ranked metrics)."""
@@ -123,7 +143,7 @@ def leaderboard(estimators: dict[str, Estimator], df: DataFrame, k: int, metric:
         parts = list(pool.map(run, estimators.items()))
     preds = parts[0]
     for p in parts[1:]:
-        preds = preds.unionByName(p)
+        preds = preds.unionByName(p, allowMissingColumns=True)  # not every estimator has probabilities
     m = evaluate(preds, metric, label, "prediction", "probability", ["estimator"])
     from pyspark.sql import Window
 
@@ -133,7 +153,10 @@ def leaderboard(estimators: dict[str, Estimator], df: DataFrame, k: int, metric:
 
 
 def regression_leaderboard_metrics(preds: DataFrame, label: str = "label") -> DataFrame:
-    """Correlation-ranked regression leaderboard (rmse, mae, Pearson, Spearman per estimator)."""
+    """Regression leaderboard: rmse, mae, Pearson and Spearman per estimator, ranked by correlation (rank 1: the highest)."""
+    from pyspark.sql import Window
+
     m = M.regression_metrics(preds, ["estimator"], label, "prediction")
     s = M.spearman(preds, ["estimator"], label, "prediction")
-    return m.join(s, "estimator")
+    best_first = Window.orderBy(F.col("pearson").desc_nulls_last(), "estimator")  # one row per estimator: bounded
+    return m.join(s, "estimator").withColumn("rank", F.row_number().over(best_first))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.operators.metrics import checked
+from assayflow.operators.ordered import with_row
 from assayflow.operators.summaries import summary_stats
+from assayflow.session import scratch_dir
 
 
 def dense(col: str | Column) -> Column:
@@ -186,15 +188,21 @@ def word_vectors(df: DataFrame, id_col: str, tokens: str, name: str = "features"
 
     The dictionary is a table joined to the counts; only its size reaches the driver.  ``id_col`` is unique.
     """
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
     counts = feature_counts(df, id_col, F.col(tokens), "__word")
     words_ = hash_index(counts, "__word")
     size = words_.count()
     entry = F.struct(F.col("index").cast("int").alias("i"), F.col("count").alias("c"))
     rows = counts.join(words_, "__word").groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(entry)).alias("__at"))
-    vector = F.udf(lambda at: Vectors.sparse(size, [x[0] for x in at or ()], [x[1] for x in at or ()]), VectorUDT())
-    return df.join(rows, F.col(id_col) == F.col("__id"), "left").withColumn(name, vector("__at")).drop("__id", "__at")
+    at = F.coalesce("__at", F.array().cast("array<struct<i:int,c:double>>"))
+    # a vector column is stored as this struct; reading it back as vectors needs no Python
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"), at["i"].alias("indices"), at["c"].alias("values"))
+    out = df.join(rows, F.col(id_col) == F.col("__id"), "left").select(*df.columns, stored.alias(name))
+    path = scratch_dir(df.sparkSession, "vectors")
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(name, VectorUDT())])).parquet(path)
 
 
 def descriptors(text: Column) -> Column:
@@ -242,12 +250,12 @@ def base_table(long: DataFrame, key: str, title: str, responses: Sequence[str])
         *[F.max(F.when(F.col("response") == r, F.col("raw"))).alias(r) for r in responses],
         *[F.max(F.when(F.col("response") == r, F.col("value"))).alias(f"{r}_value") for r in responses],
     )
-    counts = long.groupBy("response").agg(F.count("raw").alias("n"))
+    n = long.agg(*[F.count(F.when(F.col("response") == r, F.col("raw"))).alias(r) for r in responses])
+    g = with_row(g, n.select(F.struct(*[F.col(r) for r in responses]).alias("__n")))  # one row with the counts of all fields
     for r in responses:
-        n = counts.filter(F.col("response") == r).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
         for c in (key, r):
-            g = g.withColumn(c, checked(F.col(c), n > 0, f"recipe field {r} has no values"))
-    return g
+            g = g.withColumn(c, checked(F.col(c), F.col("__n")[r] > 0, f"recipe field {r} has no values"))
+    return g.drop("__n")
 
 
 def drop_constant_sparse(long: DataFrame, id_col: str, idx: str, val: str, n_rows: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions import scalar as S
+from assayflow.operators.ordered import attach
 from assayflow.operators.kernels import as_array, kernel_svm, svd_project  # noqa: F401
 
 
@@ -110,7 +111,7 @@ def consensus(probs: DataFrame, weights: DataFrame, id_col: str, model: str, pro
     if drop_worst:
         worst = weights.agg(F.min_by(model, F.struct(weight, model)).alias("m")).scalar()
         w = weights.filter(F.col(model) != worst)
-    j = probs.join(F.broadcast(w.select(model, weight)), model)  # one row per model: bounded
+    j = attach(probs, w.select(model, weight), [model])
     return j.groupBy(id_col).agg(F.sum(F.col(prob) * F.col(weight)).alias("probability"))
 
 

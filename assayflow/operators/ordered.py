@@ -198,7 +198,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     if at_most(stats, BROADCAST_GROUPS):
         return keyed_join(df, F.broadcast(stats), keys, how)
     salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    spread = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return keyed_join(salted, spread, [*keys, "__salt"], how).drop("__salt")
 
 

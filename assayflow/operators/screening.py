@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.session import materialize
+
 
 def hitrate_tested(compounds: DataFrame, results: DataFrame, id_col: str, assay: str, active: str) -> DataFrame:
     """Hit rate per assay over compounds with a result (missing excluded); one row per hit id.
@@ -47,6 +49,23 @@ def score_library(model, library: DataFrame, id_col: str, feature_col: str, by:
     return model.transform(clean)
 
 
+def timed_scores(score, library: DataFrame, by: Sequence[str], pred_col: str = "prediction") -> tuple[DataFrame, float, dict]:
+    """Scores of a library, computed once: (stored predictions, seconds that the pass took, numbers observed on the way).
+
+    ``score`` maps the library to its predictions.  The pass ends when the predictions are written, so the time is that of
+    the scoring; tested and predicted rows are counted by the same pass (``observe``), not by another one.
+    """
+    import time
+
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    began = time.monotonic()
+    pred = score(library).select(*by, pred_col).observe(seen, F.count(pred_col).alias("tested"), F.count_if(F.col(pred_col) == 1).alias("predicted"))
+    stored = materialize(pred)
+    return stored, time.monotonic() - began, seen.get
+
+
 def library_report(pred: DataFrame, by: Sequence[str], library_size: DataFrame, pred_col: str = "prediction") -> DataFrame:
     """One row per (library, assay, model): tested, predicted actives and hit rate."""
     g = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("tested_compounds"), F.count_if(F.col(pred_col) == 1).alias("n_predicted"))

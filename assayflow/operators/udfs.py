@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.functions import scalar as S
+
 
 def with_column_from(df: DataFrame, name: str, fn: Callable[[Column], Column], source: str) -> DataFrame:
     """Column from another column by a Column function."""
@@ -32,6 +34,19 @@ def pair_accumulator(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFr
     return g.withColumn("rmse", F.sqrt(F.col("ssd") / F.col("n")))
 
 
+def row_pair(df: DataFrame, features: str, out: str, weights: Sequence[float], intercept: float, cutoff: float = 0.5) -> DataFrame:
+    """Row transformer array -> (prediction, probability) of a logistic model, as a Column expression."""
+    margin = S.dot(F.col(features), F.array(*[F.lit(float(w)) for w in weights])) + F.lit(float(intercept))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    return df.withColumn(out, F.struct((p > cutoff).cast("double").alias("prediction"), p.alias("probability")))
+
+
+def row_vector(df: DataFrame, features: str, out: str, centre: Sequence[float], scale: Sequence[float]) -> DataFrame:
+    """Row transformer array -> array: centred and scaled position by position (a constant position becomes 0)."""
+    parts = F.arrays_zip(F.col(features).alias("x"), F.array(*[F.lit(float(c)) for c in centre]).alias("c"), F.array(*[F.lit(float(s)) for s in scale]).alias("s"))
+    return df.withColumn(out, F.transform(parts, lambda p: F.when(p["s"] == 0, F.lit(0.0)).otherwise((p["x"] - p["c"]) / F.when(p["s"] != 0, p["s"]))))
+
+
 def metric_over_counts(counts: DataFrame, metric: Column, name: str = "metric") -> DataFrame:
     """Caller's metric as a Column expression over tp, fp, tn, fn."""
     return counts.withColumn(name, metric)

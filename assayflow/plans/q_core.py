@@ -104,13 +104,24 @@ def q_slice(spark, sf):
     return T.slice_rows(p.withColumn("__n", n), "pos", F.floor(F.col("__n") / 3), F.floor(2 * F.col("__n") / 3)).select("pos", "o_orderkey")
 
 
-@query("filt_not_null_check", """SELECT pos, doc_id FROM (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS pos, d.doc_id, l.quality
+@query("filt_not_null_check", """SELECT pos, doc_id, true AS refused, false AS refused_key FROM (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS pos, d.doc_id, l.quality
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE quality IS NULL""")
 def q_null_positions(spark, sf):
     t = Tables(spark, sf)
     j = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     p = T.with_position(j, ["doc_id"])
-    return p.filter(F.col("quality").isNull()).select("pos", "doc_id")
+
+    def refused(col):
+        """Whether the check of ``col`` stops the job."""
+        try:
+            T.require_no_nulls(j, col).agg(F.count(col)).first()
+        except Exception as stopped:  # noqa: BLE001  (Spark's error class depends on where the check runs)
+            if "has null values" not in str(stopped):
+                raise
+            return True
+        return False
+
+    return T.null_positions(p, "pos", "quality").join(p.select("pos", "doc_id"), "pos").select("pos", "doc_id", F.lit(refused("quality")).alias("refused"), F.lit(refused("doc_id")).alias("refused_key"))
 
 
 @query("filt_estimator_input", "SELECT vec_id AS no, CAST(label AS DOUBLE) AS label, CAST(len(embedding) AS INTEGER) AS n_features FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")

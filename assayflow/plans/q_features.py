@@ -123,7 +123,7 @@ def q_idf(spark, sf):
     return s.select("item_id", r6(F.col("weight")).alias("weight"))
 
 
-@query("feat_base_table", "SELECT p_partkey AS key, p_name AS title, CAST(p_size AS VARCHAR) AS p_size, round(log10(p_size), 6) AS p_size_value, p_type, CAST(NULL AS DOUBLE) AS p_type_value FROM part")
+@query("feat_base_table", "SELECT p_partkey AS key, p_name AS title, CAST(p_size AS VARCHAR) AS p_size, round(log10(p_size), 6) AS p_size_value, p_type, CAST(NULL AS DOUBLE) AS p_type_value, CAST(p_retailprice AS VARCHAR) AS p_retailprice, round(p_retailprice, 6) AS p_retailprice_value FROM part")
 def q_base_table(spark, sf):
     from assayflow.plans.q_io import RECIPE, _records
     from assayflow.sources import tables as IO
@@ -131,28 +131,42 @@ def q_base_table(spark, sf):
     r = _records(spark, sf).select(F.col("fields")["p_partkey"].cast("bigint").alias("key"), "title", "fields")
     recipe = spark.createDataFrame([(x["file"], x["response"], x["category"], x["transform"]) for x in RECIPE],
                                    "file string, response string, category string, transform string")
-    long = IO.apply_recipe(r.select("key", "fields"), "key", recipe).join(r.select("key", "title"), "key")
-    b = FT.base_table(long, "key", "title", [x["response"] for x in RECIPE])  # the SQL compares two fields of three
-    return b.select("key", "title", "p_size", r6(F.col("p_size_value")).alias("p_size_value"), "p_type", "p_type_value")
+    long = IO.apply_recipe(r.select("key", "fields"), "key", recipe, "part").join(r.select("key", "title"), "key")
+    b = FT.base_table(long, "key", "title", [x["response"] for x in RECIPE if x["file"] == "part"])
+    return b.select("key", "title", "p_size", r6(F.col("p_size_value")).alias("p_size_value"), "p_type", "p_type_value", "p_retailprice", r6(F.col("p_retailprice_value")).alias("p_retailprice_value"))
 
 
-@query("feat_nominal")
+@query("feat_nominal", """WITH f AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS a, c_acctbal AS b, CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS c, CAST(c_nationkey % 3 * 7 + 2 AS DOUBLE) AS d FROM customer),
+n AS (SELECT count(DISTINCT a) AS na, count(DISTINCT b) AS nb, count(DISTINCT c) AS nc, count(DISTINCT d) AS nd FROM f)
+SELECT c_custkey, CAST(CASE WHEN na > 4 THEN a ELSE dense_rank() OVER (ORDER BY a) - 1 END AS DOUBLE) AS nation, CAST(CASE WHEN nb > 4 THEN b ELSE dense_rank() OVER (ORDER BY b) - 1 END AS DOUBLE) AS balance,
+  CAST(CASE WHEN nc > 4 THEN c ELSE dense_rank() OVER (ORDER BY c) - 1 END AS DOUBLE) AS building, CAST(CASE WHEN nd > 4 THEN d ELSE dense_rank() OVER (ORDER BY d) - 1 END AS DOUBLE) AS third FROM f, n""")
 def q_nominal(spark, sf):
     """Positions with at most 4 distinct values become categorical (MLlib VectorIndexer)."""
     from pyspark.ml.feature import VectorIndexer
 
-    c = Tables(spark, sf).customer.select("c_custkey", F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal"),
-                                                               (F.col("c_mktsegment") == "BUILDING").cast("double")).alias("a"))
+    c = Tables(spark, sf).customer.select("c_custkey", F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal"), (F.col("c_mktsegment") == "BUILDING").cast("double"),
+                                                               (F.col("c_nationkey") % 3 * 7 + 2).cast("double")).alias("a"))
     v = c.select("c_custkey", FT.to_ml_vector("a").alias("features"))
     from pyspark.ml.functions import vector_to_array
 
     m = VectorIndexer(maxCategories=4, inputCol="features", outputCol="indexed").fit(v)
-    return m.transform(v).select("c_custkey", vector_to_array("indexed").alias("indexed"))
+    indexed = m.transform(v).select("c_custkey", vector_to_array("indexed").alias("i"))
+    return indexed.select("c_custkey", *[F.col("i")[k].alias(name) for k, name in enumerate(("nation", "balance", "building", "third"))])
+
+
+@query("feat_svd_gram", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, unnest(range(1, len(v) + 1)) AS p, unnest(v) AS y FROM e)
+SELECT CAST(a.p - 1 AS INTEGER) AS i, CAST(b.p - 1 AS INTEGER) AS j, round(sum(a.y * b.y), 4) AS value FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.p <= b.p GROUP BY a.p, b.p""")
+def q_svd_gram(spark, sf):
+    """The sums of products behind the singular vectors, added up from batches by position."""
+    from assayflow.operators.kernels import gramian
+
+    sums, _ = gramian(_emb(Tables(spark, sf)), "a")
+    return sums.select("i", "j", F.round("value", 4).alias("value"))
 
 
 @query("feat_svd")
 def q_svd(spark, sf):
-    """Projection of the embeddings onto their first 10 right singular vectors (uncentered, distributed RowMatrix)."""
+    """Projection of the embeddings onto their first 10 right singular vectors (uncentered, Gram sums from all tasks)."""
     from assayflow.operators.models import svd_project
 
     return svd_project(_emb(Tables(spark, sf)), "vec_id", "a", k=10)

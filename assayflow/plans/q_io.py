@@ -14,9 +14,11 @@ from assayflow.session import scratch_dir
 from assayflow.sources import tables as IO
 
 
-@query("src_typed_csv", "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("src_typed_csv", """SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_size, p_retailprice, p_name || chr(10) || '"' || p_brand || '", ' || p_type AS note FROM part""")
 def q_typed_csv(spark, sf):
-    p = Tables(spark, sf).part.select(F.col("p_partkey").cast("int"), "p_name", "p_brand", "p_size", "p_retailprice")
+    """Texts with line breaks, quotes and separators come back as they were."""
+    note = F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('", '), "p_type").alias("note")
+    p = Tables(spark, sf).part.select(F.col("p_partkey").cast("int"), "p_name", "p_brand", "p_size", "p_retailprice", note)
     path = scratch_dir(spark, "typed-csv")
     IO.write_typed_csv(p, path, gzip=True)
     return IO.read_typed_csv(spark, path)
@@ -104,20 +106,20 @@ RECIPE = [
     {"file": "part", "response": "p_size", "category": "continuous", "transform": "log10"},
     {"file": "part", "response": "p_retailprice", "category": "continuous", "transform": "none"},
     {"file": "part", "response": "p_type", "category": "categorical", "transform": None},
+    {"file": "supplier", "response": "p_brand", "category": "categorical", "transform": None},
 ]
 
 
 @query("src_recipe_json", r"""SELECT p_partkey AS key, 'p_size' AS response, 'continuous' AS category, CAST(p_size AS VARCHAR) AS raw, round(log10(p_size), 6) AS value FROM part
-UNION ALL SELECT p_partkey, 'p_retailprice', 'continuous', NULL, round(p_retailprice, 6) FROM part
+UNION ALL SELECT p_partkey, 'p_retailprice', 'continuous', CAST(p_retailprice AS VARCHAR), round(p_retailprice, 6) FROM part
 UNION ALL SELECT p_partkey, 'p_type', 'categorical', p_type, NULL FROM part""")
 def q_recipe(spark, sf):
     r = _records(spark, sf).select(F.col("fields")["p_partkey"].cast("bigint").alias("key"), "fields")
     path = scratch_dir(spark, "recipe")
     spark.createDataFrame([(json.dumps(RECIPE),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     recipe = IO.read_recipe(spark, path)
-    out = IO.apply_recipe(r, "key", recipe)
-    return out.select("key", "response", "category", F.when(F.col("response") == "p_retailprice", F.lit(None)).otherwise(F.col("raw")).alias("raw"),
-                      r6(F.col("value")).alias("value"))
+    out = IO.apply_recipe(r, "key", recipe, "part")
+    return out.select("key", "response", "category", "raw", r6(F.col("value")).alias("value"))
 
 
 @query("src_system_scan", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")

@@ -3,8 +3,6 @@ task chooser, bad-category rule and the UDF surface."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from assayflow.operators import cv as CV
@@ -22,55 +20,28 @@ from assayflow.plans.sql_inputs import REGRESSION, SCORED, prec, rec
 
 
 def paired_t(df, a: str, b: str):
-    """Paired two-sided t statistic of two metric columns: mean(d) / (sd(d) / sqrt(n)) (one-row result)."""
+    """Paired two-sided t test of two metric columns (one row): n, t = mean(d) / (sd(d) / sqrt(n)) and its p-value."""
     d = F.col(a) - F.col(b)
     g = df.agg(F.count(d).alias("n"), F.avg(d).alias("__m"), F.stddev_samp(d).alias("__s"))
-    return g.select("n", (F.col("__m") / (F.col("__s") / F.sqrt(F.col("n")))).alias("t"))
-
-
-def t_pvalue(t: float, dof: int) -> float:
-    """Two-sided p-value of Student's t (regularized incomplete beta by continued fraction) -- one number, driver side."""
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-
-    def betacf(a, b, x):
-        qab, qap, qam = a + b, a + 1.0, a - 1.0
-        c, d = 1.0, 1.0 - qab * x / qap
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        h = d
-        for m in range(1, 300):
-            m2 = 2 * m
-            aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c
-            h *= d * c
-            aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c
-            de = d * c
-            h *= de
-            if abs(de - 1.0) < 3e-16:
-                break
-        return h
-
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    ib = math.exp(lbeta) * betacf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - math.exp(lbeta) * betacf(b, a, 1.0 - x) / b
-    return float(ib)
+    g = g.select("n", (F.col("__m") / (F.col("__s") / F.sqrt(F.col("n")))).alias("t"))
+    return g.withColumn("p_value", S.t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 PAIRS_SQL = """pr AS (SELECT o_custkey, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS b
   FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0)"""
 
 
-@query("agg_ttest_paired", f"WITH {PAIRS_SQL} SELECT count(a - b) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(a - b))), 6) AS t FROM pr")
+# the p-value by Simpson's rule over the density, another way than the operator's
+@query("agg_ttest_paired", f"""WITH {PAIRS_SQL}, st AS (SELECT count(a - b) AS n, avg(a - b) / (stddev_samp(a - b) / sqrt(count(a - b))) AS t FROM pr),
+pts AS (SELECT n, t, k, abs(t) * k / 20000 AS x, CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM st, range(0, 20001) r(k)),
+den AS (SELECT n, t, sum(w * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) * power(1 + x * x / (n - 1), -n / 2.0)) * abs(t) / 60000 AS middle FROM pts GROUP BY n, t)
+SELECT n, round(t, 6) AS t, round(1 - 2 * middle, 6) AS p_value FROM den""")
 def q_ttest(spark, sf):
     o = Tables(spark, sf).orders
     pr = o.groupBy("o_custkey").agg(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("a"),
                                    F.avg(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("b")).na.drop()
     t = paired_t(pr, "a", "b")
-    return t.select("n", r6(F.col("t")).alias("t"))
+    return t.select("n", r6(F.col("t")).alias("t"), r6(F.col("p_value")).alias("p_value"))
 
 
 @query("win_midpoints", f"""WITH {SCORED}, d AS (SELECT DISTINCT lang, probability FROM scored),
@@ -135,17 +106,19 @@ def _doc_group_features(t):
     conf = M.class_stats(M.confusion(c, by, "label", "__p"))
     auc = M.roc_auc(s, by, "label", "probability")
     acc = M.accuracy(c, by, "label", "__p")
-    reg = s.groupBy(*by).agg(M.pearson("label", "probability").alias("pearson"), F.skewness("nc").alias("skew"), F.kurtosis("nc").alias("kurtosis"), F.count(F.lit(1)).alias("n"))
+    reg = s.groupBy(*by).agg(M.pearson("label", "probability").alias("pearson"), F.skewness("nc").alias("skew"), F.kurtosis("nc").alias("kurtosis"), F.count(F.lit(1)).alias("n"),
+                              F.avg("nc").alias("mean_chars"))
     from assayflow.session import materialize
 
     f = conf.join(auc, by).join(acc, by).join(reg, by).withColumn("cost", M.plain_cost())
     return materialize(f.na.fill(0.0, ["pearson", "skew", "kurtosis", "roc_auc"]))
 
 
-def _median_label(f):
-    """Stand-in category for the chooser: 1 (Regression) when the table's accuracy is at or above the median table."""
-    med = percentiles(f, [], "accuracy", [50.0], "n+1", ["m"]).select("m").scalar()
-    return f.withColumn("label", (F.col("accuracy") >= med).cast("double"))
+def _category_label(f):
+    """Stand-in category for the chooser, from something that is none of its features: 1 (Regression) for tables whose
+    documents are at least as long on average as those of the median table."""
+    med = percentiles(f, [], "mean_chars", [50.0], "n+1", ["m"]).select("m").scalar()
+    return f.withColumn("label", (F.col("mean_chars") >= med).cast("double"))
 
 
 FEATURES9 = ["roc_auc", "accuracy", "precision", "recall", "pearson", "cost", "kurtosis", "skew", "n"]
@@ -159,7 +132,7 @@ def q_task_model(spark, sf):
     t = Tables(spark, sf)
     f = _doc_group_features(t)
     f = assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a"))
-    f = _median_label(f.filter(F.col("roc_auc") > 0.6))
+    f = _category_label(f.filter(F.col("roc_auc") > 0.6))
     rf = MD.estimator("rf_class", numTrees=10).fit(f).transform(f).select("lang", "source", F.col("prediction").alias("p_rf"))
     from assayflow.operators.features import minmax_scale
 
@@ -174,44 +147,55 @@ def q_task_model(spark, sf):
 
 @query("lab_bad_category")
 def q_bad_category(spark, sf):
-    """AUC < 0.6 -> 'Bad'; otherwise the chooser model decides Regression or Classification."""
+    """AUC of at most 0.6 -> 'Bad'; otherwise the chooser model, which is fitted on the other tables only, decides Regression or Classification."""
     from assayflow.operators.features import assemble, to_ml_vector
 
     t = Tables(spark, sf)
-    f = _doc_group_features(t)
-    f = _median_label(assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a")))
-    m = MD.estimator("rf_class", numTrees=10).fit(f)
+    f = assemble(_doc_group_features(t), FEATURES9, "a").withColumn("features", to_ml_vector("a"))
+    m = MD.estimator("rf_class", numTrees=10).fit(_category_label(f.filter(F.col("roc_auc") > 0.6)))
     p = m.transform(f)
-    cat = F.when(F.col("roc_auc") < 0.6, "Bad").when(F.col("prediction") == 1.0, "Regression").otherwise("Classification")
+    cat = F.when(F.col("roc_auc") <= 0.6, "Bad").when(F.col("prediction") == 1.0, "Regression").otherwise("Classification")
     return p.select("lang", "source", r6(F.col("roc_auc")).alias("roc_auc"), cat.alias("category"))
 
 
 @query("rd_ml_readouts")
 def q_ml_readouts(spark, sf):
-    """Text classifier over tokenized names (label tokenizer -> word counts -> naive Bayes / random forest), ranked by CV accuracy."""
+    """Text classifier over names and descriptions (tokenizer -> word counts -> naive Bayes, random forest, linear SVM), ranked by CV accuracy."""
     from assayflow.operators.features import word_vectors
 
-    t = Tables(spark, sf)
-    d = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    d = d.select(F.col("doc_id").alias("no"), "label", S.tokenize(F.col("text")).alias("tokens"))
+    p = Tables(spark, sf).part
+    label = (F.col("p_size") >= 25).cast("double")
+    d = p.select(F.col("p_partkey").alias("no"), label.alias("label"), S.tokenize(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
     d = CV.add_folds(word_vectors(d, "no", "tokens"), ["no"], 3)
-    ests = {"naive_bayes": MD.estimator("nb_multinomial"), "random_forest": MD.estimator("rf_class", numTrees=10)}
+    ests = {"naive_bayes": MD.estimator("nb_multinomial"), "random_forest": MD.estimator("rf_class", numTrees=10),
+            "linear_svm": MD.estimator("linear_svc", maxIter=20), "linear_svm_strict": MD.estimator("linear_svc", maxIter=20, regParam=0.1)}
     _, ranked = CV.leaderboard(ests, d, 3, "accuracy", classification=True)
     return ranked
 
 
 # ----------------------------------------------------------------- UDF surface
 
-@query("udf_row", "SELECT vec_id AS no, true AS same FROM embeddings")
+@query("udf_row", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, unnest(range(1, len(v) + 1)) AS p, unnest(v) AS y FROM e),
+st AS (SELECT p, avg(y) AS m, stddev_samp(y) AS s FROM x GROUP BY p)
+SELECT vec_id AS no, true AS same_value, true AS same_pair, round(sum((y - m) / s), 4) AS scaled FROM x JOIN st ON x.p = st.p GROUP BY vec_id""")
 def q_udf_row(spark, sf):
-    """A fitted linear model re-applied as a Column-expression row transformer; agrees with MLlib's transform."""
-    from assayflow.plans.q_ml import _reg_data
+    """Fitted models as row transformers of plain Column expressions: features -> value, -> (prediction, probability), -> vector."""
+    from assayflow.plans.q_ml import _class_data, _reg_data
 
-    d = _reg_data(Tables(spark, sf))
+    t = Tables(spark, sf)
+    d = _reg_data(t)
     lr = MD.estimator("linear_reg", regParam=0.1).fit(d)
     ours = MD.LinearRowModel(inputCol="a", outputCol="ours", weights=[float(x) for x in lr.coefficients], intercept=float(lr.intercept)).transform(d)
-    both = lr.transform(ours)
-    return both.select("no", (F.abs(F.col("ours") - F.col("prediction")) < 1e-9).alias("same"))
+    value = lr.transform(ours).select("no", (F.abs(F.col("ours") - F.col("prediction")) < 1e-9).alias("same_value"))
+    c = _class_data(t)
+    lg = MD.estimator("logistic", maxIter=20).fit(c)
+    pair = U.row_pair(c, "a", "pair", [float(x) for x in lg.coefficients], float(lg.intercept))
+    pair = lg.transform(pair).select("no", ((F.col("pair.prediction") == F.col("prediction")) & (F.abs(F.col("pair.probability") - MD.probability_of_positive()) < 1e-9)).alias("same_pair"))
+    width = c.agg(F.max(F.size("a"))).first()[0]
+    st = c.agg(*[F.avg(F.col("a")[i]).alias(f"m{i}") for i in range(width)], *[F.stddev_samp(F.col("a")[i]).alias(f"s{i}") for i in range(width)]).first()
+    vector = U.row_vector(c, "a", "scaled", [st[f"m{i}"] for i in range(width)], [st[f"s{i}"] for i in range(width)])
+    vector = vector.select("no", F.round(F.aggregate("scaled", F.lit(0.0), lambda acc, x: acc + x), 4).alias("scaled"))
+    return value.join(pair, "no").join(vector, "no")
 
 
 @query("udf_column", "SELECT p_partkey, upper(p_name) AS name_upper, CAST(length(p_name) AS INTEGER) AS name_length FROM part")

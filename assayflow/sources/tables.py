@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from assayflow.functions import scalar as S
 from assayflow.operators.metrics import checked
+from assayflow.operators.ordered import at_most, attach
 
 # The five column types of a typed header
 TYPES = ("String", "Int", "Double", "SparseVector", "DenseVector")
@@ -46,9 +47,9 @@ def _typed(c: Column, typ: str) -> Column:
 
 
 def read_typed_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV (or .csv.gz) with ``title [Type]`` headers; empty field -> null; vector text decoded.
-    Without a type on every header the columns are inferred (``infer_types``)."""
-    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    """CSV (or .csv.gz) with ``title [Type]`` headers; empty field -> null; vector text decoded; a quoted text may hold
+    line breaks, separators and doubled quotes.  Without a type on every header the columns are inferred (``infer_types``)."""
+    raw = spark.read.options(header=True, sep=sep, inferSchema=False, multiLine=True, quote='"', escape='"').csv(path)
     parsed = [parse_header(c) for c in raw.columns]
     if any(t is None for _, t in parsed):
         return infer_types(raw.select(*[F.col(f"`{c}`").alias(t) for c, (t, _) in zip(raw.columns, parsed)]))
@@ -110,7 +111,7 @@ def write_typed_csv(df: DataFrame, path: str, write_types: bool = True, gzip: bo
     for f in df.schema.fields:
         c, typ = vector_text(F.col(f"`{f.name}`"), f.dataType)
         cols.append(c.alias(f"{f.name} [{typ}]" if write_types else f.name))
-    w = df.select(*cols).write.mode(mode).option("header", True).option("sep", sep)
+    w = df.select(*cols).write.mode(mode).options(header=True, sep=sep, quote='"', escape='"')
     if gzip:
         w = w.option("compression", "gzip")
     w.csv(path)
@@ -178,15 +179,22 @@ def read_recipe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("file string, response string, category string, transform string").json(path)
 
 
-def apply_recipe(records: DataFrame, key: str, recipe: DataFrame) -> DataFrame:
+def apply_recipe(records: DataFrame, key: str, recipe: DataFrame, file: str | None = None) -> DataFrame:
     """Long table (key, response, category, raw text, value) for every recipe field of every record.
 
-    The recipe is small (one row per field); the value rule (category,
-    transform) is applied with Column expressions for each distinct rule.
+    A recipe row counts for the records of its file: ``records`` come from the file of that name, or carry a column
+    ``file``; without either the recipe must be about one file.  The recipe is small (one row per field, size checked by
+    ``attach``); the value rule (category, transform) is applied with Column expressions for each distinct rule.
     """
+    if file is None and "file" not in records.columns:
+        files = [r["file"] for r in recipe.select("file").distinct().limit(2).collect()]
+        if len(files) > 1:
+            raise ValueError("the recipe is about several files: name the one the records come from")
+        file = files[0] if files else ""
+    source = F.col("file") if "file" in records.columns else F.lit(file)
     rules = [tuple(r) for r in recipe.select("category", "transform").distinct().collect()]  # a handful of rules
-    r = recipe.select("response", "category", "transform")
-    e = records.select(key, F.explode("fields").alias("response", "raw")).join(F.broadcast(r), "response")
+    r = recipe.select("file", "response", "category", "transform")
+    e = attach(records.select(key, source.alias("file"), F.explode("fields").alias("response", "raw")), r, ["file", "response"])
     val = F.lit(None).cast("double")
     for cat, tr in rules:
         cond = (F.col("category") == cat) & (F.col("transform").eqNullSafe(F.lit(tr)))
@@ -229,8 +237,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+#: Rows that one CSV file may hold.
+SINGLE_CSV_ROWS = 1_000_000
+
+
 def write_single_csv(df: DataFrame, path: str) -> None:
-    """Result-sized tables only: one CSV part file."""
+    """Result-sized tables only: one CSV part file; a larger table is refused."""
+    if not at_most(df, SINGLE_CSV_ROWS):
+        raise ValueError(f"more than {SINGLE_CSV_ROWS} rows for a single file")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
