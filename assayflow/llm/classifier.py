@@ -173,7 +173,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
     chosen = F.broadcast(cut(chosen))  # TRAIN_ROWS rows at most
     texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).join(chosen, F.col("doc") == F.col("id"))
-    rows = texts.select("id", "y", _statistics("text").alias("x")).dropDuplicates(["id"]).collect()
+    # of several texts of an id the one with the smallest hash
+    rows = texts.select("id", "y", _statistics("text").alias("x"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("h"))
+    rows = rows.groupBy("id", "y").agg(F.min_by("x", "h").alias("x")).collect()
     rows.sort(key=lambda r: str(r["id"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], float))
