@@ -96,16 +96,20 @@ def pack(
         ),
         "sized",
     )
+    rows = sized.count()
+    # rows alike in all that counts are numbered among themselves, so that they are spread like others
+    alike = ["doc_id", "source", "cluster", "words"]
+    sized = sized.groupBy(*alike).agg(F.count(F.lit(1)).alias("times")).withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     # floor(words / capacity) full pieces and the rest; an exact multiple has no rest
     full = F.expr(f"words div {capacity}")
     pieces = sized.withColumn("full", full)
     whole = pieces.filter("full > 0").select(
-        "doc_id", F.explode(F.expr("sequence(0, cast(full - 1 as int))")).alias("piece"), "source", "cluster", F.xxhash64("doc_id", "cluster", "source").alias("own")
+        "doc_id", F.explode(F.expr("sequence(0, cast(full - 1 as int))")).alias("piece"), "source", "cluster", "copy", F.xxhash64("doc_id", "cluster", "source").alias("own")
     )
     whole = whole.select(
         "doc_id",
         "piece",
-        F.concat(F.lit("f"), F.hex("own"), F.lit("-"), F.col("piece").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("bin_id"),
+        F.concat(F.lit("f"), F.hex("own"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("piece").cast("string"), F.lit("-"), F.col("copy").cast("string")).alias("bin_id"),
         (F.col("piece") * F.lit(capacity)).cast("long").alias("start_token"),
         F.lit(capacity).cast("long").alias("n_tokens"),
         F.lit(0).cast("long").alias("bin_offset"),
@@ -119,9 +123,9 @@ def pack(
         F.expr(f"words % {capacity}").cast("long").alias("n_tokens"),
         "source",
         "cluster",
+        "copy",
     )
-    shards = max(1, -(-sized.count() // shard_rows))
-    # the hash takes the position in the written table too, so that repeated rows are spread like others
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    shards = max(1, -(-rows // shard_rows))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "copy"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), PACKED)
     return packed.unionByName(whole)
