@@ -53,15 +53,18 @@ def parts(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-@lru_cache(maxsize=1)
-def _search():
+Notices = tuple[tuple[str, str], ...]
+
+
+@lru_cache(maxsize=4)
+def _search(notices: Notices):
     """The automaton over all parts and the bounded-error pattern of each notice (built once a worker)."""
     import ahocorasick
     import regex
 
     seeds: dict[str, list[tuple[int, int]]] = {}
     patterns = []
-    for i, (notice, label) in enumerate(NOTICES):
+    for i, (notice, label) in enumerate(notices):
         k = edits_allowed(notice)
         for at, part in parts(notice, k):
             seeds.setdefault(part, []).append((i, at))
@@ -74,34 +77,34 @@ def _search():
     return automaton, patterns
 
 
-def fuzzy_spans(plain: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of notices in reduced text, in characters of it; overlapping hits of a notice merge to the best."""
-    automaton, patterns = _search()
-    windows: dict[int, list[list[int]]] = {}
+def fuzzy_spans(plain: str, notices: Notices = NOTICES) -> list[tuple[int, int, str, int]]:
+    """(start, end, label, edits) of notices in reduced text, in characters of it; overlapping hits of a notice merge to the best.
+
+    Each seed is verified in its own window, as long as the notice and the edits; so the work follows the number of seeds.
+    """
+    automaton, patterns = _search(notices)
+    starts: dict[int, set[int]] = {}
     for end, (length, where) in automaton.iter(plain):
         for i, offset in where:
-            _, k, size, _ = patterns[i]
-            start = end + 1 - length - offset
-            lo, hi = max(0, start - k - 1), min(len(plain), start + size + k + 1)
-            own = windows.setdefault(i, [])
-            if own and lo <= own[-1][1]:  # hits of a notice come in order of their ends, so windows nearly do
-                own[-1][0], own[-1][1] = min(own[-1][0], lo), max(own[-1][1], hi)
-            else:
-                own.append([lo, hi])
+            starts.setdefault(i, set()).add(end + 1 - length - offset)
     out = []
-    for i, own in windows.items():
-        pattern, _, _, label = patterns[i]
-        stretches = [(lo, hi) for lo, hi in own]
-        while stretches:  # the best match of a stretch comes first; before and behind it others may stand
-            lo, hi = stretches.pop()
-            m = pattern.search(plain, lo, hi) if lo < hi else None
+    for i, own in starts.items():
+        pattern, k, size, label = patterns[i]
+        hits = set()
+        for start in own:
+            m = pattern.search(plain, max(0, start - k), min(len(plain), start + size + k))
             if m is not None:
-                out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                stretches += [(lo, m.start()), (max(m.end(), m.start() + 1), hi)]
-    return sorted(set(out))
+                hits.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int]] = []  # disjoint, in order
+        for edits, lo, hi in sorted(hits):
+            at = bisect_right(kept, (lo, hi))
+            if (at == 0 or kept[at - 1][1] <= lo) and (at == len(kept) or kept[at][0] >= hi):
+                kept.insert(at, (lo, hi))
+                out.append((lo, hi, label, edits))
+    return sorted(out)
 
 
-def scan(text: str | None) -> dict:
+def scan(text: str | None, notices: Notices = NOTICES) -> dict:
     """All findings in one whole text.
 
     words, places (start word of each base place), base labels, spans (start word, end word, label, edits), labels, score.
@@ -127,7 +130,7 @@ def scan(text: str | None) -> dict:
             base.add(label)
     # bytes as latin-1 keep one character a byte, so places in the text stay byte places
     plain = joined[1:-1].decode("latin-1")
-    found = fuzzy_spans(plain)
+    found = fuzzy_spans(plain, notices)
     spans = [(word_at(a + 1), word_at(b) + 1, label, e) for a, b, label, e in found]
     labels = base | {s[2] for s in spans}
     best = max((1 - e / max(1, b - a) for a, b, _, e in found), default=0.0)
@@ -135,10 +138,10 @@ def scan(text: str | None) -> dict:
     return {"words": len(words), "places": sorted(places), "base": base, "spans": spans, "labels": labels, "score": score}
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Notices = NOTICES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``spans`` lists the notices found with edits (start and end word, label, number of edits).  A null or empty text
+    ``notices`` are (words, label) pairs to search for with edits.  ``spans`` lists the notices found with edits (start and end word, label, number of edits).  A null or empty text
     has no words, no labels (empty strings) and score 0; ``first_word`` and ``last_word`` are null without a base
     place.  Repeated rows and null ids give a row each.  Other columns are not looked at.  Empty in, empty out.
     """
@@ -148,7 +151,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        got = [scan(t) for t in cols["text"]]
+        got = [scan(t, notices) for t in cols["text"]]
         return {
             "doc_id": cols["doc_id"],
             "n_words": [g["words"] for g in got],

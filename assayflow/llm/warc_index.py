@@ -28,6 +28,8 @@ from assayflow.llm.common import BROADCAST_IDS, at_most, cut, encoded, saved, sl
 from assayflow.session import scratch_dir
 
 MAX_FILES = 50_000
+#: Captures of the archives for each task of a lookup.
+TASK_CAPTURES = 4096
 FILE_BYTES = 16 << 20
 BLOCK_LINES = 512
 FILES = "file_no long, first_key string, last_key string, index_path string, directory_at long, directory_bytes long, captures long"
@@ -223,7 +225,9 @@ def lookup(files: DataFrame, keys: DataFrame, with_payload: bool = False) -> Dat
     A key without captures gives no row, a null key stands for the empty key.  A key with very many captures is
     read block by block, from each of its files in a task of its own.
     """
-    table = sorted((r["first_key"], r["last_key"], r["index_path"], r["directory_at"], r["directory_bytes"]) for r in files.collect())  # MAX_FILES rows at most
+    held = files.collect()  # MAX_FILES rows at most
+    table = sorted((r["first_key"], r["last_key"], r["index_path"], r["directory_at"], r["directory_bytes"]) for r in held)
+    tasks = max(1, -(-sum(r["captures"] for r in held) // TASK_CAPTURES))  # the keys are tiny, the records behind them are not
     shared = files.sparkSession.sparkContext.broadcast((table, [x[1] for x in table]))
     wanted = keys.select(F.coalesce(F.col(keys.columns[0]), F.lit("")).alias("key")).distinct()
 
@@ -262,7 +266,7 @@ def lookup(files: DataFrame, keys: DataFrame, with_payload: bool = False) -> Dat
 
     # several tasks may share a file: keys are spread by file and hash, then read in key order
     located = wanted.mapInArrow(locate, "file_no long, key string")
-    return located.repartition("file_no", F.expr("pmod(xxhash64(key), 4)")).sortWithinPartitions("file_no", "key").mapInArrow(read, schema)
+    return located.repartition(tasks, "file_no", F.expr(f"pmod(xxhash64(key), {max(4, -(-2 * tasks // max(1, len(table))))})")).sortWithinPartitions("file_no", "key").mapInArrow(read, schema)
 
 
 def write_and_read_back(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:

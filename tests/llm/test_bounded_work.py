@@ -7,14 +7,27 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayflow.llm import classifier as C
+from assayflow.llm import licenses as L
 from assayflow.llm import packing as P
 from assayflow.llm import personal_data as I
+from assayflow.llm import warc_index as W
 
 from ..conftest import spark  # noqa: F401
 
 
+# ------------------------------------------------------------------ 1
+def test_records_are_read_by_as_many_tasks_as_there_are_captures_for(spark, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(W, "TASK_CAPTURES", 50)
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.example.org/{i}", f"page {i}") for i in range(400)], "page_id long, url string, html string")
+    got = W.write_and_read_back(pages)
+    assert got.rdd.getNumPartitions() == 8
+    assert sum(1 for n in got.groupBy(F.spark_partition_id()).count().collect() if n["count"] > 0) > 4
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(400))
+
+
 # ------------------------------------------------------------------ 5
 def plain_features(text, lo, hi):
     """The features of one span, each by its definition."""
@@ -110,6 +123,25 @@ def test_an_id_with_two_texts_trains_on_the_same_one_in_any_order(spark):  # noq
     assert np.array_equal(models[0].probability(probe), models[1].probability(probe))
 
 
+# ------------------------------------------------------------------ 9
+def test_near_notices_cost_in_proportion():
+    took = []
+    for n in (1000, 10_000):
+        text = "all right reserved " * n
+        began = time.time()
+        spans = L.fuzzy_spans(text.strip())
+        took.append(time.time() - began)
+        assert len(spans) == n and {e for *_, e in spans} == {1}
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_notices_are_an_argument_and_rows_repeat(spark):  # noqa: F811
+    rows = [(1, "do not coppy this text"), (1, "do not coppy this text"), (None, "Do NOT copy, this text"), (2, None)]
+    own = (("do not copy this text", "mine"),)
+    got = L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices=own).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], [s["edits"] for s in r["spans"]]) for r in got) == [(0, "mine", [0]), (1, "mine", [1]), (1, "mine", [1]), (2, "", [])]
+
+
 # ------------------------------------------------------------------ 10
 def test_bins_do_not_follow_the_partitions(spark):  # noqa: F811
     rng = random.Random(6)
