@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last
 return the columns of ``documents``, less the rows that the stage decides
 against.  ``run`` writes each result as Parquet in the shared folder and reads
 it as the next stage's documents.
+
+Rows of all kinds pass through every stage: a null text is an empty one; a row
+with a null id is judged by its text, equals other rows of that text, and links
+with nothing; rows that share an id are judged each by its own text, but near
+duplicates are decided by id, so there they go or stay together.
+Very long texts count whole.  Columns other than doc_id, text and source are
+carried along unread, whatever their names.  Empty tables give empty results;
+without labels the classifier gives every text one score.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = saved(gone.distinct(), "copies")
     side = F.broadcast(gone) if at_most(gone, BROADCAST_IDS // 4) else gone  # an id and 32 bytes a row
     digest = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256))
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]) & (digest == side["gone_digest"]), "left_anti")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
