@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import BROADCAST_IDS, WordHashes, cut, discard, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
@@ -48,8 +48,15 @@ ENTRY_COST = 4.0
 #: Words of 64 bits in the parity bitmap of a set.
 BITMAP = 8
 BITS = [f"s{i}" for i in range(BITMAP)]
-#: Star rounds at most; they end early when few pairs are open (an eighth of the entries) or a round linked few documents (1 in 200).
+#: Star rounds at most; they end early when few pairs are open (an eighth of the entries), or when a round linked few documents
+#: (1 in 200) and the open pairs are no more than ``OPEN_PAIRS`` an entry.
 STAR_ROUNDS = 8
+OPEN_PAIRS = 64
+#: Earlier keys that an entry of the last round carries, and entries from which a list is split by size class (the
+#: logarithm of the size ratio of linked sets).
+PRIOR = 16
+SPLIT_LIST = 1000
+CLASS = 0.2231435513142097
 
 
 def shingles(text: str | None, memo: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -127,10 +134,10 @@ def light_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
 
 # ------------------------------------------------------------------ passes over the texts
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: size and 128-bit digest of each set, and each task's share of the frequency sketch."""
-    schema = "doc_id long, n long, d1 long, d2 long, slab int, run int, counts binary"
+    """One pass over the texts: size, 128-bit digest and parity bitmap of each set, and each task's share of the frequency sketch."""
+    schema = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in BITS) + ", slab int, run int, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())))
+    types = {x: pa.int64() for x in names} | {"slab": pa.int32(), "run": pa.int32(), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sketch = WordHashes(), np.zeros(COUNTERS, np.int32)
@@ -145,7 +152,8 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
             if any(map(len, sets)):
                 np.add.at(sketch, _counter(np.concatenate(sets)), 1)
             half = lambda d, i: int.from_bytes(d[i : i + 8], "little", signed=True)
-            yield rows(doc_id=cols["doc_id"], n=[len(s) for s in sets], d1=[half(d, 0) for d in digests], d2=[half(d, 8) for d in digests])
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, BITMAP)
+            yield rows(doc_id=cols["doc_id"], n=[len(s) for s in sets], d1=[half(d, 0) for d in digests], d2=[half(d, 8) for d in digests], **{c: bits[:, i] for i, c in enumerate(BITS)})
         part = TaskContext.get().partitionId()
         for slab in range(COUNTERS // SLAB):
             own = sketch[slab * SLAB : (slab + 1) * SLAB]
@@ -177,18 +185,18 @@ def _levels(profile: DataFrame, fan_in: int = 64) -> np.ndarray:
     return np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8)
 
 
-def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> tuple[DataFrame, DataFrame]:
-    """List entries (key, id, n, pos) in lists of more than one, and the table of all sets (id, n, keys, s0, s1, ...).
+def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boundary: int) -> DataFrame:
+    """List entries (key, id, n, pos) in lists of more than one.
 
     ``pos`` is the shingle's place in the set's order, -1 under a subset's key; the first ``heads`` keys are shingles.
-    Keys are written once, as arrays, and read for counting and for the lists.
+    Keys are shuffled once: a list is counted where its entries meet.
     """
     held = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
     memo = WordHashes()
     listed_from = -(-percent * (boundary + 1) // 100)
 
     def emit(cols: dict[str, list]) -> dict[str, list]:
-        ids, sizes, heads, keys, bits = [], [], [], [], []
+        ids, sizes, heads, keys = [], [], [], []
         for doc_id, text in zip(cols["doc_id"], cols["text"]):
             s = shingles(text, memo, width)
             n = len(s)
@@ -203,17 +211,14 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, boun
             sizes.append(n)
             heads.append(len(head))
             keys.append(np.concatenate([head, np.array(light, np.int64)]))
-            bits.append(parity(s))
-        words = np.array(bits, np.int64).reshape(-1, BITMAP)
-        return {"id": ids, "n": sizes, "heads": heads, "keys": keys, **{c: words[:, i] for i, c in enumerate(BITS)}}
+        return {"id": ids, "n": sizes, "heads": heads, "keys": keys}
 
-    arrays = saved(map_columns(docs, "id long, n int, heads int, keys array<long>, " + ", ".join(f"{c} long" for c in BITS), emit), "keys")
-    shared = arrays.select(F.explode("keys").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("list")
+    arrays = map_columns(docs, "id long, n int, heads int, keys array<long>", emit)
     out = arrays.select("id", "n", "heads", F.posexplode("keys").alias("pos", "key"))
     out = out.select("key", "id", F.expr("shiftleft(cast(n as long), 32) + if(pos < heads, pos + 1, 0)").alias("at"))  # one long for the shuffle
-    out = out.join(shared, F.col("key") == F.col("list"))
+    out = out.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
     out = out.select("key", "id", F.expr("cast(shiftright(at, 32) as int)").alias("n"), F.expr("cast(at & 4294967295L as int) - 1").alias("pos"))
-    return saved(out, "entries"), arrays
+    return saved(out, "entries")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -279,12 +284,11 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(out.select("id", F.coalesce(merged["label"], labels["label"]).alias("label")))
 
 
-def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _link_all(entries: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels (id, label) of all documents with an entry in a list that is not alone."""
     labels = cut(entries.select("id", F.col("id").alias("label")).distinct())
     rows, documents, merged, tested = entries.count(), labels.count(), 0, None
-    maps = cut(only_ids(arrays.select("id", "n", *BITS), labels.select("id"), "id"))
-    discard(arrays)
+    maps = cut(only_ids(bitmaps, labels.select("id"), "id"))
     for k in range(STAR_ROUNDS + 1):
         if k:  # two longs a row, broadcast below the bound of id lists
             held = labels.select(F.col("id").alias("own"), "label")
@@ -304,20 +308,25 @@ def _link_all(entries: DataFrame, arrays: DataFrame, texts: DataFrame, width: in
         open_pairs = lists.agg(F.sum(F.expr("(cast(all as double) * all - same) / 2"))).first()[0]
         if not open_pairs:
             return labels
-        last = k > 0 and (open_pairs <= rows / 8 or merged < documents / 200) or k == STAR_ROUNDS
+        last = k > 0 and (open_pairs <= rows / 8 or merged < documents / 200 and open_pairs <= OPEN_PAIRS * rows) or k == STAR_ROUNDS
         if last:  # every pair of a list that is not connected yet, in the first list that holds both
             live = marked.join(lists.select("list"), F.col("key") == F.col("list"), "left_semi")
             held = live.groupBy("id").agg(F.min("label").alias("label"), F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("at"))  # a set's entries
             texts_of = maps.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("texts"))
             held = held.join(maps.select(F.col("id").alias("own"), *BITS), F.col("id") == F.col("own")).join(texts_of, F.col("id") == F.col("own_id"))
             held = held.select("id", "label", "texts", *BITS, F.transform("at", lambda x: x["key"]).alias("all_keys"), F.posexplode("at").alias("k", "x"))
-            live = cut(held.select("x.key", "id", "x.n", "x.pos", "label", "texts", *BITS, F.expr("if(x.pos < 0, slice(all_keys, 1, 0), slice(all_keys, 1, k))").alias("prior")))
+            # (a pair is fresh in its first common list whatever is left out of the earlier keys; later repeats fall to the distinct)
+            live = cut(held.select("x.key", "id", "x.n", "x.pos", "label", "texts", *BITS, F.expr(f"if(x.pos < 0, slice(all_keys, 1, 0), slice(all_keys, 1, least(k, {PRIOR})))").alias("prior")))
+            # linked sets of a long list are of one size class or of neighbouring ones
+            sizes = lists.select(F.col("list"), (F.col("all") > SPLIT_LIST).alias("long"))
+            live_at = live.join(sizes, F.col("key") == F.col("list")).drop("list").withColumn("cls", F.when(F.col("long"), F.floor(F.log(F.col("n").cast("double")) / F.lit(CLASS))).otherwise(0))
+            live_in = live_at.withColumn("cls", F.explode(F.when(F.col("long"), F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).otherwise(F.array("cls"))))
             # nothing in common before it, so only what follows can be: a tighter bound than any shared entry gives
             after = f"{100 + percent} * (1 + least(a.n - a.pos - 1, b.n - b.pos - 1)) >= {percent} * (a.n + b.n)"
             # (an id with several texts has several orders, so its pairs are met in every list)
             fresh = F.expr(f"a.texts > 1 or b.texts > 1 or not arrays_overlap(a.prior, b.prior) and (a.pos < 0 or b.pos < 0 or {after})")
-            met = F.expr("a.key = b.key and a.id < b.id and a.label <> b.label") & _possible("a.", "b.", percent) & _similar("a.{}", "b.{}", percent) & fresh
-            pairs = live.alias("a").join(live.alias("b"), met).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+            met = F.expr("a.key = b.key and a.cls = b.cls and a.id < b.id and a.label <> b.label") & _possible("a.", "b.", percent) & _similar("a.{}", "b.{}", percent) & fresh
+            pairs = live_at.alias("a").join(live_in.alias("b"), met).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         else:
             pairs = marked.join(lists, [F.col("key") == F.col("list"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
             pairs = pairs.select(F.least("id", "p_id").alias("u"), F.greatest("id", "p_id").alias("v")).distinct()
@@ -352,7 +361,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profile = _profile(texts, width)
-    sized = profile.filter("slab is null").select("doc_id", "n", "d1", "d2")
+    sized = cut(profile.filter("slab is null").select("doc_id", "n", "d1", "d2", *BITS))
+    levels = _levels(profile)
+    discard(profile)
     alike = sized.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = cut(alike.filter("copies > 1").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), F.col("n").alias("g_n"), "first"))
     same = [F.col("d1") == F.col("g1"), F.col("d2") == F.col("g2"), F.col("n") == F.col("g_n")]
@@ -363,8 +374,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
     singles = without_ids(texts.filter("doc_id is not null"), copies)
-    entries, arrays = _entries(singles, _levels(profile), width, percent, boundary)
-    labels = _link_all(entries, arrays, texts, width, percent)
+    bitmaps = without_ids(sized.filter("n > 0 and doc_id is not null"), copies).select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), *BITS)
+    labels = _link_all(_entries(singles, levels, width, percent, boundary), bitmaps, texts, width, percent)
     # texts of one id, and copies of a set, belong together
     bound = cut(named.filter("n > 0 and first <> doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).union(labels.select("id", "label").filter("id <> label")))
     final = components(bound).select(F.col("node"), F.col("label"))
