@@ -21,6 +21,7 @@ from assayflow.operators.evaluators import evaluate, is_larger_better
 from assayflow.operators.models import probability_of_positive
 from assayflow.operators.ordered import add_position
 from assayflow.operators.table import cv_fold, hash_fold
+from assayflow.session import materialize
 
 
 def add_folds(df: DataFrame, key: Sequence[str], k: int, method: str = "round_robin", seed: int = 1234, name: str = "fold") -> DataFrame:
@@ -37,17 +38,17 @@ def _score_cols(pred: DataFrame, classification: bool) -> DataFrame:
 
 
 def cv_predict(est: Estimator, df: DataFrame, k: int, fold: str = "fold", label: str = "label", keep: Sequence[str] = (),
-               classification: bool = False, parallelism: int = 4, with_train: bool = False) -> DataFrame:
+               classification: bool = False, parallelism: int = 4, with_train: bool = False, ready: bool = False) -> DataFrame:
     """Out-of-fold predictions (``foldNo`` added) for one estimator; ``with_train`` adds each fold's predictions of its own
     training rows, marked by the column ``in_train``.
 
     Fold fits are submitted concurrently (like ``CrossValidator(parallelism=...)``);
-    each is a distributed MLlib fit on a filter of one persisted frame.  A
-    fold whose training labels are all equal fails (checked before the fit).
+    each is a distributed MLlib fit on a filter of one frame, which is materialized
+    unless it is ``ready``.  A fold whose training labels are all equal fails (checked before the fit).
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    df = df.persist()
+    df = df if ready else materialize(df)
 
     def run(f: int) -> DataFrame:
         train = df.filter(F.col(fold) != f)
@@ -95,8 +96,9 @@ def optimize(spark: SparkSession, make: Callable[[dict], Estimator], grid: list[
              label: str = "label", classification: bool = False, name: str = "NAME", method: str = "METHOD") -> DataFrame:
     """Every grid point x every fold; results table NAME, METHOD, params..., metric, metric_1..k (grid-sized)."""
     rows = []
+    df = materialize(df)
     for params in grid:
-        pred = cv_predict(make(params), df, k, label=label, classification=classification)
+        pred = cv_predict(make(params), df, k, label=label, classification=classification, ready=True)
         fm = {r["foldNo"]: r["value"] for r in fold_metrics(pred, metric, label).collect()}  # k+1 numbers
         rows.append((name, method, *[params[p] for p in params], fm[-1], *[fm[f] for f in range(k)]))
     cols = ["NAME", "METHOD", *grid[0].keys(), metric, *[f"{metric}_{f + 1}" for f in range(k)]]
@@ -137,13 +139,15 @@ def leaderboard(estimators: dict[str, Estimator], df: DataFrame, k: int, metric:
 
     def run(item):
         name, est = item
-        return cv_predict(est, df, k, label=label, classification=classification, keep=keep).withColumn("estimator", F.lit(name))
+        return cv_predict(est, df, k, label=label, classification=classification, keep=keep, ready=True).withColumn("estimator", F.lit(name))
 
+    df = materialize(df)
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(estimators)))) as pool:
         parts = list(pool.map(run, estimators.items()))
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p, allowMissingColumns=True)  # not every estimator has probabilities
+    preds = materialize(preds)  # a model scores each row once, however many metrics are read from it
     m = evaluate(preds, metric, label, "prediction", "probability", ["estimator"])
     from pyspark.sql import Window
 

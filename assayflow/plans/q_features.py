@@ -18,11 +18,11 @@ def q_assemble(spark, sf):
     return c.select("c_custkey", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
-@query("feat_drop_constant", "SELECT vec_id, CAST(len(embedding) + 1 AS INTEGER) AS width, round(list_sum(CAST(embedding AS DOUBLE[])) + label, 4) AS total FROM embeddings")
+@query("feat_drop_constant", """SELECT vec_id, CAST(unnest(range(0, len(embedding) + 1)) AS INTEGER) AS pos, round(unnest(list_append(CAST(embedding AS DOUBLE[]), CAST(label AS DOUBLE))), 6) AS value FROM embeddings""")
 def q_drop_constant(spark, sf):
     e = Tables(spark, sf).embeddings.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0), F.col("label").cast("double"))).alias("v"))
     d = FT.drop_constant(e, "v", "kept")
-    return d.select("vec_id", F.size("kept").alias("width"), F.round(F.aggregate("kept", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return d.select("vec_id", F.posexplode("kept").alias("pos", "value")).select("vec_id", "pos", r6(F.col("value")).alias("value"))
 
 
 @query("feat_fold", f"WITH {EMB_LONG} SELECT vec_id, CAST(pos % 10 AS INTEGER) AS pos, round(sum(abs(v)), 6) AS value FROM el GROUP BY vec_id, pos % 10")
@@ -55,6 +55,19 @@ def q_fold_sparse(spark, sf):
     return FT.fold_sparse(long, ["item_id"], "idx", "val", 512)
 
 
+@query("agg_vec_stats_sparse", f"""WITH {WORDS_DICT}, n AS (SELECT count(*) AS n FROM benchmark),
+st AS (SELECT dict.idx, count(*) AS nz, sum(cnt) AS s, sum(cnt * cnt) AS ss, min(cnt) AS mn, max(cnt) AS mx FROM bw JOIN dict ON bw.word = dict.word GROUP BY dict.idx)
+SELECT CAST(idx AS INTEGER) AS idx, n AS count, round(s / n, 6) AS mean, CASE WHEN nz < n THEN least(mn, 0.0) ELSE mn END AS min, CASE WHEN nz < n THEN greatest(mx, 0.0) ELSE mx END AS max,
+  round(ss / n - (s / n) * (s / n), 6) AS variance, round(sqrt(greatest(ss / n - (s / n) * (s / n), 0.0)), 6) AS sd FROM st, n""")
+def q_vec_stats_sparse(spark, sf):
+    """Statistics per position of sparse word-count vectors, zeros that are not stored counted."""
+    t = Tables(spark, sf)
+    w = _bench_words(t)
+    long = w.join(FT.hash_index(w, "word"), "word").select(F.col("index").cast("int").alias("idx"), F.col("count").alias("val"))
+    s = FT.sparse_vector_stats(long, "idx", "val", t.benchmark.agg(F.count(F.lit(1))).scalar())
+    return s.select("idx", "count", r6(F.col("mean")).alias("mean"), "min", "max", r6(F.col("variance")).alias("variance"), r6(F.col("sd")).alias("sd"))
+
+
 def _emb(t):
     return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
 

@@ -82,8 +82,8 @@ def _records(spark, sf):
 def q_record_text(spark, sf):
     r = _records(spark, sf)
     f = F.col("fields")
-    return r.select("title", f["p_partkey"].cast("bigint").alias("p_partkey"), f["p_brand"].alias("p_brand"), f["p_type"].alias("p_type"),
-                    f["p_size"].cast("int").alias("p_size"))
+    return r.select("title", f["p_partkey"].cast("bigint").alias("p_partkey"), f["p_brand"].alias("p_brand"), IO.field_column(r, "p_type").alias("p_type"),
+                    IO.field_column(r, "p_size", numeric=True).cast("int").alias("p_size"))
 
 
 @query("src_record_fields", """SELECT 'p_partkey' AS field, count(*) AS present, count(*) AS n_numeric, true AS numeric FROM part

@@ -79,3 +79,37 @@ def test_record_blocks_keep_all_their_lines(spark, tmp_path):
     IO.write_records(spark.createDataFrame(rows, "title string, a string, b string"), path, "title", ["a", "b"])
     got = {r["title"]: r["fields"] for r in IO.read_records(spark, path).collect()}
     assert got == {"": {"a": "first\nsecond", "b": None}, "t2": {"a": "one", "b": "x"}, "t3": {"a": None, "b": "a\nb"}}
+
+
+def test_a_text_field_is_refused_as_a_number(spark):
+    from assayflow.sources import tables as IO
+
+    r = spark.createDataFrame([(f"t{i}", {"size": str(i), "kind": "x"}) for i in range(30)], "title string, fields map<string,string>")
+    assert r.select(IO.field_column(r, "size", numeric=True).alias("v")).agg({"v": "sum"}).first()[0] == 435.0
+    try:
+        r.select(IO.field_column(r, "kind", numeric=True).alias("v")).collect()
+    except Exception as refused:  # noqa: BLE001
+        assert "is not numeric" in str(refused)
+    else:
+        raise AssertionError("a text field was read as a number")
+
+
+def test_quoted_text_with_line_breaks_comes_back(spark, tmp_path):
+    from assayflow.sources import tables as IO
+
+    rows = [(1, 'two\nlines, "quoted"', 0.5), (2, "back\\slash", None), (3, None, 1.0), (4, '"', 2.0)]
+    df = spark.createDataFrame(rows, "id int, note string, x double")
+    IO.write_typed_csv(df, str(tmp_path / "t"), gzip=True)
+    assert sorted(map(tuple, IO.read_typed_csv(spark, str(tmp_path / "t")).collect())) == rows
+    big = spark.range(5)
+    IO.write_single_csv(big, str(tmp_path / "one"))
+
+
+def test_a_large_table_is_no_single_file(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from assayflow.sources import tables as IO
+
+    monkeypatch.setattr(IO, "SINGLE_CSV_ROWS", 3)
+    with pytest.raises(ValueError):
+        IO.write_single_csv(spark.range(5), str(tmp_path / "many"))
