@@ -46,7 +46,7 @@ DIGIT_BITS = 4
 def _ranks(cells: DataFrame, by: Sequence[str], v: str, e: str, name: str) -> DataFrame:
     """rank = number of observations of the group with a strictly smaller (value, exact) key; and the
     reversed rank = number with a strictly larger key.  ``cells`` are counted rows (``__c``)."""
-    k = cells.groupBy(*by, v, e).agg(F.sum("__c").alias("__k"))
+    k = materialize(cells.groupBy(*by, v, e).agg(F.sum("__c").alias("__k")))
     cum = running_sums(k, by, [v, e], ["__k"], ["__cum"])
     tot = k.groupBy(*by).agg(F.sum("__k").alias("__n"))
     cum = keyed_join(cum, tot, by) if by else with_row(cum, tot)
@@ -71,7 +71,7 @@ def dominance_pairs(cells: DataFrame, by: Sequence[str], a: str, b: str, is_p: s
         *[F.sum(F.when(F.col("__digit") < d, F.col("__p")).otherwise(0)).alias(f"__s{d}") for d in range(1, size)],
         *[F.sum(F.when(F.col("__digit") == d, F.col("__q")).otherwise(0)).alias(f"__q{d}") for d in range(1, size)],
     )
-    cum = running_sums(rows, keys, ["__b"], [f"__s{d}" for d in range(1, size)], [f"__u{d}" for d in range(1, size)])
+    cum = running_sums(materialize(rows), keys, ["__b"], [f"__s{d}" for d in range(1, size)], [f"__u{d}" for d in range(1, size)])
     pairs = sum((F.col(f"__q{d}") * (F.col(f"__u{d}") - F.col(f"__s{d}")) for d in range(1, size)), F.lit(0))
     return cum.groupBy(*by).agg(F.sum(pairs).alias("pairs"))
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.session import materialize
 from assayflow.operators.ordered import Down, average_rank, neighbours, running_sums, with_row
 
 
@@ -173,7 +174,7 @@ def roc_curve(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFr
     Output: by..., prob, fpr, tpr, and the cumulative counts.  Cumulative
     sums come from ``running_sums`` so a hot group never lands in one task.
     """
-    counts = _prob_counts(df, by, label, prob)
+    counts = materialize(_prob_counts(df, by, label, prob))
     totals = counts.groupBy(*by).agg(F.sum("__pos").alias("__P"), F.sum("__neg").alias("__N"))
     cum = running_sums(counts, by, [Down(prob)], ["__pos", "__neg"], ["cum_tp", "cum_fp"])
     cond = [cum[c].eqNullSafe(totals[c]) for c in by]

@@ -43,8 +43,10 @@ PLAIN_ROWS = 20_000
 MAX_BUCKETS = 2048
 KEYS_PER_BUCKET = 24
 #: Rows of group statistics that are broadcast; beyond it they are joined by shuffle, salted.
-BROADCAST_GROUPS = 500_000
+BROADCAST_GROUPS = 100_000
 SALTS = 16
+#: Rows of a group from which it is dealt over ``SALTS`` tasks, where the statistics tell the number of rows.
+HOT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -106,18 +108,18 @@ def _comparable(df: DataFrame, keys: Sequence[Column]) -> Column:
     return F.struct(*[plain.get(f.dataType.simpleString(), lambda c: c)(k).alias(f.name) for k, f in zip(keys, kinds)])
 
 
-def _splitters(key: DataFrame, buckets: int) -> list[str]:
+def _splitters(key: DataFrame, n_rows: int, buckets: int) -> list[str]:
     """At most ``buckets`` - 1 keys (as JSON) of a bounded sample, in order, evenly spaced."""
-    share = min(1.0, buckets * KEYS_PER_BUCKET / max(1, key.count()))
+    share = min(1.0, buckets * KEYS_PER_BUCKET / max(1, n_rows))
     sample = key.sample(share, seed=11) if share < 1.0 else key
     rows = [r[0] for r in sample.orderBy("key").select(F.to_json("key")).collect()]
     cuts = [rows[len(rows) * i // buckets] for i in range(1, buckets)] if rows else []
     return [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
 
 
-def _bucket(key: DataFrame, buckets: int) -> Callable[[Column], Column]:
+def _bucket(key: DataFrame, n_rows: int, buckets: int) -> Callable[[Column], Column]:
     """Number of splitters at or below a key, by binary search in a constant array."""
-    cuts = _splitters(key, buckets)
+    cuts = _splitters(key, n_rows, buckets)
     if not cuts:
         return lambda _: F.lit(0)
     listed = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<{key.schema['key'].dataType.simpleString()}>")
@@ -145,24 +147,25 @@ def running_sums(
     ordered = _ascending(df, order)
     key = _comparable(df, [*map(F.col, by), *ordered])
     bare = df.select(key.alias("key"))
-    if num_partitions is None and at_most(bare, PLAIN_ROWS):
+    n_rows = bare.count()
+    if num_partitions is None and n_rows <= PLAIN_ROWS:
         w = Window.partitionBy(*by).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(w).alias(n) for v, n in zip(vals, names)])
     buckets = num_partitions or min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.select("*", *[v.alias(f"__v{i}") for i, v in enumerate(vals)], _bucket(bare, buckets)(key).alias("__b"))
-    w = Window.partitionBy(*by, "__b").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.select("*", *[F.sum(f"__v{i}").over(w).alias(f"__loc{i}") for i in range(len(vals))])
-    totals = dealt.groupBy(*by, "__b").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(vals))], F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    dealt = df.select("*", *[v.alias(f"__rs_v{i}") for i, v in enumerate(vals)], _bucket(bare, n_rows, buckets)(key).alias("__rs_bucket"))
+    w = Window.partitionBy(*by, "__rs_bucket").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.select("*", *[F.sum(f"__rs_v{i}").over(w).alias(f"__rs_sum{i}") for i in range(len(vals))])
+    totals = dealt.groupBy(*by, "__rs_bucket").agg(*[F.sum(f"__rs_v{i}").alias(f"__rs_total{i}") for i in range(len(vals))], F.count(F.lit(1)).alias("__rs_rows"))
+    earlier = Window.partitionBy(*by).orderBy("__rs_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = totals.select(
-        *[F.col(c).alias(f"__k{j}") for j, c in enumerate(by)],
-        F.col("__b").alias("__ob"),
-        *[F.sum(f"__t{i}").over(earlier).alias(f"__o{i}") for i in range(len(vals))],
-        F.sum("__n").over(earlier).alias("__before"),
-    ).filter("__before > 0")  # only groups that a splitter cuts: at most a row per splitter
-    cond = [local[c].eqNullSafe(offsets[f"__k{j}"]) for j, c in enumerate(by)] + [local["__b"] == offsets["__ob"]]
+        *[F.col(c).alias(f"__rs_by{j}") for j, c in enumerate(by)],
+        F.col("__rs_bucket").alias("__rs_in"),
+        *[F.sum(f"__rs_total{i}").over(earlier).alias(f"__rs_before{i}") for i in range(len(vals))],
+        F.sum("__rs_rows").over(earlier).alias("__rs_earlier"),
+    ).filter("__rs_earlier > 0")  # only groups that a splitter cuts: at most a row per splitter
+    cond = [local[c].eqNullSafe(offsets[f"__rs_by{j}"]) for j, c in enumerate(by)] + [local["__rs_bucket"] == offsets["__rs_in"]]
     joined = local.join(F.broadcast(offsets), cond, "left")
-    both = lambda i: F.when(F.col(f"__loc{i}").isNull(), F.col(f"__o{i}")).otherwise(F.col(f"__loc{i}") + F.coalesce(F.col(f"__o{i}"), F.lit(0)))
+    both = lambda i: F.when(F.col(f"__rs_sum{i}").isNull(), F.col(f"__rs_before{i}")).otherwise(F.col(f"__rs_sum{i}") + F.coalesce(F.col(f"__rs_before{i}"), F.lit(0)))
     return joined.select(*[local[c] for c in df.columns], *[both(i).alias(names[i]) for i in range(len(vals))])
 
 
@@ -184,12 +187,13 @@ def add_position(
     return out.withColumn(name, F.col(name) - 1)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", ready: bool = False) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner", ready: bool = False, rows: str | None = None) -> DataFrame:
     """Per-group statistics (one row per ``keys``, null-safe) next to the rows they describe.
 
     The statistics are computed once and their number of rows is looked at: up to ``BROADCAST_GROUPS`` they are
     broadcast, so the rows of ``df`` stay where they are; beyond it both sides are shuffled on the keys and a salt,
-    which deals a hot group over ``SALTS`` tasks.  ``ready``: the statistics are materialized already.
+    which deals a hot group over ``SALTS`` tasks.  ``ready``: the statistics are materialized already.  ``rows`` names a
+    column of the statistics with the number of rows of each key; then only groups of ``HOT_ROWS`` rows are salted.
     """
     keys = list(keys)
     if not keys:
@@ -197,9 +201,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     stats = stats if ready else materialize(stats)
     if at_most(stats, BROADCAST_GROUPS):
         return keyed_join(df, F.broadcast(stats), keys, how)
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    spread = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return keyed_join(salted, spread, [*keys, "__salt"], how).drop("__salt")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    upto = F.lit(SALTS - 1).cast("long")
+    salted = df.withColumn("__at_salt", salt)
+    if rows:  # the hot groups are few: no more than all rows over HOT_ROWS
+        hot = stats.filter(F.col(rows) >= HOT_ROWS).select(*keys, F.lit(True).alias("__at_hot"))
+        salted = keyed_join(df, F.broadcast(hot), keys, "left").withColumn("__at_salt", F.when(F.col("__at_hot"), salt).otherwise(F.lit(0).cast("long"))).drop("__at_hot")
+        upto = F.when(F.col(rows) >= HOT_ROWS, upto).otherwise(F.lit(0).cast("long"))
+    spread = stats.withColumn("__at_salt", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
+    return keyed_join(salted, spread, [*keys, "__at_salt"], how).drop("__at_salt")
 
 
 def average_rank(
@@ -213,10 +223,10 @@ def average_rank(
 
     Works on the distinct (group, value) counts: rank = rows before + (ties + 1) / 2.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     cum = running_sums(counts, by, [value], ["__n"], ["__cum"], num_partitions)
-    ranks = cum.select(*by, value, ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name))
-    return attach(df, ranks, [*by, value], "left")
+    ranks = cum.select(*by, value, "__n", ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name))
+    return attach(df, ranks, [*by, value], "left", rows="__n").drop("__n")
 
 
 def neighbours(

@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from assayflow.operators.ordered import at_most
+
 #: Postings of an index block.
 BLOCK_POSTINGS = 1_000_000
+#: Postings of a vector's features that are read without looking at bounds.
+FEW_POSTINGS = 2000
 #: Features between two looks at the bound.
 LOOK = 4
 #: Bounds are compared with this slack, for rounding.
@@ -71,6 +75,13 @@ class Index:
         vector[features] = counts
         dots, met = np.zeros(self.n_items), np.zeros(self.n_items, bool)
         floor = (lambda: best[self.group]) if alone else (lambda: best)
+        reach = self.lists[features + 1] - self.lists[features]
+        if reach.sum() <= FEW_POSTINGS:  # reading them all costs less than bounding them
+            at = np.arange(int(reach.sum())) + np.repeat(self.lists[features] - np.cumsum(reach) + reach, reach)
+            dots = np.bincount(self.items[at], np.repeat(counts, reach) * self.weights[at], minlength=self.n_items)
+            vector[features] = 0.0
+            items = np.flatnonzero(dots)
+            return items, self.similarity(dots[items], norm, items)
         done = 0
         for k, (f, c) in enumerate(zip(features, counts)):
             if k % LOOK == 0:
@@ -206,10 +217,10 @@ def similarity_profile(bg: DataFrame, bg_id: str, ds: DataFrame, ds_id: str, dat
                        all_ids: DataFrame | None = None) -> DataFrame:
     """``nearest_similarity`` against several datasets at once: one output column per dataset name (0 when no overlap).
 
-    The side with fewer postings is indexed and the other one streams past it; similarity is symmetric, so both ways
-    give the same numbers.
+    The background is indexed and the datasets stream past it; only where it fills more than a block and the datasets
+    have fewer postings it is the other way round.  Similarity is symmetric, so both ways give the same numbers.
     """
-    if ds.count() < bg.count():
+    if not at_most(bg, BLOCK_POSTINGS) and ds.count() < bg.count():
         best = nearest_similarity(bg, bg_id, ds, ds_id, ds_groups=[dataset_col])
     else:
         stream = gathered(ds, ds_id, [dataset_col], "feature")

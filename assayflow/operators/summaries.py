@@ -92,7 +92,7 @@ def percentiles(
     held = bins.filter(F.size(serves(F.col("__end") - F.col("__c"), F.col("__end"))) > 0).select(*by, "__bin", (F.col("__end") - F.col("__c")).alias("__before"))
 
     counts = attach(placed, held, [*by, "__bin"]).groupBy(*by, "__bin", "__before", "__x").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sums(counts, [*by, "__bin"], ["__x"], ["__c"], ["__cum"])
+    cum = running_sums(materialize(counts), [*by, "__bin"], ["__x"], ["__c"], ["__cum"])
     end = F.col("__before") + F.col("__cum")
     hits = keyed_join(cum, targets, by).select(*by, "__x", (end - F.col("__c")).alias("__first"), end.alias("__end"), F.explode(serves(end - F.col("__c"), end)).alias("t"))
     at = lambda pos: F.max(F.when((pos >= F.col("__first")) & (pos < F.col("__end")), x))

@@ -68,6 +68,14 @@ def test_running_sums_have_one_shuffle_of_the_rows_and_no_checkpoint(spark):
     assert {r["id"]: r["c"] for r in out.collect()} == want
 
 
+def test_columns_may_have_any_names(spark):
+    names = ["__b", "__n", "__v0", "__k0", "__o0", "__loc0", "__before", "__row"]
+    df = spark.createDataFrame([(i % 3, float(i * 7 % 50), *[i] * 8) for i in range(300)], "g long, x double, " + ", ".join(f"{n} long" for n in names))
+    for parts in (None, 8):
+        out = O.running_sums(df, ["g"], ["x", "__b"], ["__n", "__v0"], ["a", "b"], num_partitions=parts)
+        assert out.columns == [*df.columns, "a", "b"] and out.filter("a <> b").isEmpty() and out.agg(F.max("a")).first()[0] == 15050
+
+
 def test_order_keys_of_all_kinds(spark):
     rows = [(i, [None, "b", "a", "b"][i % 4], [1.5, None, float("nan"), -2.0, 0.0][i % 5], i % 3 == 0) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, s string, d double, f boolean").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 11).cast("int"))).withColumn(
