@@ -92,7 +92,7 @@ def fuzzy_spans(plain: str, notices: Notices = NOTICES) -> list[tuple[int, int,
         pattern, k, size, label = patterns[i]
         hits = set()
         for start in own:
-            m = pattern.search(plain, max(0, start - k), min(len(plain), start + size + k))
+            m = pattern.search(plain, max(0, start - k - 1), min(len(plain), start + size + k + 1))
             if m is not None:
                 hits.add((sum(m.fuzzy_counts), m.start(), m.end()))
         kept: list[tuple[int, int]] = []  # disjoint, in order
