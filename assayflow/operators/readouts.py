@@ -74,9 +74,12 @@ def distinct_readout_values(long: DataFrame, readout: str, name: str) -> DataFra
 
 # --------------------------------------------------- replicate collapse
 
-def collapse_censored(df: DataFrame, keys: Sequence[str], value: str = "value", modifier: str = "modifier") -> DataFrame:
+def collapse_censored(df: DataFrame, keys: Sequence[str], value: str = "value", modifier: str = "modifier", mixed: str = "error") -> DataFrame:
     """One value per key: mean of exact readings (+ mean log10 when all > 0); else max of '>' readings;
-    else min of '<' readings.  '<' and '>' without an exact reading is an error."""
+    else min of '<' readings.  '<' and '>' without an exact reading is an error, or with ``mixed="greater"``
+    the max of the '>' readings: in large tables such a key turns up by chance and must not end the job."""
+    if mixed not in ("error", "greater"):
+        raise ValueError(f"Unknown rule for mixed readings {mixed}")
     v, m = F.col(value), F.col(modifier)
     eq, gt, lt = m == "=", S.is_greater(m), S.is_less(m)
     g = df.groupBy(*keys).agg(
@@ -85,7 +88,6 @@ def collapse_censored(df: DataFrame, keys: Sequence[str], value: str = "value",
         F.avg(F.when(eq & (v > 0), F.log10(v))).alias("__lmean"),
         F.max(F.when(gt, v)).alias("__max"), F.min(F.when(lt, v)).alias("__min"),
     )
-    mixed = (F.col("__ne") == 0) & (F.col("__ng") > 0) & (F.col("__nl") > 0)
     outv = F.when(F.col("__ne") > 0, F.col("__mean")).when(F.col("__ng") > 0, F.col("__max")).otherwise(F.col("__min"))
     outm = F.when(F.col("__ne") > 0, F.lit("=")).when(F.col("__ng") > 0, F.lit(">")).otherwise(F.lit("<"))
     logv = (
@@ -93,7 +95,10 @@ def collapse_censored(df: DataFrame, keys: Sequence[str], value: str = "value",
         .when(F.col("__ng") > 0, F.when(F.col("__max") > 0, F.log10("__max")))
         .otherwise(F.when(F.col("__min") > 0, F.log10("__min")))
     )
-    return g.select(*keys, checked(outm, ~mixed, "'<' and '>' readings without an exact value").alias("modifier"),
+    if mixed == "error":
+        both = (F.col("__ne") == 0) & (F.col("__ng") > 0) & (F.col("__nl") > 0)
+        outm = checked(outm, ~both, "'<' and '>' readings without an exact value")
+    return g.select(*keys, outm.alias("modifier"),
                     outv.alias("value"), logv.alias("log_value"), (F.col("__ne") + F.col("__ng") + F.col("__nl")).alias("n_readings"))
 
 
@@ -149,10 +154,10 @@ def group_tables(rows: DataFrame, protocol: str, split_cols: Sequence[str], labe
 
 
 def data_tables(rows: DataFrame, table_key: str, molecule: str, features: DataFrame, terms: DataFrame | None = None,
-                min_rows: int = 100) -> DataFrame:
-    """One row per (table, molecule): replicates collapsed, features attached (molecules without complete
+                min_rows: int = 100, mixed: str = "error") -> DataFrame:
+    """One row per (table, molecule): replicates collapsed (``mixed`` as there), features attached (molecules without complete
     features drop out), ``label`` and ``log_label``; tables with at most ``min_rows`` rows dropped; key uniqueness checked."""
-    c = collapse_censored(rows, [table_key, molecule])
+    c = collapse_censored(rows, [table_key, molecule], mixed=mixed)
     j = c.join(features, molecule, "inner")
     n = j.groupBy(table_key).agg(F.count(F.lit(1)).alias("__rows"), F.countDistinct(molecule).alias("__mols"))
     j = j.join(n.filter(F.col("__rows") > min_rows), table_key)

@@ -71,7 +71,7 @@ COLLAPSE_SQL = """SELECT {keys}, CASE WHEN count(*) FILTER (WHERE modifier = '='
 @query("agg_censored_value", f"WITH {MEAS} " + COLLAPSE_SQL.format(keys="protocol, molecule") + " FROM meas GROUP BY protocol, molecule")
 def q_censored_value(spark, sf):
     r = Tables(spark, sf).measurement_rows().withColumnRenamed("activity", "value")
-    c = RD.collapse_censored(r, ["protocol", "molecule"])
+    c = RD.collapse_censored(r, ["protocol", "molecule"], mixed="greater")
     return c.select("protocol", "molecule", "modifier", r6(F.col("value")).alias("value"), r6(F.col("log_value")).alias("log_value"), "n_readings")
 
 
@@ -128,7 +128,7 @@ big AS (SELECT table_key FROM ft GROUP BY 1 HAVING count(*) > 100)"""
 def q_data_table(spark, sf):
     t = Tables(spark, sf)
     g = _grouped(spark, sf).withColumnRenamed("activity", "value")
-    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"))
+    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"), mixed="greater")
     return d.select("table_key", "molecule", "modifier", r6(F.col("label")).alias("label"), r6(F.col("log_label")).alias("log_label"), "acctbal")
 
 
@@ -136,7 +136,7 @@ def q_data_table(spark, sf):
 def q_all_tables(spark, sf):
     t = Tables(spark, sf)
     g = _grouped(spark, sf).withColumnRenamed("activity", "value")
-    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"))
+    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"), mixed="greater")
     return d.groupBy("table_key").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -187,7 +187,7 @@ def q_regression_table(spark, sf):
     t = Tables(spark, sf)
     g = _grouped(spark, sf)
     units = g.select("table_key", "protocol", "units").distinct().select("table_key", RD.ic50_unit(_def_unit(F.col("protocol")), F.array(F.col("units"))).alias("unit"))
-    d = RD.data_tables(g.withColumnRenamed("activity", "value"), "table_key", "molecule", _features(t).select("molecule", "acctbal"))
+    d = RD.data_tables(g.withColumnRenamed("activity", "value"), "table_key", "molecule", _features(t).select("molecule", "acctbal"), mixed="greater")
     d = d.join(units, "table_key")
     unit_units = F.when(F.col("unit") == "Picomolar", "pM").when(F.col("unit") == "Nanomolar", "nM").when(F.col("unit") == "Micromolar", "uM").when(F.col("unit") == "Millimolar", "mM")
     return d.select("table_key", "molecule", r6(RD.regression_label(F.col("label"), unit_units)).alias("label"))
@@ -198,7 +198,7 @@ GROUP BY 1 HAVING count(*) >= 100 AND count(DISTINCT round(value, 9)) > 90""")
 def q_iterate_tables(spark, sf):
     t = Tables(spark, sf)
     g = _grouped(spark, sf).withColumnRenamed("activity", "value")
-    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"))
+    d = RD.data_tables(g, "table_key", "molecule", _features(t).select("molecule", "acctbal"), mixed="greater")
     it = RD.iterate_tables(d, "table_key", "label")
     return it.groupBy("table_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.round("label", 9)).alias("n_distinct"))
 
