@@ -147,13 +147,18 @@ def q_task_model(spark, sf):
 
 @query("lab_bad_category")
 def q_bad_category(spark, sf):
-    """AUC of at most 0.6 -> 'Bad'; otherwise the chooser model, which is fitted on the other tables only, decides Regression or Classification."""
+    """AUC of at most 0.6 -> 'Bad'; otherwise the chooser model, which is fitted on the other tables only, decides Regression or Classification.
+
+    Where every table is bad, no model is needed and none is fitted."""
     from assayflow.operators.features import assemble, to_ml_vector
 
     t = Tables(spark, sf)
     f = assemble(_doc_group_features(t), FEATURES9, "a").withColumn("features", to_ml_vector("a"))
-    m = MD.estimator("rf_class", numTrees=10).fit(_category_label(f.filter(F.col("roc_auc") > 0.6)))
-    p = m.transform(f)
+    good = f.filter(F.col("roc_auc") > 0.6)
+    if good.isEmpty():
+        p = f.withColumn("prediction", F.lit(None).cast("double"))
+    else:
+        p = MD.estimator("rf_class", numTrees=10).fit(_category_label(good)).transform(f)
     cat = F.when(F.col("roc_auc") <= 0.6, "Bad").when(F.col("prediction") == 1.0, "Regression").otherwise("Classification")
     return p.select("lang", "source", r6(F.col("roc_auc")).alias("roc_auc"), cat.alias("category"))
 

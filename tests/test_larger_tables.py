@@ -1,6 +1,7 @@
 """What only larger tables bring up: rare combinations, tables without any model, one block too many."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as E
 
@@ -23,3 +24,24 @@ def test_data_table_with_a_mixed_censored_molecule(spark, tmp_path):
         assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
     mixed = [r for r in E.queries()["rd_data_table"](spark, str(tmp_path)).collect() if r["molecule"] == 0]
     assert [(r["modifier"], r["label"]) for r in mixed] == [(">", 400.0)]
+
+
+def _documents(spark, folder, quality):
+    """Tables (lang, source) whose documents have 10, 20, ... characters and the given qualities, in that order."""
+    docs, labels = [], []
+    for (lang, source), marks in quality.items():
+        for i, q in enumerate(marks):
+            docs.append((len(docs), "x" * (10 + 10 * i), lang, source, 10 + 10 * i))
+            labels.append((len(labels), q, 0))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+@pytest.mark.parametrize("good", [0, 1])
+def test_chooser_with_hardly_any_table_above_the_cut(spark, tmp_path, good):
+    tables = {("en", "a"): [1, 0, 0, 1], ("en", "b"): [1, 1, 0, 0]}  # AUC 0.5 and 0
+    if good:
+        tables["en", "c"] = [0, 0, 1, 1]
+    _documents(spark, tmp_path, tables)
+    bad = {r["source"]: r["category"] for r in E.queries()["lab_bad_category"](spark, str(tmp_path)).collect()}
+    assert bad["a"] == bad["b"] == "Bad" and len(bad) == 2 + good and bad.get("c") != "Bad"
