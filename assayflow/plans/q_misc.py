@@ -126,13 +126,17 @@ FEATURES9 = ["roc_auc", "accuracy", "precision", "recall", "pearson", "cost", "k
 
 @query("rd_task_model")
 def q_task_model(spark, sf):
-    """Regression-vs-classification chooser on nine table features (AUC > 0.6 only): random forest and kernel SVM alone and as a vote."""
+    """Regression-vs-classification chooser on nine table features (AUC > 0.6 only): random forest and kernel SVM alone and as a vote.
+
+    Where no table has such an AUC there is nothing to choose for, and the result has no rows."""
     from assayflow.operators.features import assemble, to_ml_vector
 
     t = Tables(spark, sf)
     f = _doc_group_features(t)
-    f = assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a"))
-    f = _category_label(f.filter(F.col("roc_auc") > 0.6))
+    f = assemble(f, FEATURES9, "a").withColumn("features", to_ml_vector("a")).filter(F.col("roc_auc") > 0.6)
+    if f.isEmpty():
+        return spark.createDataFrame([], "id string, lang string, source string, p_rf double, p_svm double, prediction double")
+    f = _category_label(f)
     rf = MD.estimator("rf_class", numTrees=10).fit(f).transform(f).select("lang", "source", F.col("prediction").alias("p_rf"))
     from assayflow.operators.features import minmax_scale
 

@@ -45,3 +45,6 @@ def test_chooser_with_hardly_any_table_above_the_cut(spark, tmp_path, good):
     _documents(spark, tmp_path, tables)
     bad = {r["source"]: r["category"] for r in E.queries()["lab_bad_category"](spark, str(tmp_path)).collect()}
     assert bad["a"] == bad["b"] == "Bad" and len(bad) == 2 + good and bad.get("c") != "Bad"
+    chosen = E.queries()["rd_task_model"](spark, str(tmp_path))
+    assert chosen.columns == ["id", "lang", "source", "p_rf", "p_svm", "prediction"]
+    assert [r["id"] for r in chosen.collect()] == ["en/c"] * good
