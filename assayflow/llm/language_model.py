@@ -155,11 +155,12 @@ def count_triples(texts: DataFrame, v) -> DataFrame:
 
 
 # ------------------------------------------------------------------ network
-def train(codes: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int = 1200, batch: int = 4096, noise: int = 96, rate: float = 0.03, seed: int = 7) -> dict[str, np.ndarray]:
+def train(codes: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int = 400, noise: int = 96, rate: float = 0.03, seed: int = 7) -> dict[str, np.ndarray]:
     """Log-bilinear parameters by noise-contrastive estimation with Adam.
 
-    Triples are drawn in proportion to their counts; the noise words of a step are drawn from the class unigram and
-    shared by its batch.  Biases begin at the log unigram, so training begins at the unigram model.
+    Nothing is drawn: every step takes all triples with their counts, and the expectation over ``noise`` noise words a
+    triple from the class unigram (at most ``CLASSES`` ** 2 contexts by ``CLASSES`` numbers, whatever the corpus size).
+    Biases begin at the log unigram, so training begins at the unigram model; the seed is that of the first vectors.
     """
     m, d = len(unigram), DIMENSIONS
     rng = np.random.default_rng(seed)
@@ -169,26 +170,20 @@ def train(codes: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int
     }
     if not len(codes):
         return p
-    ends = np.cumsum(counts.astype(float))
+    contexts, at = np.unique(codes // m, return_inverse=True)
+    w2, w1 = contexts // m, contexts % m
+    data = np.zeros((len(contexts), m))
+    data[at, codes % m] = counts / counts.sum()
+    both = data + data.sum(1, keepdims=True) * (noise * unigram)  # shares of data and noise words after each context
+    of2, of1 = (np.arange(m)[:, None] == w2).astype(float), (np.arange(m)[:, None] == w1).astype(float)
     log_noise = np.log(noise * unigram)
     one, two = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for t in range(1, steps + 1):
-        code = codes[np.minimum(np.searchsorted(ends, rng.random(batch) * ends[-1], "right"), len(codes) - 1)]
-        w2, w1, w = code // (m * m), code // m % m, code % m
-        drawn = rng.choice(m, noise, p=unigram)
         r2, r1 = p["context"][w2], p["context"][w1]
         r = r2 @ p["far"] + r1 @ p["near"]
-        true = 1 / (1 + np.exp(-((r * p["target"][w]).sum(1) + p["bias"][w] - log_noise[w])))
-        false = 1 / (1 + np.exp(-(r @ p["target"][drawn].T + p["bias"][drawn] - log_noise[drawn])))
-        up = (1 - true) / batch  # pushes the data word's score up, the noise words' down
-        down = false / batch
-        hit = np.zeros((batch, m))
-        hit[np.arange(batch), w] = up
-        hit -= down @ np.eye(m)[drawn]
+        hit = data - both / (1 + np.exp(log_noise - p["bias"] - r @ p["target"].T))  # pushes data words' scores up, noise words' down
         dr = hit @ p["target"]
-        dc = np.zeros((m, d))
-        np.add.at(dc, w2, dr @ p["far"].T)
-        np.add.at(dc, w1, dr @ p["near"].T)
+        dc = of2 @ (dr @ p["far"].T) + of1 @ (dr @ p["near"].T)
         grad = {"target": hit.T @ r, "bias": hit.sum(0), "far": r2.T @ dr, "near": r1.T @ dr, "context": dc}
         step = rate * min(1.0, 3 * (1 - t / (steps + 1)))
         for k, g in grad.items():

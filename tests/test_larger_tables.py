@@ -48,3 +48,16 @@ def test_chooser_with_hardly_any_table_above_the_cut(spark, tmp_path, good):
     chosen = E.queries()["rd_task_model"](spark, str(tmp_path))
     assert chosen.columns == ["id", "lang", "source", "p_rf", "p_svm", "prediction"]
     assert [r["id"] for r in chosen.collect()] == ["en/c"] * good
+
+
+def test_language_model_learns_from_every_triple():
+    pytest.importorskip("assayflow.llm.language_model")
+    import numpy as np
+
+    from assayflow.llm.language_model import train
+
+    unigram = np.full(8, 1 / 8)
+    codes, counts = np.array([(1 * 8 + 2) * 8 + 3, (5 * 8 + 6) * 8 + 7]), np.array([10**9, 1])  # a draw would miss the second
+    before, after = train(codes, counts, unigram, steps=0), train(codes, counts, unigram)
+    assert (np.abs(after["context"] - before["context"])[[1, 2, 5, 6]].max(1) > 1e-6).all()
+    assert (after["context"][[0, 3, 4, 7]] == before["context"][[0, 3, 4, 7]]).all()
