@@ -97,10 +97,21 @@ def value_product(lists: dict[str, DataFrame], max_len: int = 1000) -> DataFrame
 
 # ------------------------------------------------------ similarity search
 
+#: Characters of text whose words one task counts, where ``postings`` is told the sizes.
+TASK_CHARS = 4_000_000
+
+
 def postings(df: DataFrame, id_col: str, tokens: Column, name: str = "feature", partitions: int | None = None,
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), chars: Column | None = None) -> DataFrame:
     """Exploded sparse count vectors (id, keep..., feature, count).  The input is hash-partitioned by id first,
-    so the per-(id, feature) counts and everything keyed by id downstream need no further shuffle."""
+    so the per-(id, feature) counts and everything keyed by id downstream need no further shuffle.
+
+    A task holds the words of its rows while it counts and gathers them, many times the size of their text.  With
+    ``chars`` (the length of each row's text) there are as many partitions as keep ``TASK_CHARS`` in a task, so that does
+    not grow with the table; without it their number is left to Spark, which merges partitions by the bytes of text."""
+    if chars is not None and not partitions:
+        wanted = -(-int(df.agg(F.sum(chars.cast("long"))).first()[0] or 0) // TASK_CHARS)
+        partitions = wanted if wanted > df.sparkSession.sparkContext.defaultParallelism else None
     d = df.repartition(partitions, id_col) if partitions else df.repartition(id_col)
     e = d.select(id_col, *keep, F.explode(tokens).alias(name)).filter(F.col(name) != "")
     return e.groupBy(id_col, *keep, name).agg(F.count(F.lit(1)).cast("double").alias("count"))

@@ -110,7 +110,7 @@ def _doc_postings(t):
 
 
 def _bench_postings(t):
-    return J.postings(t.benchmark.select("item_id", "text"), "item_id", word_split(F.col("text")))
+    return J.postings(t.benchmark.select("item_id", "text"), "item_id", word_split(F.col("text")), chars=F.length("text"))
 
 
 @query("join_nearest_sim", f"""WITH {WORDS_SQL}
@@ -127,7 +127,7 @@ SELECT b.item_id, round(coalesce(max(t) FILTER (WHERE lang = 'de'), 0.0), 6) AS
 FROM benchmark b LEFT JOIN lt ON b.item_id = lt.bid GROUP BY b.item_id""")
 def q_profile(spark, sf):
     t = Tables(spark, sf)
-    docs = J.postings(t.documents.select("doc_id", "lang", "text"), "doc_id", word_split(F.col("text")), keep=["lang"])
+    docs = J.postings(t.documents.select("doc_id", "lang", "text"), "doc_id", word_split(F.col("text")), keep=["lang"], chars=F.length("text"))
     names = ["de", "en", "es", "fr"]
     p = J.similarity_profile(_bench_postings(t), "item_id", docs, "doc_id", "lang", names, all_ids=t.benchmark.select("item_id"))
     return p.select("item_id", *[r6(F.col(n)).alias(n) for n in names])

@@ -61,3 +61,22 @@ def test_language_model_learns_from_every_triple():
     before, after = train(codes, counts, unigram, steps=0), train(codes, counts, unigram)
     assert (np.abs(after["context"] - before["context"])[[1, 2, 5, 6]].max(1) > 1e-6).all()
     assert (after["context"][[0, 3, 4, 7]] == before["context"][[0, 3, 4, 7]]).all()
+
+
+@pytest.mark.parametrize("name", ["join_profile"])
+def test_words_of_a_bounded_text_in_a_task(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from assayflow.operators import joins as J
+    from assayflow.operators.features import word_split
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(J, "TASK_CHARS", 50_000)
+    parts = J.postings(docs, "doc_id", word_split(F.col("text")), chars=F.length("text")).rdd.getNumPartitions()
+    assert parts == -(-docs.agg(F.sum(F.length("text"))).first()[0] // 50_000) > 20
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    want = con.sql(E.oracle_sql()[name])
+    got = E.queries()[name](spark, "/root/testdata/sf0.01").select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
