@@ -106,7 +106,7 @@ tn AS (SELECT did, bid, dot / (dn.n + bn.n - dot) AS t FROM pr JOIN dn ON pr.did
 
 
 def _doc_postings(t):
-    return J.postings(t.documents.select("doc_id", "text"), "doc_id", word_split(F.col("text")))
+    return J.postings(t.documents.select("doc_id", "text"), "doc_id", word_split(F.col("text")), chars=F.length("text"))
 
 
 def _bench_postings(t):

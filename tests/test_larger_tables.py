@@ -63,7 +63,7 @@ def test_language_model_learns_from_every_triple():
     assert (after["context"][[0, 3, 4, 7]] == before["context"][[0, 3, 4, 7]]).all()
 
 
-@pytest.mark.parametrize("name", ["join_profile"])
+@pytest.mark.parametrize("name", ["join_profile", "join_nearest_sim"])
 def test_words_of_a_bounded_text_in_a_task(spark, monkeypatch, name):
     from pyspark.sql import functions as F
 
