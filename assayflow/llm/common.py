@@ -13,6 +13,10 @@ from assayflow.session import scratch_dir
 
 #: Rows of ids that may be broadcast (a long each); beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Counted rows of a few numbers each that are broadcast rather than shuffled together with what they are joined to.
+BROADCAST_ROWS = 100_000
+#: Rows for each task of a table whose rows are counted.
+TASK_ROWS = 2000
 #: Rows turned into Python objects at a time inside a task.
 SLICE_ROWS = 256
 
@@ -69,6 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
     return saved(df, "cut")
 
 
+def aside(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is broadcast if its counted ``rows`` are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A frame of at most ``rows`` rows in few tasks, if those are few: each task and each file costs time of its own."""
+    return df.coalesce(8 + rows // TASK_ROWS)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows (reads no more than one row beyond)."""
     return df.limit(rows + 1).count() <= rows

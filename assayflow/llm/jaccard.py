@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayflow.llm.common import BROADCAST_IDS, WordHashes, cut, discard, encoded, map_columns, mixed, only_ids, saved, slices, windows, without_ids, word_hashes
+from assayflow.llm.common import BROADCAST_IDS, WordHashes, aside, cut, discard, encoded, map_columns, mixed, narrow, only_ids, saved, slices, windows, without_ids, word_hashes
 from assayflow.llm.components import components
 
 WIDTH = 5
@@ -49,9 +49,11 @@ ENTRY_COST = 4.0
 BITMAP = 8
 BITS = [f"s{i}" for i in range(BITMAP)]
 #: Star rounds at most; they end early when few pairs are open (an eighth of the entries), or when a round linked few documents
-#: (1 in 200) and the open pairs are no more than ``OPEN_PAIRS`` an entry.
+#: (1 in 200) and either the open pairs are no more than ``OPEN_PAIRS`` an entry or the round left more than ``IDLE`` of
+#: them open, so that further ones would spare the last round little.
 STAR_ROUNDS = 8
 OPEN_PAIRS = 64
+IDLE = 0.875
 #: Earlier keys that an entry of the last round carries, and entries from which a list is split by size class (the
 #: logarithm of the size ratio of linked sets).
 PRIOR = 16
@@ -246,16 +248,19 @@ def _similar(a: str, b: str, percent: int):
     return F.expr(f"{100 + percent}L * ({apart}) <= {100 - percent}L * ({a.format('n')} + {b.format('n')})")
 
 
-def _beside(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairs with the columns of both documents, as ``<column>_u`` and ``<column>_v``."""
+def _beside(pairs: DataFrame, table: DataFrame, cols: list[str], rows: int, sides: str = "vu") -> DataFrame:
+    """Pairs with the columns of both documents, as ``<column>_u`` and ``<column>_v``.
+
+    ``rows``: the number of pairs; at ``sides``, few of them go to the table, not the table to them.
+    """
     for side in ("v", "u"):
         own = table.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols])
-        pairs = pairs.join(own, F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
+        pairs = own.join(aside(pairs, rows) if side in sides else pairs, F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
     return pairs
 
 
-def _linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the similarity."""
+def _linked(pairs: DataFrame, rows: int, maps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v), ``rows`` of them, whose whole sets reach the similarity."""
 
     def test(cols: dict[str, list]) -> dict[str, list]:
         keep = []
@@ -266,28 +271,29 @@ def _linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, width: int, per
                 keep.append(k)
         return {"u": [cols["u"][k] for k in keep], "v": [cols["v"][k] for k in keep]}
 
-    near = cut(_beside(pairs, maps, ["n", *BITS]).filter(_similar("{}_u", "{}_v", percent)).select("u", "v").distinct())
-    ids = cut(near.select(F.col("u").alias("id")).union(near.select("v")).distinct())
+    near = cut(narrow(_beside(pairs, maps, ["n", *BITS], rows).filter(_similar("{}_u", "{}_v", percent)).select("u", "v").distinct(), rows))
+    ids = cut(narrow(near.select(F.col("u").alias("id")).union(near.select("v")).distinct(), 2 * rows))
     sets = _sets(only_ids(texts, ids), width)
-    links = cut(map_columns(_beside(near, sets, ["items"]), "u long, v long", test).distinct())
+    links = cut(narrow(map_columns(_beside(near, sets, ["items"], rows, "v"), "u long, v long", test).distinct(), rows))
     discard(near, ids, sets)
     return links
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after joining the components that new links connect."""
-    side = lambda c: labels.select(F.col("id").alias(f"id_{c}"), F.col("label").alias(f"label_{c}"))
+def _relabel(labels: DataFrame, links: DataFrame, documents: int, rows: int) -> DataFrame:
+    """Labels of ``documents`` documents after joining the components that ``rows`` new links connect."""
+    side = lambda c: aside(labels.select(F.col("id").alias(f"id_{c}"), F.col("label").alias(f"label_{c}")), documents)
     bridges = links.join(side("u"), F.col("u") == F.col("id_u")).join(side("v"), F.col("v") == F.col("id_v"))
     bridges = bridges.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).filter("u <> v")
-    merged = components(bridges)
+    merged = components(bridges, rows)
     out = labels.join(merged, labels["label"] == merged["node"], "left")
     return cut(out.select("id", F.coalesce(merged["label"], labels["label"]).alias("label")))
 
 
 def _link_all(entries: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels (id, label) of all documents with an entry in a list that is not alone."""
-    labels = cut(entries.select("id", F.col("id").alias("label")).distinct())
-    rows, documents, merged, tested = entries.count(), labels.count(), 0, None
+    rows = held_rows = entries.count()
+    labels = cut(narrow(entries.select("id", F.col("id").alias("label")).distinct(), rows))
+    documents, merged, tested, n_tested, before = labels.count(), 0, None, 0, 0.0
     maps = cut(only_ids(bitmaps, labels.select("id"), "id"))
     for k in range(STAR_ROUNDS + 1):
         if k:  # two longs a row, broadcast below the bound of id lists
@@ -304,13 +310,15 @@ def _link_all(entries: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: i
             lists = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("same"), F.min(pivot).alias("p"))
         # a list of two was done with by its first pivot
         lists = lists.filter(f"all * all > same and all > {2 if k else 1}")
-        lists = cut(lists.select(F.col("key").alias("list"), "all", "same", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "label")]))
-        open_pairs = lists.agg(F.sum(F.expr("(cast(all as double) * all - same) / 2"))).first()[0]
+        lists = cut(narrow(lists.select(F.col("key").alias("list"), "all", "same", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "label")]), held_rows))
+        open_pairs, n_lists, left = lists.agg(F.sum(F.expr("(cast(all as double) * all - same) / 2")), F.count(F.lit(1)), F.sum(F.expr("if(all > 2, all, 0)"))).first()
         if not open_pairs:
             return labels
-        last = k > 0 and (open_pairs <= rows / 8 or merged < documents / 200 and open_pairs <= OPEN_PAIRS * rows) or k == STAR_ROUNDS
+        idle = merged < documents / 200 and (open_pairs <= OPEN_PAIRS * rows or open_pairs > IDLE * before)
+        last = k > 0 and (open_pairs <= rows / 8 or idle) or k == STAR_ROUNDS
+        before = open_pairs
         if last:  # every pair of a list that is not connected yet, in the first list that holds both
-            live = marked.join(lists.select("list"), F.col("key") == F.col("list"), "left_semi")
+            live = marked.join(aside(lists.select("list"), n_lists), F.col("key") == F.col("list"), "left_semi")
             held = live.groupBy("id").agg(F.min("label").alias("label"), F.sort_array(F.collect_list(F.struct("pos", "key", "n"))).alias("at"))  # a set's entries
             texts_of = maps.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("texts"))
             held = held.join(maps.select(F.col("id").alias("own"), *BITS), F.col("id") == F.col("own")).join(texts_of, F.col("id") == F.col("own_id"))
@@ -328,23 +336,26 @@ def _link_all(entries: DataFrame, bitmaps: DataFrame, texts: DataFrame, width: i
             met = F.expr("a.key = b.key and a.cls = b.cls and a.id < b.id and a.label <> b.label") & _possible("a.", "b.", percent) & _similar("a.{}", "b.{}", percent) & fresh
             pairs = live_at.alias("a").join(live_in.alias("b"), met).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         else:
-            pairs = marked.join(lists, [F.col("key") == F.col("list"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
+            pairs = marked.join(aside(lists, n_lists), [F.col("key") == F.col("list"), F.col("label") != F.col("p_label"), _possible("", "p_", percent)])
             pairs = pairs.select(F.least("id", "p_id").alias("u"), F.greatest("id", "p_id").alias("v")).distinct()
         if tested is not None:
             done = tested.select(F.col("u").alias("done_u"), F.col("v").alias("done_v"))
-            pairs = pairs.join(done, (F.col("u") == F.col("done_u")) & (F.col("v") == F.col("done_v")), "left_anti")
-        pairs = cut(pairs)
+            pairs = pairs.join(aside(done, n_tested), (F.col("u") == F.col("done_u")) & (F.col("v") == F.col("done_v")), "left_anti")
+        pairs = cut(pairs if last else narrow(pairs, held_rows))  # an entry meets one pivot
         if last:
             discard(entries, lists, live)
         tested = pairs if tested is None else tested.union(pairs)
-        links = _linked(pairs, maps, texts, width, percent)
-        labels = _relabel(labels, links)
+        n_pairs = pairs.count()
+        n_tested += n_pairs
+        links = _linked(pairs, n_pairs, maps, texts, width, percent)
+        merged = links.count()
+        labels = _relabel(labels, links, documents, merged)
         if last:
             return labels
-        merged = links.count()
-        kept = cut(entries.join(lists.filter("all > 2").select("list"), F.col("key") == F.col("list"), "left_semi"))
+        open_lists = lists.filter("all > 2").select("list")
+        kept = cut(narrow(entries.join(aside(open_lists, n_lists), F.col("key") == F.col("list"), "left_semi"), left))
         discard(entries, lists)
-        entries = kept
+        entries, held_rows = kept, left
     return labels
 
 
@@ -365,11 +376,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = _levels(profile)
     discard(profile)
     alike = sized.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    groups = cut(alike.filter("copies > 1").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), F.col("n").alias("g_n"), "first"))
+    documents = sized.count()
+    groups = cut(narrow(alike.filter("copies > 1").select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), F.col("n").alias("g_n"), "first"), documents))
     same = [F.col("d1") == F.col("g1"), F.col("d2") == F.col("g2"), F.col("n") == F.col("g_n")]
     named = sized.join(groups, same, "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first"))
     # an id leaves the search only if each of its texts is a copy: another text has links of its own
-    copies = cut(named.filter("doc_id <> first").select("doc_id").distinct())
+    copies = cut(narrow(named.filter("doc_id <> first").select("doc_id").distinct(), documents))
     copies = without_ids(copies, only_ids(named.filter("n > 0 and doc_id = first").select("doc_id"), copies))
     sizes = alike.filter(f"n <= {LIGHT_MAX}").groupBy("n").count().collect()  # LIGHT_MAX rows at most
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
@@ -378,6 +390,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = _link_all(_entries(singles, levels, width, percent, boundary), bitmaps, texts, width, percent)
     # texts of one id, and copies of a set, belong together
     bound = cut(named.filter("n > 0 and first <> doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).union(labels.select("id", "label").filter("id <> label")))
-    final = components(bound).select(F.col("node"), F.col("label"))
+    final = components(bound, bound.count()).select(F.col("node"), F.col("label"))
     out = sized.join(final, [sized["doc_id"] == final["node"], sized["n"] > 0], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))

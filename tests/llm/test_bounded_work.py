@@ -10,12 +10,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayflow.llm import classifier as C
+from assayflow.llm import components as K
+from assayflow.llm import jaccard as J
 from assayflow.llm import licenses as L
 from assayflow.llm import packing as P
 from assayflow.llm import personal_data as I
 from assayflow.llm import warc_index as W
 
 from ..conftest import spark  # noqa: F401
+from .test_text_operators import brute_components, docs_of
 
 
 # ------------------------------------------------------------------ 1
@@ -123,6 +126,30 @@ def test_an_id_with_two_texts_trains_on_the_same_one_in_any_order(spark):  # noq
     assert np.array_equal(models[0].probability(probe), models[1].probability(probe))
 
 
+# ------------------------------------------------------------------ 7
+def test_star_rounds_end_when_they_link_and_close_little(spark, monkeypatch):  # noqa: F811
+    rng = random.Random(4)
+    # few kinds of shingles in long lists, hardly any two sets alike, and some near copies
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(24))) for i in range(250)]
+    rows += [(1000 + i, rows[i][1] + " c") for i in range(0, 250, 50)]
+    rounds, linked = [], J._linked
+    monkeypatch.setattr(J, "_linked", lambda *a: rounds.append(1) or linked(*a))
+    monkeypatch.setattr(J, "OPEN_PAIRS", 0)
+    got = J.jaccard_components(docs_of(spark, rows))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute_components(rows)
+    assert len(rounds) < J.STAR_ROUNDS
+
+
+def test_few_counted_rows_take_few_tasks(spark):  # noqa: F811
+    session = spark.newSession()
+    for name, value in (("spark.sql.shuffle.partitions", "64"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        session.conf.set(name, value)
+    edges = session.createDataFrame([(k, k + 1) for k in range(0, 400) if k % 20], "u long, v long")
+    labels = K.components(edges)
+    assert len(labels.inputFiles()) <= 8
+    assert sorted(map(tuple, labels.collect())) == [(k, (k - 1) // 20 * 20 + 1) for k in range(1, 401)]
+
+
 # ------------------------------------------------------------------ 9
 def test_near_notices_cost_in_proportion():
     took = []
