@@ -50,7 +50,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str], label: str, pred: str)
 def spearman(df: DataFrame, by: Sequence[str], label: str, pred: str, key: str | None = None) -> DataFrame:
     """Spearman correlation = Pearson correlation of average ranks (ties share the mean rank)."""
     r = average_rank(df, by, label, "__rl")
-    r = average_rank(r, by, pred, "__rp")
+    r = average_rank(r, by, pred, "__rp", counted=df)  # the first ranks are not joined once more to count the rows
     return r.groupBy(*by).agg(pearson("__rl", "__rp").alias("spearman"))
 
 

@@ -218,12 +218,14 @@ def average_rank(
     value: str,
     name: str = "rank",
     num_partitions: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """1-based average rank of ``value`` within ``by`` (ties share the mean rank).
 
-    Works on the distinct (group, value) counts: rank = rows before + (ties + 1) / 2.
+    Works on the distinct (group, value) counts: rank = rows before + (ties + 1) / 2.  ``counted``: the same rows as they
+    were before columns were added to them, if counting those is less work.
     """
-    counts = materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
+    counts = materialize((df if counted is None else counted).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     cum = running_sums(counts, by, [value], ["__n"], ["__cum"], num_partitions)
     ranks = cum.select(*by, value, "__n", ((F.col("__cum") - F.col("__n")) + (F.col("__n") + 1) / 2.0).alias(name))
     return attach(df, ranks, [*by, value], "left", rows="__n").drop("__n")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,17 @@ def test_consensus_weights_come_from_rows_the_models_have_not_seen(spark, tmp_pa
     for rows in zip(*[sorted(p) for p in parts]):
         total = sum(w * r["p"] for w, r in zip(model.weights, rows))
         assert a[rows[0]["no"]] == (pytest.approx(total), float(total > model.cutoff))
+
+
+def test_spearman_counts_both_columns_from_the_rows_as_they_came(spark, monkeypatch):
+    from assayflow.operators import metrics as MT
+
+    rows = [(f"g{i % 3}", float(i * 7 % 50), float(i * i % 31)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    plans, kept = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda frame: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or kept(frame))
+    got = {r["g"]: r["spearman"] for r in MT.spearman(df, ["g"], "y", "p").collect()}
+    assert len(plans) == 4 and not any("Join" in p for p in plans)  # no ranks joined to the rows only to count them
+    frame = pd.DataFrame(rows, columns=["g", "y", "p"])
+    for g, part in frame.groupby("g"):
+        assert abs(got[g] - part["y"].rank().corr(part["p"].rank())) < 1e-9
